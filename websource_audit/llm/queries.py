@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, tiff, token_counts
+from . import decontaminate, license_scan, packing, secret_scan, tiff, token_counts
 from .common import read_table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = secret_scan.scan_documents(docs)
+    base = F.filter("spans", lambda s: s["rank"] < len(secret_scan.BASE_RULES))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("path").alias("doc_id"),
+        *(count(r.kind) for r in secret_scan.BASE_RULES),
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limit_answers(token_counts.length_histogram(read_table(spark, sf_dir, "documents")))
 
@@ -23,6 +36,22 @@ def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["start"])
+    labels = lambda *xs: F.array_join(F.array_sort(F.array_distinct(F.concat(*(F.transform(x, lambda y: y["label"]) for x in xs)))), ",")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        labels(F.col("places")).alias("base_labels"),
+        labels(F.col("places"), F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -31,12 +60,53 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op6_tiff, op9_best_fit, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op6_tiff, op7_license_scan, op9_best_fit, op10_decontamination)}
 
 _WORDS = r"list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '')"
 _SHINGLES = "case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end"
 
+def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    """(start, rank, stop, kind) of the matches of one rule: a match begins where all pieces and matches before it end."""
+    q = pattern.replace("'", "''")
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{q}')) + 1), lambda i: {{'s': (list_sum(list_transform(string_split_regex(t, '{q}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{q}')[1:i - 1], lambda x: length(x))), 0))::bigint, 'r': {rank}, 'e': (list_sum(list_transform(string_split_regex(t, '{q}')[1:i], lambda x: length(x))) + list_sum(list_transform(regexp_extract_all(t, '{q}')[1:i], lambda x: length(x))))::bigint, 'k': '{kind}', 'n': length(regexp_extract_all(t, '{q}', {group})[i])}}), lambda x: x.n >= {least})"""
+
+
+def _secret_sql() -> str:
+    rules = list(enumerate(secret_scan.RULES))
+    text = lambda xs: f"array_to_string(list_transform({xs}, lambda x: concat(x.k, ':', x.s, ':', x.e)), ',')"
+    each = ", ".join(f"case when regexp_matches(t, '{r.gate.replace(chr(39), chr(39) * 2)}') then {_spans_sql(r.kind, k, r.pattern, r.group, r.least)} else [] end as a{k}" for k, r in rules)
+    base = len(secret_scan.BASE_RULES)
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents), f as (select doc_id, {each} from d),
+g as (select doc_id, list_sort(flatten([{', '.join(f'a{k}' for k, _ in rules)}])) as xs from f)
+select doc_id, {', '.join(f"len(list_filter(xs, lambda x: x.k = '{r.kind}')) as n_{r.kind}" for r in secret_scan.BASE_RULES)},
+sha256({text(f'list_filter(xs, lambda x: x.r < {base})')}) as base_sha256, {text('xs')} as spans from g
+"""
+
+
+def _license_sql() -> str:
+    words = lambda t: rf"list_filter(string_split_regex(translate({t}, '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.GAPS}'), lambda x: x <> '')"
+    sql_list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    places = ", ".join(
+        f"list_transform(list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: w[i:i + {len(p.split()) - 1}] = {sql_list(p.split())}), lambda i: {{'s': i - 1, 'l': '{label}'}})"
+        for p, label in license_scan.BASE_PHRASES
+    )
+    sets = [(label, license_scan.template_tokens(t)) for label, t in license_scan.TEMPLATES]
+    found = ", ".join(f"case when len(list_intersect(b, {sql_list(ts)})) >= {license_scan.need(len(ts))} then {{'l': '{label}', 'c': len(list_intersect(b, {sql_list(ts)})) / {len(ts)}}} end" for label, ts in sets)
+    return rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents), w as (select doc_id, t, {words('t')} as w from d),
+p as (select doc_id, len(w) as n_words, flatten([{places}]) as ps, list_transform(string_split(t, chr(10)), lambda y: {words('y')}) as bs from w),
+m as (select *, list_filter(flatten(list_transform(bs, lambda b: [{found}])), lambda x: x is not null) as ms from p)
+select doc_id, n_words, len(ps) as n_base, list_min(list_transform(ps, lambda x: x.s)) as first_word, list_max(list_transform(ps, lambda x: x.s)) as last_word,
+array_to_string(list_sort(list_distinct(list_transform(ps, lambda x: x.l))), ',') as base_labels,
+array_to_string(list_sort(list_distinct(list_concat(list_transform(ps, lambda x: x.l), list_transform(ms, lambda x: x.l)))), ',') as labels,
+coalesce(list_max(list_transform(ms, lambda x: x.c)), 0.0)::double as score from m
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_license_scan": _license_sql(),
+    "op1_secret_scan": _secret_sql(),
     "op10_decontamination": f"""
 with d as (select doc_id, {_WORDS} as w from documents), i as (select item_id, {_WORDS} as w from benchmark),
 ds as (select distinct doc_id, unnest({_SHINGLES}) as s from d), bs as (select distinct item_id, unnest({_SHINGLES}) as s from i),
