@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, packing, secret_scan, tiff, token_counts
-from .common import read_table
+from . import decontaminate, license_scan, packing, secret_scan, tiff, token_counts, warc
+from .common import read_table, stash
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_archives(read_table(spark, sf_dir, "pages"))
+    records = stash(warc.read_archives(spark, folder), "records")
+    return warc.resolve_revisits(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limit_answers(token_counts.length_histogram(read_table(spark, sf_dir, "documents")))
 
@@ -60,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op6_tiff, op7_license_scan, op9_best_fit, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_token_counts, op6_tiff, op7_license_scan, op9_best_fit, op10_decontamination)}
 
 _WORDS = r"list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '')"
 _SHINGLES = "case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end"
@@ -105,6 +111,12 @@ coalesce(list_max(list_transform(ms, lambda x: x.c)), 0.0)::double as score from
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+with p as (select page_id, coalesce(html, '') as h, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') as url from pages),
+r as (select *, case when strlen(h) >= 100 then min(page_id) over (partition by h) else page_id end as head from p)
+select page_id, strlen(h) as payload_bytes, sha256(h) as payload_digest, case when head <> page_id then 'revisit' else 'response' end as record_type,
+case when head <> page_id then head end as refers_to, url from r
+""",
     "op7_license_scan": _license_sql(),
     "op1_secret_scan": _secret_sql(),
     "op10_decontamination": f"""
