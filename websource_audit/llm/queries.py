@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, packing, quality, secret_scan, tiff, token_counts, warc
+from . import decontaminate, jaccard_join, license_scan, packing, quality, secret_scan, tiff, token_counts, warc
 from .common import read_table, stash
 
 
@@ -34,6 +34,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limit_answers(token_counts.length_histogram(read_table(spark, sf_dir, "documents")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_copies(read_table(spark, sf_dir, "documents"))
+
+
 def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     files = tiff.texts_to_tiff(docs)
@@ -72,7 +76,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_token_counts, op6_tiff, op7_license_scan, op8_quality, op9_best_fit, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_token_counts, op4_jaccard_join, op6_tiff, op7_license_scan, op8_quality, op9_best_fit, op10_decontamination)}
 
 _WORDS = r"list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '')"
 _SHINGLES = "case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end"
@@ -122,6 +126,14 @@ with p as (select page_id, coalesce(html, '') as h, replace(replace(url, chr(13)
 r as (select *, case when strlen(h) >= 100 then min(page_id) over (partition by h) else page_id end as head from p)
 select page_id, strlen(h) as payload_bytes, sha256(h) as payload_digest, case when head <> page_id then 'revisit' else 'response' end as record_type,
 case when head <> page_id then head end as refers_to, url from r
+""",
+    "op4_jaccard_join": f"""
+with recursive d as (select doc_id, {_WORDS} as w from documents), s as materialized (select distinct doc_id, unnest({_SHINGLES}) as s from d),
+n as materialized (select d.doc_id, count(s.s) as n from d left join s using (doc_id) group by 1),
+o as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+e as materialized (select x, y from o join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+r(doc_id, root) as (select doc_id, doc_id from n union select e.x, r.root from r join e on e.y = r.doc_id)
+select n.doc_id, n.n as n_shingles, min(r.root) as component_id from n join r using (doc_id) group by 1, 2
 """,
     "op7_license_scan": _license_sql(),
     "op1_secret_scan": _secret_sql(),
