@@ -171,7 +171,7 @@ def endpoint_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.endpoint_inventory(D.ajax_code_report(_blocks(spark, sf_dir)))
 
 
-@query(BLOCKS_SQL + "select 0 as inline_js, count(*) filter (category = 'JS') as internal_js, 0 as external_js, 0 as inline_css, count(*) filter (category = 'CSS') as internal_css, 0 as external_css, count(*) as total from f")
+@query(BLOCKS_SQL + "select 0::bigint as inline_js, count(*) filter (category = 'JS') as internal_js, 0::bigint as external_js, 0::bigint as inline_css, count(*) filter (category = 'CSS') as internal_css, 0::bigint as external_css, count(*) as total from f")
 def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.findings_summary(_blocks(spark, sf_dir))
 
@@ -402,7 +402,7 @@ def assessment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.assessment_rows(R.extracted_blocks(_blocks(spark, sf_dir)))
 
 
-@query(_assess_sql() + "select count(*) as total, count(*) filter (state = 'A') as clean, count(*) filter (state = 'B') as bridge, 0 as inline, round((count(*) filter (state = 'A') + count(*) filter (state = 'B')) / count(*) * 100, 2) as refactorability from assessed")
+@query(_assess_sql() + "select count(*) as total, count(*) filter (state = 'A') as clean, count(*) filter (state = 'B') as bridge, 0::bigint as inline, round((count(*) filter (state = 'A') + count(*) filter (state = 'B')) / count(*) * 100, 2) as refactorability from assessed")
 def refactorability_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.refactorability_index(R.assessment_rows(R.extracted_blocks(_blocks(spark, sf_dir))))
 

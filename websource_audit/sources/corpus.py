@@ -17,7 +17,7 @@ SNIPPETS: tuple[tuple[str, str, str], ...] = (
     ("api/", "ItemsController.cs", "[ApiController]\n[Route(\"api/items\")]\npublic class Items {\n  [HttpGet] [WebMethod] [OperationContract]\n  void A() { Clients.All.Send(); Response.Write(\"<script>x</script>\"); HttpClient c; IJSRuntime r; new ChannelFactory<I>(); }\n}"),
     ("", "xhr.html", "<script>\nvar r = new XMLHttpRequest();\nr.onreadystatechange = f;\nr.open('GET', '/a');\nr.setRequestHeader('a', 'b');\nr.send();\nr.abort();\n</script>"),
     ("", "sockets.html", "<script>\nvar w = new WebSocket('wss://ws.example.org/live');\nvar e = new EventSource('/events');\nio('/chat');\nnew  Headers();\nnew Headers();\nnavigator.sendBeacon('/log');\n</script>"),
-    ("node_modules/pkg/", "index.js", "module.exports = require('left-pad');\n$.get('/x.html');"),
+    ("node_modules/pkg/", "demo.html", "<script>module.exports = require('left-pad');\n$.get('https://cdn.vendor.example/x.html');</script>"),
     ("", "remote.html", "<script src=\"https://cdn.example.net/lib.js\"></script>\n<script src=\"/js/app.js\"></script>\n<link rel=\"stylesheet\" href=\"https://cdn.example.net/a.css\">\n<link rel=\"stylesheet\" href=\"css/site.css\">\n<a href=\"../up/page.html#top\">u</a> <a href=\"https://other.example.com/x\">o</a> <a href=\"/files/a.pdf\">p</a>"),
     ("", "style.php", "<style>@import url(\"https://fonts.example.net/f.css\");\np { margin: 0 }</style>\n<style></style>\n<b style=\"x\">b</b>"),
     ("a/", "b.c.html", "<script>axios.get('https://api.example.org/v1/list');\nchart.draw();</script>"),
