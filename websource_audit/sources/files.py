@@ -24,7 +24,8 @@ def with_path_columns(df: DataFrame) -> DataFrame:
 def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root``: path, rel_path, directory, filename, extension, depth, size_bytes, bytes.
 
-    Filters on names and sizes reach the reader, so files that they drop are not opened.
+    Filters on names and sizes reach the reader, so files that they drop are not opened. Spark's readers pass over names
+    that start with a dot or an underscore.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     tail = "/" + root.split("://", 1)[-1].strip("/").split("/", 1)[-1] + "/" if "://" in root else root.rstrip("/") + "/"
