@@ -20,17 +20,25 @@ AJAX_NEEDLES = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def count(content: Column, pattern: str) -> Column:
     return F.regexp_count(content, F.lit(P.JAVA + pattern))
 
 
 def may_call(content: Column) -> Column:
     """Whether the pattern of network calls can match at all."""
-    low = F.lower(content)
-    out = content.rlike(r"(?i)\bio\s*\(")
-    for needle in AJAX_NEEDLES:
-        out = out | low.contains(needle)
-    return out
+
+    def test(low: Column) -> Column:
+        out = low.contains(AJAX_NEEDLES[0])
+        for needle in AJAX_NEEDLES[1:]:
+            out = out | low.contains(needle)
+        return out | low.rlike(r"\bio\s*\(")
+
+    return let(F.lower(content), test)
 
 
 def _feeds(text: Column) -> Column:
@@ -40,16 +48,18 @@ def _feeds(text: Column) -> Column:
 def matches(content: Column, pattern: str) -> Column:
     """All matches in order with their 1-based line: line feeds in the pieces and matches before it, plus one."""
     p = P.JAVA + pattern
-    texts = F.regexp_extract_all(content, F.lit(p), F.lit(0))
-    pieces = F.slice(F.split(content, p, -1), 1, F.size(texts))
-    cells = F.zip_with(texts, pieces, lambda t, b: F.struct(t.alias("text"), _feeds(b).alias("before"), _feeds(t).alias("within")))
     start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast(MATCHES).alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
         line = acc["at"] + c["before"]
         return F.struct((line + c["within"]).alias("at"), F.concat(acc["out"], F.array(F.struct(line.alias("line"), c["text"].alias("text")))).alias("out"))
 
-    return F.aggregate(cells, start, step)["out"]
+    def lines(texts: Column) -> Column:
+        pieces = F.slice(F.split(content, p, -1), 1, F.size(texts))
+        cells = F.zip_with(texts, pieces, lambda t, b: F.struct(t.alias("text"), _feeds(b).alias("before"), _feeds(t).alias("within")))
+        return F.when(F.size(texts) > 0, F.aggregate(cells, start, step)["out"]).otherwise(F.array().cast(MATCHES))
+
+    return let(F.regexp_extract_all(content, F.lit(p), F.lit(0)), lines)
 
 
 def ajax_matches(content: Column) -> Column:
@@ -57,8 +67,6 @@ def ajax_matches(content: Column) -> Column:
 
 
 def _rules(profile: str):
-    if profile not in ("depth", "static"):
-        raise ValueError("profile is depth or static")
     for texts, no, capability, category, counted, difficulty, other in P.AJAX_RULES:
         if profile == "static":
             if other.get("skip"):
@@ -69,17 +77,22 @@ def _rules(profile: str):
 
 def classify(text: Column, profile: str = "depth") -> Column:
     """Struct of category, capability, difficulty and is_counted (Yes or No) by the first rule that the match's text meets."""
-    low = F.lower(text)
+    if profile not in ("depth", "static"):
+        raise ValueError("profile is depth or static")
     row = lambda cap, cat, yes, hard: F.struct(F.lit(cat).alias("category"), F.lit(cap).alias("capability"), F.lit(hard).alias("difficulty"), F.lit("Yes" if yes else "No").alias("is_counted"))
-    chain = None
-    for texts, no, cap, cat, yes, hard in _rules(profile):
-        hit = low.contains(texts[0])
-        for t in texts[1:]:
-            hit = hit | low.contains(t)
-        if no:
-            hit = hit & ~low.contains(no)
-        chain = F.when(hit, row(cap, cat, yes, hard)) if chain is None else chain.when(hit, row(cap, cat, yes, hard))
-    return chain.otherwise(row(*P.AJAX_DEFAULT))
+
+    def first(low: Column) -> Column:
+        chain = None
+        for texts, no, cap, cat, yes, hard in _rules(profile):
+            hit = low.contains(texts[0])
+            for t in texts[1:]:
+                hit = hit | low.contains(t)
+            if no:
+                hit = hit & ~low.contains(no)
+            chain = F.when(hit, row(cap, cat, yes, hard)) if chain is None else chain.when(hit, row(cap, cat, yes, hard))
+        return chain.otherwise(row(*P.AJAX_DEFAULT))
+
+    return let(F.lower(text), first)
 
 
 def classify_sql(text: str, field: int, profile: str = "depth") -> str:
@@ -113,15 +126,17 @@ def details(code: Column, first_line: Column, profile: str = "static", with_endp
     """All matches of a piece of code, classified; lines count from ``first_line``."""
 
     def one(m: Column) -> Column:
-        c = classify(m["text"], profile)
-        return F.struct(
-            (first_line + m["line"] - 1).cast("long").alias("line"),
-            F.substring(m["text"], 1, 100).alias("code_snippet"),
-            c["category"].alias("category"),
-            c["capability"].alias("capability"),
-            c["difficulty"].alias("difficulty"),
-            c["is_counted"].alias("is_counted"),
-            (endpoint(code, m["text"]) if with_endpoint else F.lit(None).cast("string")).alias("endpoint"),
+        return let(
+            classify(m["text"], profile),
+            lambda c: F.struct(
+                (first_line + m["line"] - 1).cast("long").alias("line"),
+                F.substring(m["text"], 1, 100).alias("code_snippet"),
+                c["category"].alias("category"),
+                c["capability"].alias("capability"),
+                c["difficulty"].alias("difficulty"),
+                c["is_counted"].alias("is_counted"),
+                (endpoint(code, m["text"]) if with_endpoint else F.lit(None).cast("string")).alias("endpoint"),
+            ),
         )
 
     return F.transform(ajax_matches(code), one)

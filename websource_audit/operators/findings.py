@@ -43,7 +43,7 @@ def block_findings(files: DataFrame) -> DataFrame:
     """
     js = F.transform(ajax.matches(F.col("content"), P.INTERNAL_SCRIPT), lambda m: F.struct(m["line"].alias("line"), m["text"].alias("text"), F.lit("JS").alias("category"), F.lit("scriptblock").alias("code_type")))
     css = F.transform(ajax.matches(F.col("content"), P.INTERNAL_STYLE), lambda m: F.struct(m["line"].alias("line"), m["text"].alias("text"), F.lit("CSS").alias("category"), F.lit("styleblock").alias("code_type")))
-    rows = files.select(F.col("path").alias("file_path"), "rel_path", F.posexplode(F.concat(js, css)).alias("finding_no", "b"))
+    rows = files.select(F.col("path").alias("file_path"), "rel_path", F.posexplode_outer(F.concat(js, css)).alias("finding_no", "b")).filter("finding_no is not null")
     code = F.regexp_replace(F.regexp_replace(F.col("b.text"), r"(?is)^<[^>]*>\s*", ""), r"(?is)\s*</[a-z]+>$", "")
     feeds = F.length(code) - F.length(F.replace(code, F.lit("\n"), F.lit("")))
     out = rows.select(
@@ -88,7 +88,7 @@ def enrich_findings(findings: DataFrame) -> DataFrame:
 def ajax_code_report(findings: DataFrame) -> DataFrame:
     """One row per network call of enriched findings; `#` numbers are added by add_row_ids where they are wanted."""
     yes = lambda c: F.when(c, "Yes").otherwise("No")
-    rows = findings.select("*", F.posexplode("ajax_details").alias("match_no", "d"))
+    rows = findings.select("*", F.posexplode_outer("ajax_details").alias("match_no", "d")).filter("match_no is not null")
     return rows.select(
         F.col("file_path").alias("File_Path"), paths.filename(F.col("rel_path")).alias("File_Name"), "finding_no", F.col("match_no").cast("long").alias("match_no"), F.col("d.category").alias("Category"), F.col("d.capability").alias("Capability"),
         F.col("d.is_counted").alias("Is_Valid_Call"), F.col("d.line").alias("Start_Line"), F.col("end_line").alias("End_Line"), F.col("d.endpoint").alias("Endpoint"), yes(F.col("has_server_deps")).alias("Has_Server_Dependencies"),

@@ -24,11 +24,13 @@ METRICS = (*COUNTS, "AJAX_Calls_Count", "Dynamic_JS_Gen_Count", "Dynamic_CSS_Gen
 
 
 def _gated(content: Column, pattern: str, needles: tuple[str, ...]) -> Column:
-    low = F.lower(content)
-    hit = low.contains(needles[0])
-    for n in needles[1:]:
-        hit = hit | low.contains(n)
-    return F.when(hit, ajax.count(content, pattern)).otherwise(0)
+    def test(low: Column) -> Column:
+        hit = low.contains(needles[0])
+        for n in needles[1:]:
+            hit = hit | low.contains(n)
+        return hit
+
+    return F.when(ajax.let(F.lower(content), test), ajax.count(content, pattern)).otherwise(0)
 
 
 def file_metrics(files: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def inventory(metrics: DataFrame) -> DataFrame:
 
 def ajax_detail_rows(metrics: DataFrame) -> DataFrame:
     """One row per match, in order of occurrence within a file."""
-    return metrics.select("path", "filename", F.posexplode("ajax_details").alias("pos", "d")).select(
+    return metrics.select("path", "filename", F.posexplode_outer("ajax_details").alias("pos", "d")).filter("pos is not null").select(
         F.col("path").alias("File_Path"), F.col("filename").alias("Filename"), F.col("pos").cast("long").alias("Match_No"), F.col("d.line").alias("Line"), F.col("d.code_snippet").alias("Code_Snippet"),
         F.col("d.category").alias("Category"), F.col("d.capability").alias("Capability"), F.col("d.difficulty").alias("Difficulty"), F.col("d.is_counted").alias("Is_Counted"),
     )
