@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words of one shingle, and the Jaccard similarity (in hundredths) from which sets count as near copies.
 SHINGLE_WORDS = 5
 NEAR_PERCENT = 80
-#: Entries that a worker keeps in a word cache before it starts a new one.
-CACHE_ENTRIES = 1_000_000
+#: Entries that a worker keeps in each age of a cache: words, and chunks in front of them. Several workers share an executor.
+CACHE_ENTRIES = 250_000
+CHUNK_ENTRIES = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -82,36 +86,84 @@ def shingle_hashes(words: list[bytes], cache: WordHashes, n: int = SHINGLE_WORDS
     return out
 
 
-class ChunkIds(dict):
-    """Token ids (little-endian unsigned 32 bits) of white-space free chunks.
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(x) if x in prints else chr(next(rest)) for x in range(256)]
 
-    The tokenizer drops white space and never merges across it, so the ids of a text are those of its chunks in turn.
-    """
 
-    def __init__(self, tokenizer_path: str) -> None:
+class Aged(dict):
+    """A cache of two ages: when the young one is full it becomes the old one, and what is asked for again stays."""
+
+    def __init__(self, size: int) -> None:
         super().__init__()
+        self.size, self.old = size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(key)
+        self[key] = ids = self.make(key) if ids is None else ids
+        return ids
+
+
+class WordIds(Aged):
+    """Token ids (little-endian unsigned 32 bits) of plain words or marks, which need no normalizing or cutting."""
+
+    def __init__(self, tokenizer_path: str) -> None:
+        super().__init__(CACHE_ENTRIES)
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[chunk] = ids = self.encode(chunk)
-        return ids
+    def make(self, word: str) -> bytes:
+        inner = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return struct.pack(f"<{len(got := self.model.tokenize(inner))}I", *(t.id for t in got))
+
+
+#: A word that the tokenizer lower-cases letter by letter and keeps apart from the mark after it.
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)")
+
+
+class ChunkIds(Aged):
+    """Token ids of white-space free chunks.
+
+    The tokenizer drops white space and never merges across it, so the ids of a text are those of its chunks in turn.
+    Likewise a plain word and the mark after it are encoded apart, so words in any case, with a mark or without, are
+    encoded once.
+    """
+
+    def __init__(self, tokenizer_path: str) -> None:
+        super().__init__(CHUNK_ENTRIES)
+        self.words = WordIds(tokenizer_path)
+
+    def make(self, chunk: str) -> bytes:
+        m = _PLAIN.fullmatch(chunk.lower())
+        if m is None:
+            return self.words.encode(chunk)
+        return self.words[m[1]] + self.words[m[2]] if m[2] else self.words[m[1]]
 
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
         # str.split() also cuts at these four, which the tokenizer keeps
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self.encode(text)
+            return self.words.encode(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
+@functools.cache
+def chunk_ids(tokenizer_path: str | None) -> ChunkIds:
+    """The ids known to this Python worker: later tasks go on with them."""
+    return ChunkIds(tokenizer_path or default_tokenizer())
+
+
 def default_tokenizer() -> str:
     """Path of the public word-level BPE vocabulary, on the machine that asks."""
     import public_tokenizers

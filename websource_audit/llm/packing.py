@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ChunkIds, column, default_tokenizer, slices, stash
+from .common import chunk_ids, column, slices, stash
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -35,7 +35,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = ChunkIds(tokenizer_path or default_tokenizer()), np.uint32(END_ID).astype("<u4").tobytes()
+        ids, end = chunk_ids(tokenizer_path), np.uint32(END_ID).astype("<u4").tobytes()
         seen: dict[int, int] = defaultdict(int)
         task = TaskContext.get().partitionId()
         for b in slices(batches):
