@@ -8,6 +8,8 @@ are its own evidence plus what its path says beyond the global share.
 
 from __future__ import annotations
 
+import math
+import operator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,28 +26,32 @@ BROADCAST_SITES = 200_000
 THRESHOLD = 0.5
 FEATURES = ("symbols", "upper", "digits", "repeats", "distinct", "line_copies", "log_words", "word_length", "other_script")
 
-_SYMBOLS = str.maketrans("", "", "#$%&*!|~^<>{}[]\\=@_+")
-_DIGITS = str.maketrans("", "", "0123456789")
-_UPPER = str.maketrans("", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+# bytes that features count; all are ASCII, so they stand for themselves in UTF-8
+_SYMBOLS = b"#$%&*!|~^<>{}[]\\=@_+"
+_DIGITS = b"0123456789"
+_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SPACE = b" \t\n\r\x0b\x0c"
 
 
 def text_features(text: str | None) -> tuple[float, ...]:
     """Statistics of a whole text, by FEATURES; null and empty texts give zeros."""
     if not text:
         return (0.0,) * len(FEATURES)
-    n, words = len(text), text.split()
+    raw = text.encode("utf-8", "surrogatepass")
+    n, size, words = len(text), len(raw), raw.split()
     m = max(1, len(words))
-    lines = text.split("\n")
+    lines = raw.split(b"\n")
+    held = lambda marks: (size - len(raw.translate(None, marks))) / n
     return (
-        (n - len(text.translate(_SYMBOLS))) / n,
-        (n - len(text.translate(_UPPER))) / n,
-        (n - len(text.translate(_DIGITS))) / n,
-        sum(map(str.__eq__, words, words[1:])) / m,
+        held(_SYMBOLS),
+        held(_UPPER),
+        held(_DIGITS),
+        sum(map(operator.eq, words, words[1:])) / m,
         len(set(words)) / m,
         1 - len(set(lines)) / len(lines),
-        float(np.log1p(len(words))),
-        sum(map(len, words)) / m,
-        0.0 if text.isascii() else (len(text.encode("utf-8", "surrogatepass")) - n) / n,
+        math.log1p(len(words)),
+        len(raw.translate(None, _SPACE)) / m,
+        (size - n) / n,
     )
 
 
@@ -148,15 +154,20 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     return stash(out.select("host", "path", "n", "host_share", path_share.alias("path_share"), F.lit(share).alias("global_share")), "sites")
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE_LABELS) -> DataFrame:
+def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE_LABELS, keep_text: bool = True) -> DataFrame:
     """All rows of ``docs`` as (doc: all its columns as a struct, log_odds, host_share, path_share, quality, keep).
 
+    Without ``keep_text`` the struct lacks the text, the scored rows are written once and texts are read in one pass.
+
     quality is the posterior probability of a good document, keep whether it reaches the threshold. Null and empty
     texts are scored like any other; repeated rows repeat; empty tables give no rows. The struct keeps the
     columns of ``docs`` apart from ours, whatever their names.
     """
     model = fit(docs, labels, sample, id_col, text_col)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), host.alias("host"), path.alias("path"), evidence(docs[text_col], model).alias("log_odds"))
+    held = [c for c in docs.columns if keep_text or c != text_col]
+    rows = docs.select(F.struct(*(docs[c] for c in held)).alias("doc"), host.alias("host"), path.alias("path"), evidence(docs[text_col], model).alias("log_odds"))
+    if not keep_text:
+        rows = stash(rows, "scored")
     sites = site_posteriors(rows.select("host", "path", "log_odds"))
     small = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
     s = sites.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_share", "path_share", "global_share")

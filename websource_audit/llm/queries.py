@@ -69,7 +69,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    found = quality.with_quality(docs, labels, F.col("source"), F.col("lang"))
+    found = quality.with_quality(docs, labels, F.col("source"), F.col("lang"), keep_text=False)
     return found.select("doc.doc_id", "doc.source", "doc.lang", "log_odds", "host_share", "path_share", "quality", "keep")
 
 
