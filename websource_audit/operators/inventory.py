@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import ajax, paths
 from ..functions import patterns as P
 
-#: Count columns: pattern, and texts one of which stands in whatever it matches.
+#: Count columns: pattern, and cheap tests one of which holds for whatever it matches: a text, or a plain pattern after "re:".
 COUNTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "Inline_CSS_Count": (P.INLINE_CSS, ("style",)),
     "Internal_Style_Blocks_Count": (P.INTERNAL_STYLE, ("</style>",)),
     "External_Stylesheet_Links_Count": (P.EXTERNAL_STYLESHEET, ("stylesheet", "@import")),
-    "Inline_JS_Count": (P.INLINE_JS, ("on", "javascript:")),
+    "Inline_JS_Count": (P.INLINE_JS, ("javascript:", r"re:\bon[^\s=]+\s*=")),
     "Internal_Script_Blocks_Count": (P.INTERNAL_SCRIPT, ("</script>",)),
-    "External_Script_Tags_Count": (P.EXTERNAL_SCRIPT, ("<script", "import", "require", "define")),
+    "External_Script_Tags_Count": (P.EXTERNAL_SCRIPT, ("src", "import", "require", "define")),
 }
 DYNAMIC_JS_NEEDLES = (".src", "document.", ".appendchild", ".insertbefore", "eval", "function", "settimeout", "setinterval", "import", "require", "innerhtml", "outerhtml", "insertadjacenthtml")
 DYNAMIC_CSS_NEEDLES = (".src", "document.", ".rel", ".href", ".style", ".csstext", "setproperty", "insertrule", "addrule", "setattribute", ".classlist", "cssstylesheet", "adoptedstylesheets")
@@ -27,7 +27,7 @@ def _gated(content: Column, pattern: str, needles: tuple[str, ...]) -> Column:
     def test(low: Column) -> Column:
         hit = low.contains(needles[0])
         for n in needles[1:]:
-            hit = hit | low.contains(n)
+            hit = hit | (low.rlike(n[3:]) if n.startswith("re:") else low.contains(n))
         return hit
 
     return F.when(ajax.let(F.lower(content), test), ajax.count(content, pattern)).otherwise(0)
