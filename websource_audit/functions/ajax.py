@@ -10,15 +10,6 @@ from . import patterns as P
 MATCHES = "array<struct<line:long,text:string>>"
 DETAILS = "array<struct<line:long,code_snippet:string,category:string,capability:string,difficulty:string,is_counted:string,endpoint:string>>"
 
-#: One of these stands in every text that the pattern of network calls matches; most files hold none and are done with.
-AJAX_NEEDLES = (
-    "fetch", "xmlhttprequest", "$", "jquery", "axios", "superagent", "http", ".load", "ajax", ".serialize", ".open", "onreadystatechange", ".send", "websocket",
-    "eventsource", "sendbeacon", "activexobject", "hubconnection", "sys.net", "pagemethods", "__dopostback", "sys.webforms", ".setrequestheader", ".abort",
-    ".getresponseheader", ".getallresponseheaders", "headers", "request", "json.", ":updatepanel", "scriptmanager", "clientscript", "[webmethod]", "[scriptmethod]",
-    "[webservice]", "[operationcontract]", "[apicontroller]", "[route", "[hubname]", "clients.", "@url", "system.web.extensions", "scriptresourcehandler", "aspxcallback",
-    "usequery", "usemutation", "jsonp", "response.write", "channelfactory", "ijsruntime", "backgroundfetch", "iframe", "formdata", "image",
-)
-
 
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
@@ -29,18 +20,6 @@ def count(content: Column, pattern: str) -> Column:
     return F.regexp_count(content, F.lit(P.JAVA + pattern))
 
 
-def may_call(content: Column) -> Column:
-    """Whether the pattern of network calls can match at all."""
-
-    def test(low: Column) -> Column:
-        out = low.contains(AJAX_NEEDLES[0])
-        for needle in AJAX_NEEDLES[1:]:
-            out = out | low.contains(needle)
-        return out | low.rlike(r"\bio\s*\(")
-
-    return let(F.lower(content), test)
-
-
 def _feeds(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long")
 
@@ -63,7 +42,7 @@ def matches(content: Column, pattern: str) -> Column:
 
 
 def ajax_matches(content: Column) -> Column:
-    return F.when(may_call(content), matches(content, P.AJAX)).otherwise(F.array().cast(MATCHES))
+    return matches(content, P.AJAX_FAST)
 
 
 def _rules(profile: str):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 #: Java dialect of the patterns: any case, Unicode-aware classes, "." stops at line feeds only.
 JAVA = "(?iUd)"
 #: The same for DuckDB's engine, where U would mean something else.
@@ -97,6 +99,21 @@ AJAX_PARTS = (
 )
 AJAX = "(?:" + "|".join(AJAX_PARTS) + ")"
 
+
+def by_first_letter(parts: tuple[str, ...]) -> str:
+    """The same alternation, entered by first letter: at one place only parts of one first letter compete, and these keep their order."""
+    groups: dict[str, list[str]] = {}
+    for part in parts:
+        bare = part.removeprefix(r"\b")
+        heads = bare[3 : bare.index(")")].split("|") if bare.startswith("(?:") else [bare]
+        for head in dict.fromkeys(h.removeprefix("\\")[0].lower() for h in heads):
+            groups.setdefault(re.escape(head), []).append(part)
+    return f"(?=[{''.join(groups)}])(?:" + "|".join(f"(?=[{c}])(?:{'|'.join(own)})" for c, own in groups.items()) + ")"
+
+
+#: For engines with look-ahead: several times faster on text that doesn't match.
+AJAX_FAST = by_first_letter(AJAX_PARTS)
+
 # Code made at run time.
 DYNAMIC_JS_PARTS = (
     r"""\.src\s*=\s*["'][^"']+\.js["']""",
