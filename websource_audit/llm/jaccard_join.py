@@ -32,7 +32,7 @@ BROADCAST_IDS = 2_000_000
 #: Rounds in which documents meet leaders before the rest is multiplied out.
 LEADER_ROUNDS = 2
 
-SETS = "doc_id long, n long, sig binary, entries array<long>"
+SETS = "doc_id long, n long, sig binary, last long, entries array<long>"
 
 
 def entries_of(text: str | None, cache: WordHashes, words: int) -> np.ndarray:
@@ -83,7 +83,10 @@ def common_entries(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """SETS: per row the size and digest of its set, and the entries that a partner must meet; for copies within a task only once."""
+    """SETS: per row the size and digest of its set, and the entries that a partner must meet; for copies within a task only once.
+
+    ``last`` is the place of the last of these entries in the order of n-grams.
+    """
     common = docs.sparkSession.sparkContext.broadcast(common_entries(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +95,7 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         bits[last >> np.uint64(42)] = True
         seen: set[bytes] = set()
         for b in slices(batches):
-            sizes, sigs, firsts = [], [], []
+            sizes, sigs, lasts, firsts = [], [], [], []
             for doc, text in zip(column(b, "d"), column(b, "t"), strict=True):
                 own = entries_of(text, cache, words)
                 n = len(own)
@@ -100,16 +103,20 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 sig = xxhash.xxh3_128_digest(own.tobytes())
                 sigs.append(sig)
                 if not n or doc is None or sig in seen:
+                    lasts.append(None)
                     firsts.append(None)
                     continue
                 seen.add(sig)
                 keep = n - least_shared(n, percent) + 1
                 late = bits[own >> np.uint64(42)]
                 if late.any():
-                    late[late] = np.isin(own[late], last, assume_unique=True)
-                    own = np.concatenate([own[~late][:keep], own[late][:keep]])
-                firsts.append(own[:keep].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "entries"])
+                    some = own[late]
+                    late[late] = last[np.searchsorted(last, some).clip(max=len(last) - 1)] == some
+                early = own[~late][:keep]
+                own = np.concatenate([early, own[late][: keep - len(early)]])
+                lasts.append(int(own[-1]) >> 2 | (keep > len(early)) << 62)
+                firsts.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(lasts, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "last", "entries"])
 
     return stash(docs.mapInArrow(run, SETS), "sets")
 
@@ -139,37 +146,49 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 
 def apart(columns_: DataFrame) -> DataFrame:
-    """The entries (s, doc_id, n, comp) of columns that hold documents of several components."""
+    """The entries (s, i, doc_id, n, last, comp) of columns that hold documents of several components, with held: how many a document has."""
     mixed = columns_.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("s")
-    return columns_.join(mixed, "s", "left_semi")
+    left = stash(columns_.join(mixed, "s", "left_semi"), "mixed")
+    return left.join(left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("held")), "doc_id")
+
+
+def may_link(percent: int):
+    """Whether sets a and b can be similar enough, by their sizes and by the columns that are left to them.
+
+    Similar sets of x and y entries share t (x + y) / (1 + t) or more. Of two, take the one whose indexed entries end first in the
+    order: each shared entry up to that place is among its ``held`` columns, and behind it there are ceil(t n) - 1.
+    """
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    most = lambda x: F.col(f"h{x}") + F.ceil(F.col(f"n{x}") * percent / 100) - 1
+    first = F.when(F.col("la") < F.col("lb"), most("a")).when(F.col("lb") < F.col("la"), most("b")).otherwise(F.greatest(most("a"), most("b")))
+    return sizes & (first * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
 
 
-def sizes_fit(percent: int):
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+def _side(x: str) -> list:
+    return [F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("held").alias(f"h{x}"), F.col("last").alias(f"l{x}"), F.col("comp").alias(f"c{x}")]
 
 
 def leader_pairs(columns_: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each document with the leader of each of its columns, if they are apart. The leader is of the column's largest component."""
     key = F.col("doc_id") if turn == 0 else F.xxhash64("s", "doc_id", F.lit(turn))
-    by_comp = columns_.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(key.alias("k"), "doc_id", "n")).alias("lead"))
+    by_comp = columns_.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(key.alias("k"), "doc_id", "n", "held", "last")).alias("lead"))
     best = by_comp.groupBy("s").agg(F.max(F.struct("c", (-F.col("comp")).alias("o"), "lead")).alias("m"))
-    best = best.select("s", F.col("m.lead.doc_id").alias("b"), F.col("m.lead.n").alias("nb"), (-F.col("m.o")).alias("cb"))
-    rows = columns_.join(best, "s").filter("comp <> cb").select(F.col("doc_id").alias("a"), "b", F.col("n").alias("na"), "nb")
-    return rows.filter(sizes_fit(percent)).select("a", "b").distinct()
+    best = best.select("s", "m.lead.*", (-F.col("m.o")).alias("comp")).select("s", *_side("b"))
+    rows = columns_.select("s", *_side("a")).join(best, "s").filter("ca <> cb")
+    return rows.filter(may_link(percent)).select("a", "b").distinct()
 
 
 def product_pairs(columns_: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components, by the overlap counts accumulated over their shared columns.
+    """Pairs of different components that may be similar, with the overlap counts accumulated over their shared columns.
 
-    Two sets of x and y entries at similarity t share t (x + y) / (1 + t) or more. Beside the counted columns they can only share
-    entries behind the place up to which one of them was indexed, of which there are ceil(t n) - 1.
+    For sizes x and y and the overlap o = ceil(t (x + y) / (1 + t)) that they need, only the first x - o + 1 and y - o + 1 entries
+    are multiplied: similar sets meet there, and elsewhere a product says nothing new.
     """
-    a = columns_.select("s", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = columns_.select("s", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = a.join(b, "s").filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & sizes_fit(percent))
-    counts = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("o"))
-    rest = F.ceil(F.greatest("na", "nb") * percent / 100) - 1
-    return counts.filter((F.col("o") + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    a, b = (columns_.select("s", F.col("i").alias(f"i{x}"), *_side(x)) for x in "ab")
+    overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    early = (F.col("ia") <= F.col("na") - overlap) & (F.col("ib") <= F.col("nb") - overlap)
+    pairs = a.join(b, "s").filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & early & may_link(percent))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("o")).select("a", "b")
 
 
 def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -195,9 +214,9 @@ def near_copies(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = NEAR
     known = stash(known, "nodes")
     nodes = known.select("doc_id", "comp")
     links = known.filter("comp < other").select(F.col("comp").alias("a"), F.col("other").alias("b"))
-    postings = sets.filter("entries is not null and doc_id is not null").select(F.explode("entries").alias("s"), "doc_id", "n")
+    postings = sets.filter("entries is not null and doc_id is not null").select(F.posexplode("entries").alias("i", "s"), "doc_id", "n", "last")
     shared = stash(postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s"), "shared")
-    entries = stash(apart(postings.join(shared, "s").join(nodes, "doc_id").select("s", "doc_id", "n", "comp")), "entries")
+    entries = stash(apart(postings.join(shared, "s").join(nodes, "doc_id").select("s", "i", "doc_id", "n", "last", "comp")), "entries")
     wanted = stash(entries.select("doc_id").distinct(), "wanted")
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = stash(rows.select(F.col("d").alias("doc_id"), F.col("t").alias("text")).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
@@ -206,7 +225,7 @@ def near_copies(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = NEAR
         found = verified(pairs, texts, words, percent)
         nodes = merged(nodes, found if turn else found.unionByName(links))
         if turn < LEADER_ROUNDS:
-            entries = stash(apart(entries.drop("comp").join(nodes, "doc_id")), "entries")
+            entries = stash(apart(entries.drop("comp", "held").join(nodes, "doc_id")), "entries")
             if entries.isEmpty():
                 break
     final = nodes.select(F.col("doc_id").alias("k"), F.col("comp").alias("component_id"))
