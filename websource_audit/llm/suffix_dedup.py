@@ -28,6 +28,8 @@ GRAMS = LENGTH - GRAM + 1
 RUN_CONTEXTS, PART_CONTEXTS = 200_000, 8_000
 #: Distinct contexts of a gram up to which they are compared in pairs; more are compared window by window.
 PAIRWISE = 12
+#: Ids of whole copies that are broadcast; beyond it they meet the documents by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Bytes of removed intervals that are broadcast to the texts; beyond it both meet by a shuffle.
 BROADCAST_BYTES = 32_000_000
 
@@ -351,10 +353,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = stash(own.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
     known = stash(own.join(first, "digest").select("doc_id", "digest", (F.col("first") < F.col("doc_id")).alias("whole")), "known")
     mark = F.sha2("t", 256)
-    firsts = known.filter("not whole").select(F.col("doc_id").alias("k"), F.col("digest").alias("kd"))
-    heads = rows.join(firsts, (F.col("doc_id") == F.col("k")) & (mark == F.col("kd")), "left_semi")
-    if rows.count() != known.count():
-        heads = heads.dropDuplicates(["doc_id"])
+    copies = known.filter("whole").select(F.col("doc_id").alias("k"))
+    if rows.filter("doc_id is not null and t is not null").count() == known.count():
+        # ids are unique: all but the copies, whose ids are few enough to send, so the texts stay where they are
+        few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        heads = rows.filter("doc_id is not null and t is not null").join(F.broadcast(copies) if few else copies, F.col("doc_id") == F.col("k"), "left_anti")
+    else:
+        firsts = known.filter("not whole").select(F.col("doc_id").alias("k"), F.col("digest").alias("kd"))
+        heads = rows.join(firsts, (F.col("doc_id") == F.col("k")) & (F.sha2("t", 256) == F.col("kd")), "left_semi").dropDuplicates(["doc_id"])
     found = repeated_intervals(heads).groupBy("doc_id").agg(F.collect_list("data").alias("spans"))
     found = stash(known.join(found, "doc_id", "left").filter("whole or spans is not null").select(F.col("doc_id").alias("k"), F.col("digest").alias("kd"), "whole", "spans"), "cuts")
     size = found.agg(F.sum(F.lit(100) + F.coalesce(F.aggregate("spans", F.lit(0), lambda n, x: n + F.octet_length(x)), F.lit(0)))).first()[0] or 0
