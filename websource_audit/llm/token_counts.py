@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ChunkIds, column, default_tokenizer, slices
+from .common import chunk_ids, column, slices, stash
 
 #: Lengths summed as one block: the running sums go over blocks first, then within each.
 BLOCK = 256
@@ -22,7 +22,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", tokenizer_path: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seen = ChunkIds(tokenizer_path or default_tokenizer()), {}
+        ids, seen = chunk_ids(tokenizer_path), {}
         for b in slices(batches):
             for text in column(b, "t"):
                 n = len(ids.of(text)) // 4
@@ -49,6 +49,7 @@ def limit_answers(histogram: DataFrame) -> DataFrame:
     document is cut to the limit; docs_cut: documents that the limit cuts; quantile: share of documents up to it.
     Sums run over blocks of lengths, then inside each block, so no task sees more than a block's lengths or all blocks.
     """
+    histogram = stash(histogram, "histogram")  # read twice below
     cut = histogram.withColumn("block", F.floor(F.col("length") / BLOCK))
     later = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy()
