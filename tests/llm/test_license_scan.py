@@ -38,3 +38,25 @@ def test_threshold_and_rows(spark, documents):
     low = L.license_blocks(documents(TEXTS), percent=50)
     assert low.count() > L.license_blocks(documents(TEXTS)).count() > 0
     assert L.scan_licenses(documents([])).count() == 0
+
+
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation\n * files (the \"Software\")"
+BSD = "Redistribution and use in source and binary forms, with or without\r\n// modification, are permitted provided that"
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"
+WRAPPED = [
+    (MIT, {"mit"}),
+    (BSD, {"bsd"}),
+    ("int x;\n\n# " + MPL + "\n#\n# y", {"mpl-2"}),
+    (MPL.replace("Mozilla Public\n", "Mozilla Public\n *\n\n"), set()),
+    ("Licensed under CC BY 4.0.", {"cc-by"}),
+    ("Licensed under CC\nBY-NC 4.0.", {"cc-by", "cc-by-nc"}),
+    (" filler filler ".join(MIT.split()), set()),
+    ("so " * 5000 + "\n" + MIT + "\n" + "so " * 5000, {"mit"}),
+    (None, set()),
+]
+
+
+def test_wrapped_templates_are_met_in_paragraphs(spark, documents):
+    rows = L.scan_licenses(documents([t for t, _ in WRAPPED]), paragraphs=True).collect()
+    assert {r.id: {m.label for m in r.matches} for r in rows} == {k: want for k, (_, want) in enumerate(WRAPPED)}
+    assert {r.id: [(m.block, m.template, m.shared) for m in r.matches] for r in rows}[2] == [(1, 7, 16)]

@@ -32,6 +32,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, after lower-casing A-Z.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Between paragraphs, in a lower-cased text: one line or more without words.
+BREAK = rf"\n{GAPS[:-1]}*\n"
+#: A paragraph meets a template within so many times the template's words in a row.
+SPAN = 2
+#: Tokens that a run of words must hold whatever the percentage, as they tell one label from another.
+MUST = {"cc-by-nc": ("nc",)}
+
 MATCHES = "array<struct<block:int,template:int,label:string,shared:int,score:double>>"
 
 
@@ -77,8 +84,25 @@ def token_order(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) ->
     return sorted(tokens, key=lambda t: (count[t], t))
 
 
-def block_matches(text: Column, pad: Column, order: list[str], percent: int = CONTAINMENT_PERCENT, templates=TEMPLATES) -> Column:
-    """All (block, template) pairs of a text that meet the threshold; blocks are its lines, from 0."""
+def holds(token: str):
+    return lambda run: F.array_contains(run, token)
+
+
+def best_run(words: Column, own: Column, label: str, size: int) -> Column:
+    """Most distinct tokens of a template in ``size`` words in a row; runs that start at a token suffice. Null if no run holds what it must."""
+    starts = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(own, w), i)), lambda i: i.isNotNull())
+    runs = F.transform(starts, lambda i: F.array_intersect(own, F.slice(words, i + 1, F.lit(size))))
+    for token in MUST.get(label, ()):
+        runs = F.filter(runs, holds(token))
+    return F.array_max(F.transform(runs, F.size))
+
+
+def block_matches(text: Column, pad: Column, order: list[str], percent: int = CONTAINMENT_PERCENT, templates=TEMPLATES, paragraphs: bool = False) -> Column:
+    """All (block, template) pairs of a text that meet the threshold; blocks are its lines, from 0, or its paragraphs.
+
+    A template may stand wrapped in a paragraph, so its lines are joined; then the tokens must stand within a run of
+    SPAN times the template's words, as a long paragraph holds many words far apart.
+    """
     rank = {t: k for k, t in enumerate(order)}
     sets = [sorted(template_tokens(t), key=rank.__getitem__) for _, t in templates]
     heads = [s[: len(s) - need(len(s), percent) + 1] for s in sets]
@@ -89,6 +113,19 @@ def block_matches(text: Column, pad: Column, order: list[str], percent: int = CO
     words = F.array(*map(F.lit, order))
     none = F.array().cast(MATCHES)
 
+    def met(k: int, words_: Column, at: Column) -> Column:
+        (label, template), tokens = templates[k], sets[k]
+        m, least = len(tokens), need(len(tokens), percent)
+        own = F.array(*map(F.lit, tokens))
+        size = SPAN * len(re.sub(GAPS, " ", template.lower()).split())
+        row = lambda n: F.struct(at.alias("block"), F.lit(k).alias("template"), F.lit(label).alias("label"), n.alias("shared"), (n / F.lit(m)).alias("score"))
+        near = F.arrays_overlap(words_, F.array(*map(F.lit, heads[k]))) & (F.size(F.array_intersect(words_, own)) >= least)
+        return F.when(near, F.transform(F.filter(F.array(best_run(words_, own, label, size)), lambda n: n >= least), row)).otherwise(none)
+
+    def of_paragraph(block: Column, at: Column) -> Column:
+        split = F.split(F.trim(F.regexp_replace(block, GAPS, " ")), " ")
+        return F.flatten(F.transform(F.array(split), lambda ws: F.concat(*(met(k, ws, at) for k in range(len(templates))))))
+
     def of_block(block: Column, at: Column) -> Column:
         held = F.array_intersect(words, F.split(padded(block), " "))  # in global order
 
@@ -107,12 +144,13 @@ def block_matches(text: Column, pad: Column, order: list[str], percent: int = CO
 
         return F.flatten(F.transform(F.array(held), of_held))
 
-    found = F.flatten(F.transform(F.split(text, "\n", -1), of_block)).cast(MATCHES)
+    blocks = F.split(F.translate(text, UPPER, LOWER), BREAK, -1) if paragraphs else F.split(text, "\n", -1)
+    found = F.flatten(F.transform(blocks, of_paragraph if paragraphs else of_block)).cast(MATCHES)
     return F.when(gate, found).otherwise(none) if gate is not None else none
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = CONTAINMENT_PERCENT, phrases=BASE_PHRASES, templates=TEMPLATES) -> DataFrame:
-    """(id, n_words, places, matches) of every row: where base phrases stand, and the blocks that match templates.
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = CONTAINMENT_PERCENT, phrases=BASE_PHRASES, templates=TEMPLATES, paragraphs: bool = False) -> DataFrame:
+    """(id, n_words, places, matches) of every row: where base phrases stand, and the blocks (lines or paragraphs) that match templates.
 
     Null and empty texts have no words, places or matches; repeated rows repeat. Only the two columns named are read.
     """
@@ -121,7 +159,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).withColumn("p", padded(text))
     place = lambda label: lambda at: F.struct(at.alias("start"), F.lit(label).alias("label"))
     places = [F.transform(phrase_starts(F.col("p"), phrase), place(label)) for phrase, label in phrases]
-    return rows.select("id", word_count(F.col("p")).alias("n_words"), F.concat(*places).alias("places"), block_matches(text, F.col("p"), order, percent, templates).alias("matches"))
+    return rows.select("id", word_count(F.col("p")).alias("n_words"), F.concat(*places).alias("places"), block_matches(text, F.col("p"), order, percent, templates, paragraphs).alias("matches"))
 
 
 def license_blocks(docs: DataFrame, **options) -> DataFrame:

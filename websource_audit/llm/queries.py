@@ -51,8 +51,7 @@ def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+def _license_rows(found: DataFrame) -> DataFrame:
     starts = F.transform("places", lambda p: p["start"])
     labels = lambda *xs: F.array_join(F.array_sort(F.array_distinct(F.concat(*(F.transform(x, lambda y: y["label"]) for x in xs)))), ",")
     return found.select(
@@ -67,6 +66,16 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks are lines, as in the SQL."""
+    return _license_rows(license_scan.scan_licenses(read_table(spark, sf_dir, "documents")))
+
+
+def op7_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks are paragraphs, so wrapped templates are met."""
+    return _license_rows(license_scan.scan_licenses(read_table(spark, sf_dir, "documents"), paragraphs=True))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     found = quality.with_quality(docs, labels, F.col("source"), F.col("lang"), keep_text=False)
@@ -81,7 +90,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_token_counts, op4_jaccard_join, op5_suffix_dedup, op6_tiff, op7_license_scan, op8_quality, op9_best_fit, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_token_counts, op4_jaccard_join, op5_suffix_dedup, op6_tiff, op7_license_scan, op7_license_paragraphs, op8_quality, op9_best_fit, op10_decontamination)}
 
 _WORDS = r"list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '')"
 _SHINGLES = "case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end"
