@@ -86,3 +86,23 @@ def test_odd_tables(spark, documents):
     out = S.without_repeats(documents([(1, t), (1, t), (2, t), (None, t), (None, None), (3, u), (3, "e" * 90)]).withColumnRenamed("lang", "spans")).collect()
     kept = {r.doc_id: r.n_removed for r in out if r.doc_id == 2}
     assert kept == {2: 200} and len(out) == 7 and all(r.n_removed == 0 for r in out if r.doc_id is None)
+
+
+@pytest.mark.parametrize("seed,hot", [(1, 0), (2, 4)])
+def test_frequent_grams_are_not_gathered(spark, documents, seed, hot, monkeypatch):
+    """A line in all documents between differing neighbours: none of its contexts reaches a merged run."""
+    monkeypatch.setattr(S, "HOT_GRAM", hot, raising=False)
+    written, stash = {}, S.stash
+    monkeypatch.setattr(S, "stash", lambda df, name: written.setdefault(name, stash(df, name)))
+    rnd = random.Random(seed)
+    line = "".join(rnd.choice("abcdefgh ") for _ in range(70))
+    own = lambda n: "".join(rnd.choice("ijklmnop") for _ in range(n))
+    near = [own(40) for _ in range(3)]
+    rows = [(d, own(60) + rnd.choice(near) + line + rnd.choice(near) + own(60)) for d in range(40)]
+    assert got(documents(rows).repartition(3)) == brute(rows)
+    assert written["shared"].count() > 0
+    most = written["runs"].filter("part is not null").select("data").collect()
+    assert sum(1 for r in most for _, s, _ in S.read_run(r.data) if s[: S.GRAM].decode() in line) == 0
+    rows = make(rnd, 60)
+    written.clear()
+    assert got(documents(rows).repartition(3)) == brute(rows)

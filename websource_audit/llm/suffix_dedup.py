@@ -6,6 +6,9 @@ anchors. Anchors whose gram occurs once are dropped. Tasks sort the suffixes of
 exchanged by gram; a loser tree merges them and never compares again what the common prefixes already say. Among
 the merged suffixes of one gram, what stands before each is compared too, which gives the exact windows that also start
 earlier.
+
+A gram that is too frequent for one task (a common line between differing neighbours) has no such group: its windows go
+out by digest, each once a task, and the first of each digest is found by a partially aggregated minimum.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ LENGTH, GRAM = 100, 30
 GRAMS = LENGTH - GRAM + 1
 #: Contexts that a task holds before it writes its runs, and contexts of a part that are merged in one task on average.
 RUN_CONTEXTS, PART_CONTEXTS = 200_000, 8_000
+#: Occurrences of a gram up to which its contexts are merged in one task; the windows of more frequent ones are grouped by digest.
+HOT_GRAM = 20_000
+#: Contexts of frequent grams whose windows a task holds at once.
+HOT_CONTEXTS = 4_000
 #: Distinct contexts of a gram up to which they are compared in pairs; more are compared window by window.
 PAIRWISE = 12
 #: Ids of whole copies that are broadcast; beyond it they meet the documents by a shuffle.
@@ -240,31 +247,66 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(times), pa.int64())], ["g", "doc_id", "c"])
 
 
+def distinct_windows(contexts: list[tuple[bytes, int, int, int]], repeats: list[tuple[int, int, int]]) -> dict[bytes, tuple[int, int]]:
+    """The first (doc, start) of each window of (bytes, doc, first window, windows) by its digest; the others are added to ``repeats``."""
+    held: dict[bytes, tuple[int, int]] = {}
+    for context, doc, first, windows in contexts:
+        for k in range(windows):
+            key, mine = hashlib.blake2b(context[k : k + LENGTH], digest_size=16).digest(), (doc, first + k)
+            other = held.setdefault(key, mine)
+            if other is mine or other == mine:
+                continue
+            if mine < other:
+                held[key], other, mine = mine, mine, other
+            doc_, at = mine
+            if repeats and repeats[-1][0] == doc_ and repeats[-1][2] == at - 1:
+                repeats[-1] = (doc_, repeats[-1][1], at)
+            else:
+                repeats.append((doc_, at, at))
+    return held
+
+
+_RUN = "part long, doc_id long, data binary, start long"
+
+
+def _run_rows(part: list, doc: list, blob: list, start: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(doc, pa.int64()), pa.array(blob, pa.binary()), pa.array(start, pa.int64())], ["part", "doc_id", "data", "start"])
+
+
 def _runs(parts: int):
+    """Runs (part, data), windows of frequent grams (doc_id, data: the digest, start), and repeats already seen (doc_id, data)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         held: dict[tuple[bytes, int], tuple[int, int, int, int]] = {}
         repeats: list[tuple[int, int, int]] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             by: dict[int, list] = {}
+            hot = []
             for (context, left), (doc, first, windows, g) in held.items():
-                by.setdefault(g % parts, []).append((context[left:], context[:left], doc, first, windows))
+                if g is None:
+                    hot.append((context, doc, first, windows))
+                else:
+                    by.setdefault(g % parts, []).append((context[left:], context[:left], doc, first, windows))
+            for k in range(0, len(hot), HOT_CONTEXTS):
+                seen = distinct_windows(hot[k : k + HOT_CONTEXTS], repeats)
+                yield _run_rows([None] * len(seen), [d for d, _ in seen.values()], list(seen), [a for _, a in seen.values()])
             covered = joined_intervals(repeats)
             part = [*by, *[None] * len(covered)]
             blob = [*(write_run(sorted(x)) for x in by.values()), *covered.values()]
-            doc = [*[None] * len(by), *covered]
+            yield _run_rows(part, [*[None] * len(by), *covered], blob, [None] * len(part))
             held.clear()
             repeats.clear()
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(doc, pa.int64()), pa.array(blob, pa.binary())], ["part", "doc_id", "data"])
 
         for b in slices(batches):
-            for doc, text, shared in zip(column(b, "doc_id"), column(b, "t"), column(b, "gs"), strict=True):
+            for doc, text, shared, hot in zip(column(b, "doc_id"), column(b, "t"), column(b, "gs"), column(b, "hs"), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 g, place, first, last = anchors(np.frombuffer(raw, np.uint8), grams)
                 pick = np.isin(g, np.array(shared, np.int64).view(np.uint64))
+                frequent = {x % (1 << 64) for x in hot}
                 for h, p, a, z in zip(*(x[pick].tolist() for x in (g, place, first, last)), strict=True):
-                    key, mine = (raw[a : z + LENGTH], p - a), (doc, a, z - a + 1, h)
+                    key, mine = (raw[a : z + LENGTH], p - a), (doc, a, z - a + 1, None if h in frequent else h)
                     other = held.get(key)
                     if other is None:
                         held[key] = mine
@@ -273,9 +315,9 @@ def _runs(parts: int):
                         held[key], mine = mine, other
                     repeats.append((mine[0], mine[1], mine[1] + mine[2] - 1))
             if len(held) + len(repeats) >= RUN_CONTEXTS:
-                yield flush()
+                yield from flush()
         if held or repeats:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -295,18 +337,35 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["doc_id", "data"])
 
 
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        out = joined_intervals([(doc, a, a) for doc, starts in zip(column(b, "doc_id"), column(b, "starts"), strict=True) for a in starts])
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["doc_id", "data"])
+
+
+def later_windows(windows: DataFrame) -> DataFrame:
+    """(doc_id, data) intervals of the windows (data: the digest, doc_id, start) that also start earlier. A digest has one first row, so no group is held."""
+    at = F.struct("doc_id", "start")
+    first = windows.groupBy("data").agg(F.min(at).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = windows.join(first, "data").filter(at > F.col("head"))
+    return later.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).mapInArrow(_spans, "doc_id long, data binary")
+
+
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): for documents (doc_id unique, t) the intervals of bytes in windows that also start earlier, in pieces that may overlap."""
     spark = docs.sparkSession
     rows = stash(docs.mapInArrow(_gram_rows, "g long, doc_id long, c long"), "grams")
-    shared = stash(rows.groupBy("g").agg(F.sum("c").alias("c")).filter("c > 1").select("g"), "shared")
-    lists = stash(rows.select("g", "doc_id").join(shared, "g", "left_semi"), "places")
+    shared = stash(rows.groupBy("g").agg(F.sum("c").alias("c")).filter("c > 1").select("g", (F.col("c") > HOT_GRAM).alias("hot")), "shared")
+    lists = stash(rows.select("g", "doc_id").join(shared, "g"), "places")
     n = lists.count()
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // PART_CONTEXTS)
-    by_doc = lists.groupBy("doc_id").agg(F.collect_list("g").alias("gs"))
-    runs = stash(docs.join(by_doc, "doc_id").mapInArrow(_runs(parts), "part long, doc_id long, data binary"), "runs")
+    by_doc = lists.groupBy("doc_id").agg(F.collect_list("g").alias("gs"), F.collect_list(F.when(F.col("hot"), F.col("g"))).alias("hs"))
+    runs = stash(docs.join(by_doc, "doc_id").mapInArrow(_runs(parts), _RUN), "runs")
     merged = runs.filter("part is not null").select("part", "data").groupBy("part").applyInArrow(_merge, "doc_id long, data binary")
-    return stash(runs.filter("part is null").select("doc_id", "data").unionByName(merged), "intervals")
+    found = runs.filter("part is null and start is null").select("doc_id", "data").unionByName(merged)
+    if not shared.filter("hot").isEmpty():
+        found = found.unionByName(later_windows(runs.filter("start is not null").select("data", "doc_id", "start")))
+    return stash(found, "intervals")
 
 
 def removal(raw: bytes, spans: list[bytes] | None) -> tuple[bytes, int, list[tuple[int, int]]]:
