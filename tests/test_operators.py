@@ -131,6 +131,23 @@ def test_correlation_partitions_its_inputs(spark):
     assert C.correlate(index.limit(0), dynamic.limit(0)).count() == 0
 
 
+def test_correlation_by_keys_carries_no_lists(spark, monkeypatch):
+    from websource_audit.plans import queries as Q
+
+    static = spark.createDataFrame([(f"f{k:04d}", 1, "JS", "INLINE", "x = 1") for k in range(2000)] + [("c", 1, "CSS", "INLINE", "p{}")], "file_path string, finding_no long, category string, source_type string, snippet string")
+    dynamic = spark.createDataFrame([(f"u{k}", "x  = 1" if k else "z", "t", "https://h.example/q") for k in range(4)], "url string, snippet string, ajax_pattern string, endpoint_url string")
+    index, keys = C.static_index(static), C.static_keys(static)
+    both = ("status", "dynamic_url", "ajax_type", "endpoint_url", "snippet", "location_count")
+    rows = C.correlate_keys(keys, dynamic)
+    assert sorted(rows.select(*both).collect()) == sorted(C.correlate(index, dynamic).select(*both).collect())
+    assert max(len(str(r)) for r in rows.collect()) < 300
+    assert sorted((r.file, r.row) for r in rows.filter("dynamic_url = 'u1'").join(C.static_locations(static), "h").collect()) == [(f"f{k:04d}", 1) for k in range(2000)]
+    monkeypatch.setattr(Q, "_dynamic", lambda *_: dynamic)
+    monkeypatch.setattr(Q, "_keys", lambda *_: keys, raising=False)
+    monkeypatch.setattr(Q, "_index", lambda *_: 1 / 0)
+    assert [tuple(r) for r in Q.QUERIES["csp_allowlist"](spark, "").collect()] == [("h.example", 4, "New, Verified", "connect-src")]
+
+
 def test_crawl(spark):
     pages = spark.createDataFrame([("http://h/a/b", '<a href="../c#x">1</a><A class=z HREF=\'/d.PNG\'>2</A><a href="http://o/e">3</a><a href="f?x=1&amp;y=2"><script src="//h/s.js"></script><script src="t.js"></script><link href="http://o/q.css" rel="stylesheet">'), ("http://h/c", "<a name=n>"), ("http://h/n", None)], "url string, content string")
     assert {r.dst_url for r in W.page_links(pages).collect()} == {"http://h/c", "http://h/a/f?x=1&y=2"}

@@ -12,14 +12,28 @@ from .reports import written
 CORRELATED = ("status", "dynamic_url", "ajax_type", "endpoint_url", "snippet", "locations", "location_count")
 
 
+def _static_rows(findings: DataFrame) -> DataFrame:
+    norm = paths.normalize_snippet(F.col("snippet"))
+    inline = F.col("category").isin("JS", "CSS") & (F.col("source_type") == "INLINE") & (F.length("snippet") > 0)
+    return findings.filter(inline).select(norm.alias("norm"), F.struct(F.col("file_path").alias("file"), F.col("finding_no").alias("row")).alias("at"))
+
+
+def static_keys(findings: DataFrame) -> DataFrame:
+    """(norm, first_file, location_count): static_index without its lists, so rows stay small however common a snippet is."""
+    return _static_rows(findings).groupBy("norm").agg(F.min("at")["file"].alias("first_file"), F.count(F.lit(1)).alias("location_count"))
+
+
+def static_locations(findings: DataFrame) -> DataFrame:
+    """(h, file, row): the lists of static_index as rows; ``h`` is the hash of the normalized snippet."""
+    return _static_rows(findings).select(F.xxhash64("norm").alias("h"), "at.file", "at.row")
+
+
 def static_index(findings: DataFrame) -> DataFrame:
     """(norm, locations, location_count): inline scripts and styles by normalized snippet, with the sorted (file, row) that hold it.
 
     ``row`` is the finding's number in its file. Rows without a snippet are left out.
     """
-    norm = paths.normalize_snippet(F.col("snippet"))
-    inline = F.col("category").isin("JS", "CSS") & (F.col("source_type") == "INLINE") & (F.length("snippet") > 0)
-    rows = findings.filter(inline).select(norm.alias("norm"), F.struct(F.col("file_path").alias("file"), F.col("finding_no").alias("row")).alias("at"))
+    rows = _static_rows(findings)
     return rows.groupBy("norm").agg(F.array_sort(F.collect_list("at")).alias("locations"), F.count(F.lit(1)).alias("location_count"))
 
 
@@ -52,6 +66,17 @@ def missing_in_crawl(index: DataFrame, dynamic: DataFrame) -> DataFrame:
     return rows.select(F.lit("MISSING_IN_CRAWL").alias("status"), F.lit("N/A").alias("dynamic_url"), F.lit("Unknown").alias("ajax_type"), F.lit("N/A").alias("endpoint_url"), F.concat(F.substring("norm", 1, 100), F.lit("...")).alias("snippet"), files.alias("locations"), "location_count")
 
 
+def correlate_keys(keys: DataFrame, dynamic: DataFrame) -> DataFrame:
+    """correlate with the first file and the snippet's hash in place of the list of locations, from static_keys."""
+    static = keys.withColumn("h", F.xxhash64("norm"))
+    rows = _keyed(dynamic).join(static, ["h", "norm"], "left")
+    status = F.when(F.col("location_count").isNotNull(), "VERIFIED").otherwise("NEW_WEB_ONLY").alias("status")
+    found = rows.select(status, F.col("url").alias("dynamic_url"), F.col("ajax_pattern").alias("ajax_type"), "endpoint_url", "snippet", "h", "first_file", F.coalesce("location_count", F.lit(0)).alias("location_count"))
+    unseen = static.join(_keyed(dynamic).select("h", "norm").distinct(), ["h", "norm"], "left_anti")
+    missing = unseen.select(F.lit("MISSING_IN_CRAWL").alias("status"), F.lit("N/A").alias("dynamic_url"), F.lit("Unknown").alias("ajax_type"), F.lit("N/A").alias("endpoint_url"), F.concat(F.substring("norm", 1, 100), F.lit("...")).alias("snippet"), "h", "first_file", "location_count")
+    return found.unionByName(missing)
+
+
 def web_only(index: DataFrame, dynamic: DataFrame) -> DataFrame:
     """Dynamic rows whose snippet is in no source file."""
     return _keyed(dynamic).join(index.select("norm").withColumn("h", F.xxhash64("norm")), ["h", "norm"], "left_anti").drop("h", "norm")
@@ -81,3 +106,8 @@ def correlation_summary(correlated: DataFrame, external: DataFrame) -> DataFrame
 def correlated_table(index: DataFrame, dynamic: DataFrame) -> DataFrame:
     """correlate, written once for the several tables made from it."""
     return written(correlate(index, dynamic), "correlated")
+
+
+def correlated_keys_table(keys: DataFrame, dynamic: DataFrame) -> DataFrame:
+    """correlate_keys, written once, for tables that need no locations."""
+    return written(correlate_keys(keys, dynamic).select("status", "endpoint_url"), "correlated_keys")

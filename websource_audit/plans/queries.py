@@ -322,6 +322,10 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.static_index(D.block_findings(_static_files(spark, sf_dir)))
 
 
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.static_keys(D.block_findings(_static_files(spark, sf_dir)))
+
+
 def _dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks with calls in the corpus taken as stored pages."""
     pages = corpus(spark, sf_dir).select(F.col("url").alias("path"), "rel_path", "content")
@@ -348,6 +352,16 @@ def correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.correlate(T.written(_index(spark, sf_dir), "index"), T.written(_dynamic(spark, sf_dir), "dynamic"))
 
 
+@query()
+def static_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.static_locations(D.block_findings(_static_files(spark, sf_dir)))
+
+
+@query()
+def correlate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.correlate_keys(T.written(_keys(spark, sf_dir), "keys"), T.written(_dynamic(spark, sf_dir), "dynamic"))
+
+
 @query(_CORR_SQL + "select * from co where status = 'MISSING_IN_CRAWL'")
 def missing_in_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.missing_in_crawl(_index(spark, sf_dir), _dynamic(spark, sf_dir))
@@ -363,7 +377,7 @@ _DOMAIN = O.csp_domain_sql("endpoint_url")
 
 @query(_CORR_SQL + f"""select domain, count(*) as frequency, string_agg(distinct s, ', ' order by s) as source_status, 'connect-src' as directive from (select {_DOMAIN} as domain, case when status = 'VERIFIED' then 'Verified' else 'New' end as s from co where status <> 'MISSING_IN_CRAWL') where not {O.in_list('domain', P.NOT_DOMAINS)} group by 1""")
 def csp_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.csp_allowlist(C.correlated_table(_index(spark, sf_dir), _dynamic(spark, sf_dir)))
+    return C.csp_allowlist(C.correlated_keys_table(_keys(spark, sf_dir), _dynamic(spark, sf_dir)))
 
 
 @query(_CORR_SQL + f"""select status, ajax_type, endpoint_url as endpoint, case when status = 'MISSING_IN_CRAWL' then 'N/A' else {_DOMAIN} end as csp_domain, dynamic_url as web_url, locations as static_files, snippet[1:500] as code_snippet from co""")
@@ -374,7 +388,7 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_CORR_SQL + f"""select unnest(['Verified (Found in both)', 'New / Web Only (Dynamic)', 'Missing in Crawl (Unvisited/Dead)', 'Total AJAX Patterns Tracked']) as label, unnest([count(*) filter (status = 'VERIFIED'), count(*) filter (status = 'NEW_WEB_ONLY'), count(*) filter (status = 'MISSING_IN_CRAWL'), count(*)]) as n from co
 union all select 'External Resources Found', count(*) from {_EXTERNAL_SQL}""")
 def correlation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.correlation_summary(C.correlated_table(_index(spark, sf_dir), _dynamic(spark, sf_dir)), W.external_assets(_pages(spark, sf_dir)))
+    return C.correlation_summary(C.correlated_keys_table(_keys(spark, sf_dir), _dynamic(spark, sf_dir)), W.external_assets(_pages(spark, sf_dir)))
 
 
 # --- refactoring ---------------------------------------------------------------------------------------------------
