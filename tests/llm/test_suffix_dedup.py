@@ -44,9 +44,10 @@ def make(rnd, docs):
     return [*rows, (docs + 1, None), (docs + 2, rows[3][1]), (docs + 3, rows[3][1]), (docs + 4, "q" * 5000)]
 
 
-@pytest.mark.parametrize("seed,pairwise", [(1, S.PAIRWISE), (2, 0), (3, 1)])
-def test_equals_brute_force(spark, documents, seed, pairwise, monkeypatch):
+@pytest.mark.parametrize("seed,pairwise,segment", [(1, S.PAIRWISE, S.SEGMENT), (2, 0, 37), (3, 1, 150)])
+def test_equals_brute_force(spark, documents, seed, pairwise, segment, monkeypatch):
     monkeypatch.setattr(S, "PAIRWISE", pairwise)
+    monkeypatch.setattr(S, "SEGMENT", segment)
     rows = make(random.Random(seed), 60)
     assert got(documents(rows).repartition(3)) == brute(rows)
 

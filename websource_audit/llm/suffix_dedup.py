@@ -37,8 +37,8 @@ HOT_CONTEXTS = 4_000
 PAIRWISE = 12
 #: Ids of whole copies that are broadcast; beyond it they meet the documents by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Bytes of removed intervals that are broadcast to the texts; beyond it both meet by a shuffle.
-BROADCAST_BYTES = 32_000_000
+#: Windows of a long text that are looked at together.
+SEGMENT = 1 << 20
 
 _POS_BITS = np.uint64(28)
 _POS = np.uint64((1 << 28) - 1)
@@ -85,7 +85,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, place, first window, last window) of each anchor; windows of one anchor are consecutive."""
+    """(gram hash, place, first window, last window) of each anchor; windows of one anchor are consecutive.
+
+    A text of more than SEGMENT windows is taken in segments; an anchor whose windows lie in two of them is given twice.
+    """
+    if len(data) >= SEGMENT + LENGTH:
+        parts = []
+        for at in range(0, len(data) - LENGTH + 1, SEGMENT):
+            g, *places = anchors(data[at : at + SEGMENT + LENGTH - 1], grams)
+            parts.append((g, *(x + at for x in places)))
+        return tuple(map(np.concatenate, zip(*parts, strict=True)))
     if len(data) < LENGTH:
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none, none
@@ -422,6 +431,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         heads = rows.join(firsts, (F.col("doc_id") == F.col("k")) & (F.sha2("t", 256) == F.col("kd")), "left_semi").dropDuplicates(["doc_id"])
     found = repeated_intervals(heads).groupBy("doc_id").agg(F.collect_list("data").alias("spans"))
     found = stash(known.join(found, "doc_id", "left").filter("whole or spans is not null").select(F.col("doc_id").alias("k"), F.col("digest").alias("kd"), "whole", "spans"), "cuts")
-    size = found.agg(F.sum(F.lit(100) + F.coalesce(F.aggregate("spans", F.lit(0), lambda n, x: n + F.octet_length(x)), F.lit(0)))).first()[0] or 0
-    marked = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, (F.col("doc_id") == F.col("k")) & (mark == F.col("kd")), "left")
+    # always by a shuffle, whatever the size of ``found``: it grows with the input
+    marked = rows.join(found.hint("merge"), (F.col("doc_id") == F.col("k")) & (mark == F.col("kd")), "left")
     return marked.select("doc_id", "t", F.coalesce("whole", F.lit(False)).alias("whole"), "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept_sha256 string, kept binary")
