@@ -4,13 +4,13 @@ import numpy as np
 from packing_checks import check_packing, ids_of
 
 from websource_audit.llm import packing, token_counts
-from websource_audit.llm.common import ChunkIds, default_tokenizer
+from websource_audit.llm.common import TokenIds, default_tokenizer
 
 ODD = ["", None, "The cat's (paws), don't 123,45 ÀÉ. Straße, <|endoftext|>x été", "naïve,façade. ÿÿ. ß, ªb µm. ___ a_b --- ...a", "x\x1cy a​b   　c", "İstanbul ΑΣ. ΑΣ", "word " * 5000]
 
 
 def test_chunked_ids_equal_the_tokenizer():
-    cache = ChunkIds(default_tokenizer())
+    cache = TokenIds(default_tokenizer())
     for text in ODD:
         assert np.frombuffer(cache.of(text), "<u4").tolist() == ids_of(text)
 

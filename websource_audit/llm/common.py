@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words of one shingle, and the Jaccard similarity (in hundredths) from which sets count as near copies.
 SHINGLE_WORDS = 5
 NEAR_PERCENT = 80
-#: Entries that a worker keeps in each age of a cache: words, and chunks in front of them. Several workers share an executor.
-CACHE_ENTRIES = 250_000
-CHUNK_ENTRIES = 100_000
+#: Words whose ids a worker keeps for good, and as many that it keeps for a while. Several workers share an executor.
+CACHE_ENTRIES = 150_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -93,75 +92,59 @@ def byte_letters() -> list[str]:
     return [chr(x) if x in prints else chr(next(rest)) for x in range(256)]
 
 
-class Aged(dict):
-    """A cache of two ages: when the young one is full it becomes the old one, and what is asked for again stays."""
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+#: Texts that the tokenizer's normalizer only lower-cases, letter by letter, and what it then encodes apart.
+_PLAIN = re.compile(r"[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PIECES = re.compile(rf"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9{_LETTERS}]+")
 
-    def __init__(self, size: int) -> None:
-        super().__init__()
-        self.size, self.old = size, {}
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old.get(key)
-        self[key] = ids = self.make(key) if ids is None else ids
-        return ids
+class TokenIds(dict):
+    """Token ids (little-endian unsigned 32 bits) of texts, with each word or run of marks encoded once.
 
-
-class WordIds(Aged):
-    """Token ids (little-endian unsigned 32 bits) of plain words or marks, which need no normalizing or cutting."""
+    The first CACHE_ENTRIES words stay, frequent ones are among them; as many later ones are kept till these are full.
+    """
 
     def __init__(self, tokenizer_path: str) -> None:
-        super().__init__(CACHE_ENTRIES)
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-
-    def encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def make(self, word: str) -> bytes:
-        inner = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        return struct.pack(f"<{len(got := self.model.tokenize(inner))}I", *(t.id for t in got))
-
-
-#: A word that the tokenizer lower-cases letter by letter and keeps apart from the mark after it.
-_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)")
-
-
-class ChunkIds(Aged):
-    """Token ids of white-space free chunks.
-
-    The tokenizer drops white space and never merges across it, so the ids of a text are those of its chunks in turn.
-    Likewise a plain word and the mark after it are encoded apart, so words in any case, with a mark or without, are
-    encoded once.
-    """
-
-    def __init__(self, tokenizer_path: str) -> None:
-        super().__init__(CHUNK_ENTRIES)
-        self.words = WordIds(tokenizer_path)
-
-    def make(self, chunk: str) -> bytes:
-        m = _PLAIN.fullmatch(chunk.lower())
-        if m is None:
-            return self.words.encode(chunk)
-        return self.words[m[1]] + self.words[m[2]] if m[2] else self.words[m[1]]
+        self.model, self.letters, self.late = self.tokenizer.model, byte_letters(), {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.late.get(word)
+        if ids is None:
+            inner = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            got = self.model.tokenize(inner)
+            ids = struct.pack(f"<{len(got)}I", *[t.id for t in got])
+            if len(self) < CACHE_ENTRIES:
+                self[word] = ids
+            else:
+                if len(self.late) >= CACHE_ENTRIES:
+                    self.late.clear()
+                self.late[word] = ids
+        return ids
 
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
-        # str.split() also cuts at these four, which the tokenizer keeps
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self.words.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if _PLAIN.fullmatch(text) and "<|" not in text:  # "<|" may begin a special token
+            return b"".join(map(self.__getitem__, _PIECES.findall(text.lower())))
+        # the tokenizer drops white space and never merges across it; str.split() also cuts at these four, which it keeps
+        if len(chunks := text.split()) > 1 and not any(x in text for x in "\x1c\x1d\x1e\x1f"):
+            return b"".join(map(self.of, chunks))
+        ids = self.late.get(text)
+        if ids is None:
+            ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(text) <= 512:
+                self.late[text] = ids
+        return ids
 
 
 @functools.cache
-def chunk_ids(tokenizer_path: str | None) -> ChunkIds:
+def token_ids(tokenizer_path: str | None) -> TokenIds:
     """The ids known to this Python worker: later tasks go on with them."""
-    return ChunkIds(tokenizer_path or default_tokenizer())
+    return TokenIds(tokenizer_path or default_tokenizer())
 
 
 def default_tokenizer() -> str:

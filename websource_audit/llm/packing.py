@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunk_ids, column, slices, stash
+from .common import token_ids, column, slices, stash
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -35,7 +35,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = chunk_ids(tokenizer_path), np.uint32(END_ID).astype("<u4").tobytes()
+        ids, end = token_ids(tokenizer_path), np.uint32(END_ID).astype("<u4").tobytes()
         seen: dict[int, int] = defaultdict(int)
         task = TaskContext.get().partitionId()
         for b in slices(batches):
@@ -202,4 +202,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(seq), pa.array(at)], [*names, "sequence_id", "offset"])
 
-    return pieces.join(by_task.drop("n"), ["length", "task"]).mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # by a shuffle of these short rows: the counts by length and task grow with the number of tasks
+    return pieces.join(by_task.drop("n").hint("merge"), ["length", "task"]).mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

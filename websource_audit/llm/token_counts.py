@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunk_ids, column, slices, stash
+from .common import token_ids, column, slices, stash
 
 #: Lengths summed as one block: the running sums go over blocks first, then within each.
 BLOCK = 256
@@ -22,7 +22,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", tokenizer_path: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seen = chunk_ids(tokenizer_path), {}
+        ids, seen = token_ids(tokenizer_path), {}
         for b in slices(batches):
             for text in column(b, "t"):
                 n = len(ids.of(text)) // 4
