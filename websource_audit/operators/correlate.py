@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import paths
-from .reports import written
+from ..sources.shared import written
 
 CORRELATED = ("status", "dynamic_url", "ajax_type", "endpoint_url", "snippet", "locations", "location_count")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, scoring
 from ..functions import patterns as P
-from .reports import written
+from ..sources.shared import written
 
 #: Characters of a name's end by which suffix candidates are met; shorter names are few and met on what they have.
 SUFFIX_KEY = 8

@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions import patterns as P
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that all executors share (spark.checkpoint.dir) and read back: it cuts lineage and outlives executors."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import written
 
 
 def _yes(c: Column) -> Column:
@@ -117,11 +103,12 @@ def refactoring_summary(findings: DataFrame) -> DataFrame:
 def add_row_ids(df: DataFrame, order: list[str], by: str | None = None, name: str = "row_no") -> DataFrame:
     """Number the rows from 1 in the total order ``order``, within each ``by`` if given, without one task seeing all rows.
 
-    The rows are range-sorted and written; then each part's rows are numbered by themselves and shifted by the rows of the
-    parts before, whose counts are few.
+    The rows are written, so that what made them runs once though a range sort reads its input twice; then they are
+    range-sorted and written again, each part's rows are numbered by themselves and shifted by the rows of the parts
+    before, whose counts are few.
     """
     keys = ([by] if by else []) + order
-    parts = written(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ordered")
+    parts = written(written(df, "unordered").repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ordered")
     key = [by] if by else []
     counts = parts.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
