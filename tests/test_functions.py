@@ -1,5 +1,6 @@
 import os
 import posixpath
+import random
 import re
 from urllib.parse import urldefrag, urljoin
 
@@ -86,6 +87,17 @@ def test_match_lines_equal_python_positions(spark):
     assert [(m.line, m.text) for m in one(spark, code, ajax.ajax_matches)] == want and len(want) == 7
 
 
+def test_matches_between_plain_text(spark):
+    """Pieces without calls are reduced before the alternation runs; matches and lines stay those of the whole text."""
+    rnd = random.Random(3)
+    parts = ["fetch(1)", "new\n Request", ";JSON(", ".JSON(", "Response.Write('<script", "<p>At onorou.\n Onon</p>", "plain words of prose; ", "{ }\n\n", "ChannelFactory<", "news io tion", "io (2)", "po\u017ft $.po\u017ft(", "\u0130O(", "<x:UpdatePanel", ".src\n=\n'http", "a\u0001b"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(200)] + ["<iframe a;b<c style='x'>d;e{display:  none"]
+    texts.append("fetch(\n);\n" * 3000)
+    rows = spark.createDataFrame([(t,) for t in texts], "c string").select("c", ajax.ajax_matches(F.col("c")).alias("m"), ajax.matches(F.col("c"), P.AJAX_FAST).alias("w")).collect()
+    assert all(r.m == r.w for r in rows) and sum(len(r.m) for r in rows) > 3200
+    assert [(m.line, m.text) for m in rows[-1].m] == [(2 * k + 1, "fetch(") for k in range(3000)]
+
+
 def test_every_alternative_is_entered(spark):
     texts = ["fetch(", "new XMLHttpRequest(", "http . request(", ".load(", ".open('GET'", "onreadystatechange =", ".send(", "axios(", "new WebSocket(", "new EventSource(", "ajax: function", "navigator.sendBeacon(", "new ActiveXObject(", "IO (", "HubConnectionBuilder", "Sys.Net.WebRequest(", "PageMethods.a(", "__doPostBack(",
              "Sys.WebForms.PageRequestManager", "data-ajax=", ".setRequestHeader(", ".abort(", ".getResponseHeader(", ".getAllResponseHeaders(", "new Headers(", "new Request(", "JSON.parse(", "JSON.stringify(", "<a:UpdatePanel", "<a:ScriptManager", "ClientScript.RegisterStartupScript(", "Page.ClientScript.", "[WebMethod]", "[ScriptMethod]",

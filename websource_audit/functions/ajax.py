@@ -6,16 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .arrays import let, running_sums
 
 MATCHES = "array<struct<line:long,text:string>>"
 DETAILS = "array<struct<line:long,code_snippet:string,category:string,capability:string,difficulty:string,is_counted:string,endpoint:string>>"
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def count(content: Column, pattern: str) -> Column:
     return F.regexp_count(content, F.lit(P.JAVA + pattern))
 
@@ -27,22 +23,49 @@ def _feeds(text: Column) -> Column:
 def matches(content: Column, pattern: str) -> Column:
     """All matches in order with their 1-based line: line feeds in the pieces and matches before it, plus one."""
     p = P.JAVA + pattern
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast(MATCHES).alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        line = acc["at"] + c["before"]
-        return F.struct((line + c["within"]).alias("at"), F.concat(acc["out"], F.array(F.struct(line.alias("line"), c["text"].alias("text")))).alias("out"))
 
     def lines(texts: Column) -> Column:
         pieces = F.slice(F.split(content, p, -1), 1, F.size(texts))
-        cells = F.zip_with(texts, pieces, lambda t, b: F.struct(t.alias("text"), _feeds(b).alias("before"), _feeds(t).alias("within")))
-        return F.when(F.size(texts) > 0, F.aggregate(cells, start, step)["out"]).otherwise(F.array().cast(MATCHES))
+        ends = running_sums(F.zip_with(texts, pieces, lambda t, b: _feeds(b) + _feeds(t)))
+        rows = F.zip_with(texts, ends, lambda t, end: F.struct((end - _feeds(t) + 1).alias("line"), t.alias("text")))
+        return F.when(F.size(texts) > 0, rows).otherwise(F.array()).cast(MATCHES)
 
     return let(F.regexp_extract_all(content, F.lit(p), F.lit(0)), lines)
 
 
+def has_needle(text: Column) -> Column:
+    """Whether a text holds any of AJAX_NEEDLES, letters folded as the patterns fold them."""
+
+    def test(low: Column) -> Column:
+        hit = F.lit(False)
+        for n in P.AJAX_NEEDLES:
+            hit = hit | (low.rlike(n[3:]) if n.startswith("re:") else low.contains(n))
+        return hit
+
+    plain = text
+    for odd, letter in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")):
+        plain = F.replace(plain, F.lit(odd), F.lit(letter))
+    return let(F.lower(plain), test)
+
+
+def near_needles(content: Column) -> Column:
+    """The text with all pieces but those with a needle, and the ones after these, reduced to a mark and their line feeds.
+
+    No match is lost or made: a mark is no part of any, and pieces are cut where no match runs on but into the next one.
+    """
+    mark = F.lit("\u0001")
+    less = lambda p: F.when(p.contains("\n"), F.regexp_replace(p, r"[^\n]+", "\u0001")).otherwise(mark)
+
+    def of_pieces(pieces: Column) -> Column:
+        kept = lambda live: F.transform(pieces, lambda p, k: F.when(F.get(live, k) | F.coalesce(F.get(live, k - 1), F.lit(False)), p).otherwise(less(p)))
+        return F.array_join(let(F.transform(pieces, has_needle), kept), "")
+
+    return F.when(F.lower(content).contains(P.IFRAME), content).otherwise(let(F.split(content, P.AJAX_CUT, -1), of_pieces))
+
+
 def ajax_matches(content: Column) -> Column:
-    return matches(content, P.AJAX_FAST)
+    """Matches of the network calls; the alternation runs only near texts that one of its parts needs."""
+    return F.when(has_needle(content), let(near_needles(content), lambda near: matches(near, P.AJAX_FAST))).otherwise(F.array().cast(MATCHES))
 
 
 def _rules(profile: str):

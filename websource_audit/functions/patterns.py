@@ -113,6 +113,15 @@ def by_first_letter(parts: tuple[str, ...]) -> str:
 
 #: For engines with look-ahead: several times faster on text that doesn't match.
 AJAX_FAST = by_first_letter(AJAX_PARTS)
+#: Texts in lower case, or a plain pattern after "re:", one of which stands inside whatever AJAX matches.
+AJAX_NEEDLES = (
+    "$", "@", "[", "fetch", "xmlhttprequest", "jquery", "axios", "superagent", "http", ".load", ".ajax", ".serialize", ".open", "onreadystatechange", ".send", "websocket", "eventsource", "ajax", "activexobject", r"re:\bio\s*\(",
+    "hubconnection", "sys.", "pagemethods", "__dopostback", ".setrequest", ".abort", ".getresponse", ".getallresponse", "headers", "request", "json", "updatepanel", "scriptmanager", "clientscript", "clients.",
+    "<system", "<scriptresource", "<telerik", "aspxcallback", "usequery", "usemutation", "response.write", "channelfactory", "ijsruntime", "backgroundfetch", "iframe", "formdata", "image", ".src",
+)
+#: Where a text may be cut so that no match lies in more than two pieces; a match of the part with IFRAME alone may.
+AJAX_CUT = "(?<=[;{}])|(?=<)"
+IFRAME = "<iframe"
 
 # Code made at run time.
 DYNAMIC_JS_PARTS = (
