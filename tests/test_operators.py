@@ -73,6 +73,7 @@ def test_metrics_agree_with_details(spark):
 def test_metrics_of_odd_files(files):
     big = "fetch(1)\n" * 1_300_000
     rows = {r.path: r for r in I.file_metrics(files([("a.html", None), ("b.html", ""), ("c.txt", "fetch(1)\n"), ("d.js", big), ("e/f.html", "<p style='x'>\n")])).collect()}
+    assert rows["a.html"].Line_Count is None and (rows["a.html"].AJAX_Calls_Count, rows["a.html"].Has_Ajax_Calls) == (0, "No")
     assert (rows["b.html"].Line_Count, rows["c.txt"].AJAX_Calls_Count, rows["c.txt"].Line_Count) == (1, 0, 2)
     assert (rows["d.js"].Line_Count, rows["d.js"].AJAX_Calls_Count) == (1_300_000, 0)
     assert (rows["e/f.html"].Inline_CSS_Count, rows["e/f.html"].depth, rows["b.html"].directory) == (1, 1, "(Root)")
@@ -153,6 +154,9 @@ def test_crawl(spark):
     assert {r.dst_url for r in W.page_links(pages).collect()} == {"http://h/c", "http://h/a/f?x=1&y=2"}
     assert {tuple(r) for r in W.discover_assets(pages).collect()} == {("http://h/a/b", "html"), ("http://h/c", "html"), ("http://h/n", "html"), ("http://h/s.js", "js"), ("http://h/a/t.js", "js")}
     assert [tuple(r) for r in W.external_assets(pages).collect()] == [("http://h/a/b", "http://o/q.css", "Stylesheet")]
+    bare = spark.createDataFrame([("http://h/p", "<a href=/x>1</a><a id=k href='/y'>2</a><script src=/s.js></script><link rel=stylesheet href=http://o/q.css><link href=http://o/i.png rel='icon'>")], "url string, content string")
+    assert {r.dst_url for r in W.page_links(bare).collect()} == {"http://h/x", "http://h/y"}
+    assert {r.url for r in W.discover_assets(bare).collect()} == {"http://h/p", "http://h/s.js"} and [r.url for r in W.external_assets(bare).collect()] == ["http://o/q.css"]
     links = spark.createDataFrame([(str(k), str(k + 1)) for k in range(10)] + [("2", "0"), ("0", "4")], "src_url string, dst_url string")
     got = {r.url: r.depth for r in W.crawl_reach(links, spark.createDataFrame([("0",), ("0",)], "url string")).collect()}
     assert got == {"0": 0, "1": 1, "4": 1, "2": 2, "5": 2, "3": 3, "6": 3, "7": 4, "8": 5}
@@ -198,6 +202,15 @@ def test_source_tree_and_reports(spark, tmp_path):
     rows = {r.rel_path: r for r in S.decode_content(S.read_source_tree(spark, str(root))).collect()}
     assert {k: (r.content, r.encoding) for k, r in rows.items()} == {"a.js": ("x\ny", "utf-8"), "sub/b.html": ("café", "windows-1252"), "sub/c": ("\x81\x8d", "latin-1")}
     assert (rows["a.js"].directory, rows["sub/c"].extension, rows["a.js"].size_bytes) == ("(Root)", "(No Extension)", 4)
+    (root / "Views" / "Shared").mkdir(parents=True)
+    (root / "_partials").mkdir()
+    (root / ".git").mkdir()
+    for name, data in (("Views/Shared/_Layout.cshtml", b"<b>"), (".htaccess", "déjà".encode("utf-16")), ("_partials/x.html", b""), (".git/config", b"no")):
+        (root / name).write_bytes(data)
+    for top in (str(root), root.as_uri().replace("file:///", "file:///") + "/"):
+        found = {r.rel_path: (r.content, r.encoding, r.size_bytes) for r in S.decode_content(S.read_source_tree(spark, top)).collect()}
+        assert set(found) == {"a.js", "sub/b.html", "sub/c", "Views/Shared/_Layout.cshtml", ".htaccess", "_partials/x.html"}
+        assert found["Views/Shared/_Layout.cshtml"] == ("<b>", "utf-8", 3) and found[".htaccess"][:2] == ("déjà", "utf-16") and found["_partials/x.html"] == ("", "utf-8", 0)
     raw = spark.createDataFrame([(b"a\xffb\r\n",)], "c binary")
     assert raw.select(S.decode_ignoring(F.col("c"))).first()[0] == "ab\n"
     S.write_report({"t": spark.range(3)}, str(tmp_path / "r"))

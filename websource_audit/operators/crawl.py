@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import paths
-from .reports import written
+from ..sources.shared import written
 
-A_HREF = r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-SCRIPT_SRC = r"""(?is)<script\b[^>]*?\ssrc\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+# a value in double or single quotes, or without: then up to white space or the end of the tag
+_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
+A_HREF = rf"""(?is)<a\b[^>]*?\shref\s*=\s*{_VALUE}"""
+SCRIPT_SRC = rf"""(?is)<script\b[^>]*?\ssrc\s*=\s*{_VALUE}"""
 LINK_TAG = r"(?is)<link\b[^>]*>"
-HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-REL = r"""(?is)\srel\s*=\s*["'][^"']*\bstylesheet\b[^"']*["']"""
+HREF = rf"""(?is)\shref\s*=\s*{_VALUE}"""
+REL = rf"""(?is)\srel\s*=\s*{_VALUE}"""
 
 
 def unescaped(text: Column) -> Column:
@@ -24,8 +26,12 @@ def unescaped(text: Column) -> Column:
 
 
 def _values(content: Column, pattern: str) -> Column:
-    double, single = (F.regexp_extract_all(content, F.lit(pattern), F.lit(k)) for k in (1, 2))
-    return F.zip_with(double, single, lambda a, b: unescaped(F.when(a != "", a).otherwise(b)))
+    double, single, bare = (F.regexp_extract_all(content, F.lit(pattern), F.lit(k)) for k in (1, 2, 3))
+    return F.transform(F.arrays_zip(double.alias("a"), single.alias("b"), bare.alias("c")), lambda v: unescaped(F.concat(v["a"], v["b"], v["c"])))  # one of the three is not empty
+
+
+def _value(tag: Column, pattern: str) -> Column:
+    return unescaped(F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3))))
 
 
 def raw_links(pages: DataFrame) -> DataFrame:
@@ -54,9 +60,9 @@ def script_sources(pages: DataFrame) -> DataFrame:
 
 def stylesheet_links(pages: DataFrame) -> DataFrame:
     """(url, target) of stylesheet links, repeats included."""
-    tags = pages.select("url", F.explode(F.regexp_extract_all("content", F.lit(LINK_TAG), F.lit(0))).alias("tag")).filter(F.col("tag").rlike(REL))
-    href = F.coalesce(F.nullif(F.regexp_extract("tag", HREF, 1), F.lit("")), F.regexp_extract("tag", HREF, 2))
-    return _resolved(tags.select("url", unescaped(href).alias("href")).filter("href <> ''"), "href").select("url", "target")
+    tags = pages.select("url", F.explode(F.regexp_extract_all("content", F.lit(LINK_TAG), F.lit(0))).alias("tag"))
+    sheets = tags.filter(F.array_contains(F.split(F.lower(_value(F.col("tag"), REL)), r"\s+"), "stylesheet"))
+    return _resolved(sheets.select("url", _value(F.col("tag"), HREF).alias("href")).filter("href <> ''"), "href").select("url", "target")
 
 
 def discover_assets(pages: DataFrame) -> DataFrame:

@@ -118,10 +118,10 @@ def complexity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.complexity_metrics(_inventory(spark, sf_dir))
 
 
-@query(FILES_SQL + f"""select path, extension, size_bytes from files where {O.in_list('extension', P.INCLUDE_EXTENSIONS)} and not list_has_any(string_split(directory, '/'), [{', '.join(map(O.q, P.STATIC_EXCLUDED_FOLDERS))}]) and not regexp_matches(filename, '^.*-style\\..*$') and size_bytes <= {64 * 1024}""")
+@query(FILES_SQL + f"""select path, extension, size_bytes from files where {O.in_list('extension', P.INCLUDE_EXTENSIONS)} and not list_has_any(string_split(directory, '/'), [{', '.join(map(O.q, P.STATIC_EXCLUDED_FOLDERS))}]) and size_bytes <= {10 * 1024 * 1024}""")
 def select_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = paths.filter_excluded_folders(paths.filter_include_extensions(corpus(spark, sf_dir)))
-    return paths.filter_max_size(paths.filter_exclude_globs(files, ("*-style.*",)), 1 / 16).select("path", "extension", "size_bytes")
+    return paths.filter_max_size(files).select("path", "extension", "size_bytes")
 
 
 @query(FILES_SQL + f"""select path, not list_has_any(string_split(directory, '/'), [{', '.join(map(O.q, P.DEPTH_EXCLUDED_FOLDERS))}]) as kept, {O.in_list('extension', P.WEB_EXTENSIONS)} as is_web, 'http://localhost/' || rel_path as target_url from files""")
@@ -161,9 +161,9 @@ _CALLS_SQL = """(select d.file_path as "File_Path", regexp_extract(d.rel_path, '
 case when h then 'Yes' else 'No' end as "Has_Server_Dependencies", 'Yes' as "Is_Inline", 'No' as "Is_Internal", 'No' as "Is_External", code_snippet as "Code_Snippet" from d join (select file_path, finding_no, has_server_deps as h from f) using (file_path, finding_no))"""
 
 
-@query(BLOCKS_SQL + f"select * from {_CALLS_SQL}")
+@query(BLOCKS_SQL + f'select row_number() over (order by "File_Path", finding_no, match_no) as "Row_No", * from {_CALLS_SQL}')
 def ajax_code_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.ajax_code_report(_blocks(spark, sf_dir))
+    return T.add_row_ids(D.ajax_code_report(_blocks(spark, sf_dir)), ["File_Path", "finding_no", "match_no"], name="Row_No")
 
 
 @query(BLOCKS_SQL + f"""select "Endpoint", count(*) as calls, count(distinct "File_Path") as files, case when {O.in_list('"Endpoint"', P.UNKNOWN_ENDPOINTS)} then 'Yes' else 'No' end as is_dynamic from {_CALLS_SQL} where "Is_Valid_Call" = 'Yes' group by 1""")
@@ -261,8 +261,16 @@ for _f in (T.inline_js, T.internal_js, T.external_js, T.inline_css, T.internal_c
 
 # --- crawl and correlation -----------------------------------------------------------------------------------------
 
-_HREF = r"""(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)\""""
-_LINKS_SQL = FILES_SQL + rf""", hrefs as (select distinct url, replace(unnest(regexp_extract_all(content, '{_HREF}', 1)), '&amp;', '&') as href from files),
+_ANY_VALUE = r"""(?:"([^"]*)"|''([^'']*)''|([^\s"''>][^\s>]*))"""
+
+
+def _values_sql(tag: str, attribute: str) -> str:
+    """All values of an attribute, quoted either way or not at all."""
+    p = rf"(?is)<{tag}\b[^>]*?\s{attribute}\s*=\s*{_ANY_VALUE}"
+    return f"list_transform(range(1, len(regexp_extract_all(content, '{p}')) + 1), lambda i: concat(" + ", ".join(f"regexp_extract_all(content, '{p}', {k})[i]" for k in (1, 2, 3)) + "))"
+
+
+_LINKS_SQL = FILES_SQL + rf""", hrefs as (select distinct url, replace(unnest({_values_sql('a', 'href')}), '&amp;', '&') as href from files),
 parts as (select *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) as origin, regexp_extract(url, '^([^?#]*)', 1) as page from hrefs),
 joined as (select url, origin, href, split_part(case when regexp_matches(href, '^[a-z]+:') then href when starts_with(href, '/') then origin || href
   when starts_with(href, '../') then regexp_replace(case when regexp_matches(page, '^[a-z]+://[^/]+/[^/]+/') then regexp_replace(page, '/[^/]*/[^/]*$', '/') else origin || '/' end, '/*$', '/') || href[4:] else regexp_replace(page, '[^/]*$', '') || href end, '#', 1) as dst from parts),
@@ -275,15 +283,15 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.page_links(_pages(spark, sf_dir))
 
 
-@query(FILES_SQL + rf""", s as (select url, unnest(regexp_extract_all(content, '(?is)<script\b[^>]*?\ssrc\s*=\s*"([^"]*)"', 1)) as src from files),
+@query(FILES_SQL + rf""", s as (select url, unnest({_values_sql('script', 'src')}) as src from files),
 t as (select url, case when starts_with(src, '/') then regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || src else src end as target from s)
 select url, 'html' as type from files union select target, 'js' from t where regexp_extract(target, '//([^/?#]*)', 1) = regexp_extract(url, '//([^/?#]*)', 1)""")
 def discover_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.discover_assets(_pages(spark, sf_dir))
 
 
-_EXTERNAL_SQL = rf"""(select url as source_page, unnest(regexp_extract_all(content, '(?is)<script\b[^>]*?\ssrc\s*=\s*"(https?://[^"]*)"', 1)) as url, 'Script' as type from files
-union all select url, unnest(regexp_extract_all(content, '(?is)<link\b[^>]*stylesheet[^>]*?\shref\s*=\s*"(https?://[^"]*)"', 1)), 'Stylesheet' from files)"""
+_EXTERNAL_SQL = rf"""(select source_page, url, type from (select url as source_page, unnest({_values_sql('script', 'src')}) as url, 'Script' as type from files
+union all select url, unnest({_values_sql('link', 'href')}), 'Stylesheet' from files where regexp_matches(content, '(?is)<link\b[^>]*stylesheet')) where starts_with(url, 'https:'))"""
 
 
 @query(FILES_SQL + f"select * from {_EXTERNAL_SQL}")

@@ -29,6 +29,7 @@ SNIPPETS: tuple[tuple[str, str, str], ...] = (
     ("", "Grid.aspx", "<telerik:RadAjaxManager id=\"r\" />\n<dx:ASPxCallback />\n<iframe src=\"a\" style=\"display: none\"></iframe>\n<img onerror=\"new Image('x').src = 'http://t.example.net/p.gif'\">"),
     ("", "forms.jsp", "<script>new FormData(f); new Ajax.Request('/p'); backgroundFetch; JSON.parse(s); @Ajax.BeginForm()\nhubConnection.start(); @ViewBag.Title</script>"),
     ("", "README", "no code\n"),
+    ("", "bare.html", "<a href=/bare/page.html>b</a> <a class=x href='/single/page.html'>s</a> <a href=up.html#top>r</a>\n<script src=/js/bare.js></script>\n<script async src='https://cdn.example.net/s.js'></script>\n<link rel=stylesheet href=https://cdn.example.net/bare.css>"),
 )
 K = len(SNIPPETS)
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -11,6 +15,8 @@ from ..functions import paths
 
 #: Tried in turn on bytes that are not UTF-8; the last takes any byte.
 FALLBACKS = ("windows-1252", "latin-1")
+#: Folders of version control and editors, whose files are never part of an application.
+UNREAD = (".git", ".svn", ".hg", ".vs", ".vscode", ".idea")
 EXTRACTED_FOLDERS = ("inline_js", "internal_js", "inline_css", "internal_css")
 
 
@@ -21,18 +27,51 @@ def with_path_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"directory": folder, "filename": name, "extension": paths.extension(name), "depth": paths.directory_depth(folder)})
 
 
-def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
+def read_source_tree(spark: SparkSession, root: str, unread: tuple[str, ...] = UNREAD) -> DataFrame:
     """Every file below ``root``: path, rel_path, directory, filename, extension, depth, size_bytes, bytes.
 
-    Filters on names and sizes reach the reader, so files that they drop are not opened. Spark's readers pass over names
-    that start with a dot or an underscore.
+    Filters on names and sizes reach the reader, so files that they drop are not opened. Spark's reader passes over
+    names that start with a dot or an underscore, and over folders so named; these files are listed and read beside it.
+    Folders in ``unread`` are not entered for that.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
+    if hidden := _hidden_files(root, unread):
+        tasks = min(len(hidden), 4 * spark.sparkContext.defaultParallelism)
+        files = files.unionByName(spark.createDataFrame(hidden, "path string, length long").repartition(tasks).mapInArrow(_read_whole, "path string, length long, content binary"))
     tail = "/" + root.split("://", 1)[-1].strip("/").split("/", 1)[-1] + "/" if "://" in root else root.rstrip("/") + "/"
     rel = F.expr(f"substring(path, locate({_quoted(tail)}, path) + {len(tail)})")
     return with_path_columns(files.select("path", rel.alias("rel_path"), F.col("length").alias("size_bytes"), F.col("content").alias("bytes")))
 
 
+def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+
+
+def _hidden_files(root: str, unread: tuple[str, ...]) -> list[tuple[str, int]]:
+    """(path, size) of files that Spark's reader passes over; the paths are few beside those it lists itself."""
+    store, top = _filesystem(root)
+    head = root.split("://", 1)[0] + "://" if "://" in root else "file:"
+    found, folders = [], [(top.rstrip("/"), False)]
+    while folders:
+        folder, hidden = folders.pop()
+        for x in store.get_file_info(fs.FileSelector(folder)):
+            odd = hidden or x.base_name.startswith((".", "_"))
+            if x.type == fs.FileType.Directory:
+                if not (odd and x.base_name in unread):
+                    folders.append((x.path, odd))
+            elif odd:
+                found.append((head + x.path, x.size))
+    return found
+
+
+def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(b.num_rows):
+            store, path = _filesystem(b.column("path")[k].as_py())
+            with store.open_input_stream(path) as f:
+                yield pa.RecordBatch.from_arrays([b.column("path").slice(k, 1), b.column("length").slice(k, 1), pa.array([f.read()], pa.binary())], ["path", "length", "content"])
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -41,7 +80,8 @@ def _quoted(text: str) -> str:
 def _fallback(data: pd.Series) -> pd.DataFrame:
     rows = []
     for raw in data:
-        for name in FALLBACKS:
+        marked = raw is not None and bytes(raw[:2]) in (b"\xff\xfe", b"\xfe\xff")
+        for name in ("utf-16", *FALLBACKS) if marked else FALLBACKS:
             try:
                 rows.append((None if raw is None else bytes(raw).decode(name), None if raw is None else name))
                 break
@@ -51,16 +91,16 @@ def _fallback(data: pd.Series) -> pd.DataFrame:
 
 
 def decode_content(df: DataFrame, bytes_col: str = "bytes") -> DataFrame:
-    """Add content and encoding: UTF-8 where the bytes are that, else the fallbacks; null bytes give null.
+    """Add content and encoding: UTF-8 where the bytes are that, else UTF-16 by its byte order mark, else the fallbacks.
 
-    Line ends become line feeds. Only rows that are not UTF-8 reach the helper.
+    Line ends become line feeds; null bytes give null. The bytes are read once, and the helper gets only those that are not UTF-8.
     """
     raw = F.col(bytes_col)
-    good = df.filter(F.is_valid_utf8(raw.cast("string"))).withColumn("_d", F.struct(raw.cast("string").alias("content"), F.lit("utf-8").alias("encoding")))
-    bad = df.filter(F.coalesce(~F.is_valid_utf8(raw.cast("string")), F.lit(True))).withColumn("_d", _fallback(raw))
-    both = good.unionByName(bad)
-    text = F.regexp_replace("_d.content", "\r\n?", "\n")
-    return both.withColumns({"content": text, "encoding": F.col("_d.encoding")}).drop("_d", bytes_col)
+    good = F.coalesce(F.is_valid_utf8(raw.cast("string")), F.lit(False))
+    other = df.withColumns({"_good": good, "_other": _fallback(F.when(~good, raw))})
+    content = F.when(F.col("_good"), raw.cast("string")).otherwise(F.col("_other.content"))
+    encoding = F.when(F.col("_good"), F.lit("utf-8")).otherwise(F.col("_other.encoding"))
+    return other.withColumns({"content": F.regexp_replace(content, "\r\n?", "\n"), "encoding": encoding}).drop("_good", "_other", bytes_col)
 
 
 def decode_ignoring(raw: Column) -> Column:
