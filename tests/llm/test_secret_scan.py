@@ -50,8 +50,21 @@ def test_only_unseen_pairs_are_scanned(spark, documents):
     assert whole == {r.path: r.spans for r in S.scan_documents(everything).collect()}
 
 
+def test_a_ledger_of_other_rules(spark, documents):
+    """The order of kinds is that of the rules at hand, whatever rules the ledger was made by."""
+    docs = documents(TEXTS + ["token=deadbeefdeadbeefdeadbeefdeadbeef"])
+    ledger = S.update_ledger(docs, None, (S.BASE_RULES[2], S.BASE_RULES[1]))
+    assert {r.path: r.spans for r in S.scan_documents(docs, ledger).collect()} == {r.path: r.spans for r in S.scan_documents(docs).collect()}
+
+
+def test_many_matches_in_one_text(spark, documents):
+    text = " ".join(f"secret=abcdef{k}" for k in range(2000))
+    (row,) = S.scan_documents(documents([text])).select(S.joined(F.col("spans")).alias("s")).collect()
+    assert row.s == ",".join(brute(text))
+
+
 def test_redaction(spark, documents):
-    docs = documents([*TEXTS[2:4], "clean", None]).withColumn("spans", F.lit(1)).withColumn("blob_id", F.lit("x"))
+    docs = documents([*TEXTS[2:4], "clean", None]).withColumn("spans", F.lit(1)).withColumn("blob_id", F.lit("x")).withColumn("_blob", F.lit("x")).withColumn("_spans", F.lit(2))
     out = {r.doc_id: r for r in S.redact_documents(docs).collect()}
     assert S.redact_documents(docs).columns == docs.columns
     assert "b7db7aa4" not in out[0].text and "[REDACTED] and TOKEN" in out[0].text and out[0].n_chars == len(out[0].text)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -43,6 +44,29 @@ def test_bad_files_give_an_error_row(spark):
     assert [r.page for r in got if r.id == 6] == [0]
 
 
+def field(file, tag, value=None, count=None):
+    """The file with a field of its first directory changed."""
+    out = bytearray(file)
+    (at,) = struct.unpack_from("<I", out, 4)
+    (n,) = struct.unpack_from("<H", out, at)
+    for k in range(at + 2, at + 2 + 12 * n, 12):
+        if struct.unpack_from("<H", out, k)[0] == tag:
+            if count is not None:
+                struct.pack_into("<I", out, k + 4, count)
+            if value is not None:
+                struct.pack_into("<I", out, k + 8, value)
+    return bytes(out)
+
+
+def test_bad_pages_do_not_end_the_file(spark):
+    good = tiff.encode_tiff([np.ones((64, 64), np.uint8), np.zeros((8, 64), np.uint8)])
+    rows = [(1, field(good, tiff.WIDTH, count=0)), (2, field(good, tiff.WIDTH, value=2**32 - 1)), (3, field(good, tiff.BITS, value=16)), (4, field(good, tiff.ROWS_PER_STRIP, value=0)), (5, field(good, tiff.STRIP_BYTES, value=1)), (6, field(good, tiff.SAMPLES, value=0))]
+    got = tiff.tiff_pages(spark.createDataFrame(rows, "k long, f binary"), "k", "f").collect()
+    for k, _ in rows:
+        own = sorted((r for r in got if r.id == k), key=lambda r: r.page)
+        assert [r.page for r in own] == [0, 1] and own[0].error and own[1].error is None and (own[1].height, own[1].width) == (8, 64)
+
+
 def test_text_contract(spark, documents):
     texts = [None, "", "a" * 64, "é" * 40, "x" * 70_000, "same", "same"]
     files = tiff.texts_to_tiff(documents(texts))

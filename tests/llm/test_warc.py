@@ -25,6 +25,16 @@ def test_round_trip_and_revisits(spark, tmp_path):
     assert got[4].url == "http://a/4%0D%0AX: y" and got[3].url is None
 
 
+def test_repeated_ids(spark, tmp_path):
+    """Equal rows, and one id with two payloads: each record comes back once with its own digest."""
+    a, b = "a" * 200, "b" * 200
+    rows = [(1, "u", a), (1, "u", a), (1, "u", b), (2, "v", a), (3, "w", b)]
+    folder = A.write_archives(spark.createDataFrame(rows, P), str(tmp_path / "r"))
+    got = A.resolve_revisits(A.read_archives(spark, folder)).collect()
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert sorted((r.page_id, r.payload_digest, r.refers_to) for r in got) == sorted([(1, digest(a), None), (1, digest(a), None), (1, digest(b), None), (2, digest(a), 1), (3, digest(b), 1)], key=str)
+
+
 def test_empty_and_null_ids(spark, tmp_path):
     none = spark.createDataFrame([], P)
     assert A.with_revisits(none).count() == 0

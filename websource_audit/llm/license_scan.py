@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running_sums
+
 #: Hundredths of a template's distinct tokens that a block must hold.
 CONTAINMENT_PERCENT = 85
 
@@ -65,15 +67,9 @@ def phrase_starts(pad: Column, phrase: str) -> Column:
     """Word positions from 0 where the phrase's words stand consecutively; each piece holds as many words as spaces."""
     words = len(phrase.split())
     pieces = F.split(pad, f" {phrase}(?= )", -1)
-    spaces = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))))
+    spaces = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))) + words)
     none = F.array().cast("array<int>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(acc: Column, n: Column) -> Column:
-        at = acc["at"] + n
-        return F.struct((at + words).alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
-
-    return F.when(pad.contains(f" {phrase} "), F.aggregate(spaces, start, step)["out"]).otherwise(none)
+    return F.when(pad.contains(f" {phrase} "), F.transform(running_sums(spaces), lambda end: (end - words).cast("int"))).otherwise(none)
 
 
 def token_order(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> list[str]:

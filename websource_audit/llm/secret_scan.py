@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, running_sums
 from .common import stash
 
 
@@ -42,10 +43,11 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
-LEDGER = f"blob_id string, kind string, version int, spans {SPANS}"
+#: What a ledger keeps of a span: its kind is the row's, and its rank that of the kind among the rules of whoever reads it.
+PLACES = "array<struct<start:int,end:int>>"
 
 
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
+def places_of(text: Column, rule: Rule) -> Column:
     """Spans of one rule, in code points, end exclusive: leftmost non-overlapping matches, failing ones dropped.
 
     The start of match i is the length of all pieces and matches before it; both calls cut the text alike.
@@ -53,17 +55,14 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     part = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     pieces = F.split(text, rule.pattern, -1)
-    cells = F.zip_with(F.arrays_zip(whole.alias("w"), part.alias("p")), F.slice(pieces, 1, F.size(whole)), lambda m, before: F.struct(F.length(before).alias("before"), F.length(m["w"]).alias("len"), F.length(m["p"]).alias("part")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    sizes = F.zip_with(F.arrays_zip(whole.alias("w"), part.alias("p")), F.slice(pieces, 1, F.size(whole)), lambda m, before: F.struct(F.length(before).alias("before"), F.length(m["w"]).alias("len"), F.length(m["p"]).alias("part")))
 
-    def step(acc: Column, cell: Column) -> Column:
-        begin = acc["at"] + cell["before"]
-        end = begin + cell["len"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(cell["part"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def spans(cells: Column) -> Column:
+        ends = running_sums(F.transform(cells, lambda c: c["before"] + c["len"]))
+        rows = F.zip_with(cells, ends, lambda c, end: F.when(c["part"] >= rule.least, F.struct((end - c["len"]).alias("start"), end.alias("end"))))
+        return F.filter(rows, lambda r: r.isNotNull()).cast(PLACES)
 
-    found = F.aggregate(cells, start, step)["out"]
-    return F.when(text.rlike(rule.gate), found).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(rule.gate), let(sizes, spans)).otherwise(F.array().cast(PLACES))
 
 
 def blob_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,10 +70,6 @@ def blob_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).alias("path"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob_id"))
 
 
-def empty_ledger(docs: DataFrame) -> DataFrame:
-    return docs.sparkSession.createDataFrame([], LEDGER)
-
-
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """Ledger rows that are new: one per unseen (blob, rule version) with a finding or without.
 
@@ -89,9 +84,9 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
         done = ledger.groupBy("blob_id").agg(F.collect_set(F.concat_ws("@", "kind", "version")).alias("done"))
         blobs = blobs.join(done, "blob_id", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
     rows = []
-    for rank, rule in enumerate(rules):
+    for rule in rules:
         fresh = ~F.array_contains("done", f"{rule.kind}@{rule.version}")
-        rows.append(F.when(fresh, F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), spans_of(F.col("blob"), rule, rank).alias("spans"))))
+        rows.append(F.when(fresh, F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), places_of(F.col("blob"), rule).alias("spans"))))
     return blobs.select("blob_id", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("blob_id", "r.kind", "r.version", "r.spans")
 
 
@@ -101,14 +96,24 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     return stash(new if ledger is None else ledger.unionByName(new), "ledger")
 
 
+def hits(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob_id, spans) of the blobs with findings by the current rule versions, by start, then kind as listed in ``rules``.
+
+    It is written: so Spark can split a blob that very many paths share.
+    """
+    current = F.concat_ws("@", "kind", "version").isin([f"{r.kind}@{r.version}" for r in rules])
+    rank = F.element_at(F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k))), F.col("kind"))
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank.alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind")))
+    rows = ledger.filter(current & (F.size("spans") > 0)).select("blob_id", spans.alias("spans"))
+    return stash(rows.groupBy("blob_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).cast(SPANS).alias("spans")), "hits")
+
+
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of ``docs`` as (path, spans): the spans of the current rule versions, by start, then kind as listed.
 
     Repeated rows give repeated rows; a null id stays null; paths without findings have an empty array.
     """
-    current = F.concat_ws("@", "kind", "version").isin([f"{r.kind}@{r.version}" for r in rules])
-    hits = stash(ledger.filter(current & (F.size("spans") > 0)).groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "hits")  # written: so Spark can split a blob that very many paths share
-    return blob_versions(docs, id_col, text_col).join(hits, "blob_id", "left").select("path", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return blob_versions(docs, id_col, text_col).join(hits(ledger, rules), "blob_id", "left").select("path", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -136,14 +141,12 @@ def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
 def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
     """The documents with every finding redacted: columns and rows as given, a character count brought up to date.
 
-    A null text stays null. Documents without findings are unchanged.
+    A null text stays null. Documents without findings are unchanged. Columns may have any names.
     """
-    ledger = update_ledger(docs, None, rules, text_col)
-    current = stash(ledger.filter(F.size("spans") > 0).groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "hits")
-    current = current.select(F.col("blob_id").alias("_blob"), F.col("spans").alias("_spans"))
-    out = docs.join(current, F.sha2(docs[text_col], 256) == F.col("_blob"), "left")
-    has = F.col("_spans").isNotNull()
-    clean = F.when(has, redact(docs[text_col], F.col("_spans"))).otherwise(docs[text_col])
+    found = hits(update_ledger(docs, None, rules, text_col), rules)
+    out = docs.join(found, F.sha2(docs[text_col], 256) == found["blob_id"], "left")
+    has = found["spans"].isNotNull()
+    clean = F.when(has, redact(docs[text_col], found["spans"])).otherwise(docs[text_col])
     made = []
     for c in docs.columns:
         if c == text_col:

@@ -24,6 +24,10 @@ LZW_CLEAR, LZW_END = 256, 257
 PAGE_SCHEMA = "page int, width int, height int, samples_per_pixel int, compression int, predictor int, samples binary, error string"
 
 
+#: Samples of a page beyond which it is not decoded: a header may claim any size.
+MOST_SAMPLES = 1 << 28
+
+
 class TiffError(ValueError):
     """A file that is not readable as TIFF."""
 
@@ -208,6 +212,8 @@ def directories(data: bytes) -> Iterator[dict[int, tuple[int, ...]]]:
             where = k + 8 if size <= 4 else struct.unpack_from(e + "I", data, k + 8)[0]
             if where + size > len(data):
                 raise TiffError("field past the end")
+            if not count:
+                continue
             fields[tag] = struct.unpack_from(f"{e}{count}{code}", data, where)
         yield fields
         (at,) = struct.unpack_from(e + "I", data, at + 2 + 12 * n)
@@ -217,7 +223,7 @@ def page_samples(data: bytes, ifd: dict[int, tuple[int, ...]]) -> np.ndarray:
     """The 8-bit samples of one page: (rows, columns, samples per pixel)."""
     one = lambda tag, default=None: ifd.get(tag, (default,))[0]
     wide, high, spp, comp, pred = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if wide is None or high is None:
+    if not (wide and high and spp):
         raise TiffError("page without a size")
     if set(ifd.get(BITS, (1,))) != {8} or one(PLANAR, 1) != 1 or pred not in (1, 2):
         raise TiffError("only 8-bit interleaved samples are read")
@@ -225,6 +231,8 @@ def page_samples(data: bytes, ifd: dict[int, tuple[int, ...]]) -> np.ndarray:
     bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (wide, min(one(ROWS_PER_STRIP, high), high))
     at, sizes = (ifd.get(TILE_OFFSETS), ifd.get(TILE_BYTES)) if tiled else (ifd.get(STRIP_OFFSETS), ifd.get(STRIP_BYTES))
     across, down = -(-wide // bw) if bw else 0, -(-high // bh) if bh else 0
+    if down * bh * across * bw * spp > MOST_SAMPLES:
+        raise TiffError(f"more than {MOST_SAMPLES} samples")
     if at is None or sizes is None or len(at) != len(sizes) or len(at) != across * down:
         raise TiffError("wrong number of strips or tiles")
     out = np.zeros((down * bh, across * bw, spp), np.uint8)
@@ -251,8 +259,9 @@ def page_samples(data: bytes, ifd: dict[int, tuple[int, ...]]) -> np.ndarray:
 def tiff_pages(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """One row per page of each TIFF in ``media_col``: id, media_bytes, media_sha256, then PAGE_SCHEMA.
 
-    A null or unreadable file gives one row with page null and the reason in ``error``. Repeated rows give repeated
-    pages. Only the two columns named are read.
+    A page that can't be decoded gives a row with its number and the reason in ``error``, and the pages after it are read. A
+    null file, or one whose chain of directories is broken, gives a row with page null and the reason, beside the
+    pages before it. Repeated rows give repeated pages. Only the two columns named are read.
     """
     kind = files.schema[id_col].dataType.simpleString()
 
@@ -263,9 +272,13 @@ def tiff_pages(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
         digest = hashlib.sha256(data).hexdigest()
         try:
             for k, ifd in enumerate(directories(data)):
-                got = page_samples(data, ifd)
+                try:
+                    got = page_samples(data, ifd)
+                except (TiffError, zlib.error, struct.error, TypeError, ValueError) as e:  # a page may hold anything
+                    yield (len(data), digest, k, *[None] * 6, str(e))
+                    continue
                 yield (len(data), digest, k, got.shape[1], got.shape[0], got.shape[2], ifd.get(COMPRESSION, (NONE,))[0], ifd.get(PREDICTOR, (1,))[0], got.tobytes(), None)
-        except (TiffError, zlib.error, struct.error) as e:
+        except (TiffError, struct.error) as e:
             yield (len(data), digest, *[None] * 7, str(e))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

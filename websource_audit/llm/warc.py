@@ -161,10 +161,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Per record: page_id, url, record_type, refers_to, and size and digest of the full payload, a revisit's from the response it names.
 
-    Responses are few to each name, so the revisits of one response, however many, are only looked up.
+    A response is named by its page_id and the digest that the revisit declares, so ids may repeat; equal responses count
+    once. A revisit that names none has a null size and digest. Responses are few to each name, so the revisits of one response,
+    however many, are only looked up.
     """
     revisit = F.col("record_type") == "revisit"
-    heads = records.filter(~revisit).select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_digest").alias("full_digest"))
+    heads = records.filter(~revisit).select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("declared_digest"), F.col("payload_bytes").alias("full_bytes"))
+    heads = heads.dropDuplicates(["refers_to", "declared_digest"])
     stored = records.filter(~revisit).select("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest")
-    again = records.filter(revisit).select("page_id", "url", "record_type", "refers_to").join(heads, "refers_to", "left")
-    return stored.unionByName(again.select("page_id", "url", "record_type", "refers_to", F.col("full_bytes").alias("payload_bytes"), F.col("full_digest").alias("payload_digest")))
+    again = records.filter(revisit).select("page_id", "url", "record_type", "refers_to", "declared_digest").join(heads, ["refers_to", "declared_digest"], "left")
+    full = F.when(F.col("full_bytes").isNotNull(), F.col("declared_digest"))
+    return stored.unionByName(again.select("page_id", "url", "record_type", "refers_to", F.col("full_bytes").alias("payload_bytes"), full.alias("payload_digest")))
