@@ -1,9 +1,10 @@
 """Quality classifier: document evidence combined with host and path posteriors by hierarchical empirical Bayes.
 
-A logistic model of whole-text statistics gives each document's own evidence. Hosts, and paths within hosts, have Beta
+A logistic model of whole-text statistics gives each document's own evidence. Hosts, and paths within hosts, have
 posteriors over their share of good documents: grouped sums of the documents' probabilities, shrunk to the host's and
-the global share by concentrations that the method of moments takes from how much sites differ. A document's log odds
-are its own evidence plus what its path says beyond the global share.
+the global share by concentrations that the method of moments takes from how much hosts differ, and paths within their
+host. A document's own probability is left out of the shares that it is judged by. Its log odds are its own evidence plus
+what its path says beyond the global share.
 """
 
 from __future__ import annotations
@@ -122,42 +123,68 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, path_share, global_share) from scored rows (host, path, log_odds), all null hosts or paths as one each.
+@dataclass
+class Priors:
+    """The global share, and how many documents of its parent a host and a path weigh against their own."""
 
-    A concentration k makes a site of n documents weigh n against k documents of its parent. With b the variance of
-    site means beyond what sampling explains, k = m (1 - m) / b - 1, within 1 and a million.
-    """
-    p = 1 / (1 + F.exp(-F.col("log_odds")))
-    paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s"))
-    paths = stash(paths, "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    hosts = stash(hosts, "hosts")
+    share: float
+    host_weight: float
+    path_weight: float
+
+
+def weight(inside: float, between: float, spread: float, groups: float) -> float:
+    """The concentration from sums of squares: variance inside groups over what groups differ beyond it, within 1 and a million.
 
-    def moments(sites: DataFrame) -> tuple[float, float, float, float]:
-        """Share, and from it the weighted variance of site means and what sampling gives of it."""
-        r = sites.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ss"), F.count(F.lit(1)).alias("k")).first()
-        if not r.n:
-            return 0.5, 0.0, 0.0, 0.0
-        m = min(max(r.s / r.n, 1e-6), 1 - 1e-6)
-        return m, r.ss / r.n - m * m, m * (1 - m) * r.k / r.n, r.n
+    ``between`` is the sum of squares of group means about their parent's, ``groups`` its degrees of freedom, ``spread`` the
+    documents that it stands for.
+    """
+    extra = (between - groups * inside) / spread if spread > 0 else 0.0
+    return float(min(max(inside / max(extra, 1e-12), 1.0), 1e6))
 
-    def concentration(sites: DataFrame) -> tuple[float, float]:
-        m, var, noise, _ = moments(sites)
-        return m, float(min(max(m * (1 - m) / max(var - noise, 1e-9) - 1, 1.0), 1e6))
 
-    share, k_host = concentration(hosts)
-    _, k_path = concentration(paths)
-    up = hosts.select(F.col("host").alias("h"), ((F.col("s") + k_host * share) / (F.col("n") + k_host)).alias("host_share"))
-    out = paths.join(up, paths["host"].eqNullSafe(up["h"]))
-    path_share = (F.col("s") + k_path * F.col("host_share")) / (F.col("n") + k_path)
-    return stash(out.select("host", "path", "n", "host_share", path_share.alias("path_share"), F.lit(share).alias("global_share")), "sites")
+def site_sums(scored: DataFrame) -> tuple[DataFrame, Priors]:
+    """(host, path, n, s, host_n, host_s) of scored rows (host, path, log_odds), and the priors; null hosts or paths are one each."""
+    p = 1 / (1 + F.exp(-F.col("log_odds")))
+    paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q"))
+    paths = stash(paths, "paths")
+    hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
+    sites = stash(paths.join(hosts, paths["host"].eqNullSafe(hosts["h"])).drop("h"), "sites")
+    part = F.col("n") / F.col("host_n")  # a sum over paths counts each host once
+    r = sites.agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("paths"), F.sum(part).alias("hosts"),
+        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("path_ss"), F.sum(part * F.col("host_s") * F.col("host_s") / F.col("host_n")).alias("host_ss"),
+        F.sum(F.col("n") * F.col("host_n")).alias("host_nn"), F.sum(part * F.col("n")).alias("path_nn"),
+    ).first()
+    if not r.n:
+        return sites, Priors(0.5, 1.0, 1.0)
+    share = min(max(r.s / r.n, 1e-6), 1 - 1e-6)
+    inside = lambda ss, groups: max((r.q - ss) / (r.n - groups), 1e-12) if r.n > groups + 0.5 else share * (1 - share)
+    host_weight = weight(inside(r.host_ss, r.hosts), r.host_ss - r.s * r.s / r.n, r.n - r.host_nn / r.n, r.hosts - 1)
+    path_weight = weight(inside(r.path_ss, r.paths), r.path_ss - r.host_ss, r.n - r.path_nn, r.paths - r.hosts)
+    return sites, Priors(share, host_weight, path_weight)
+
+
+def with_posteriors(scored: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """``scored`` (host, path, log_odds and more) with host_share, path_share and global_share, each row's own probability left out.
+
+    ``scores`` has the same host, path and log_odds where they are cheaper to read.
+    """
+    sites, priors = site_sums(scored if scores is None else scores)
+    small = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
+    s = sites.select(F.col("host").alias("h"), F.col("path").alias("p"), "n", "s", "host_n", "host_s")
+    out = scored.join(F.broadcast(s) if small else s, scored["host"].eqNullSafe(s["h"]) & scored["path"].eqNullSafe(s["p"]))
+    own = 1 / (1 + F.exp(-scored["log_odds"]))
+    inner = lambda x: F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6))
+    host = inner((s["host_s"] - own + priors.host_weight * priors.share) / (s["host_n"] - 1 + priors.host_weight))
+    path = inner((s["s"] - own + priors.path_weight * host) / (s["n"] - 1 + priors.path_weight))
+    return out.select(*(scored[c] for c in scored.columns), host.alias("host_share"), path.alias("path_share"), F.lit(priors.share).alias("global_share"))
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE_LABELS, keep_text: bool = True) -> DataFrame:
     """All rows of ``docs`` as (doc: all its columns as a struct, log_odds, host_share, path_share, quality, keep).
 
-    Without ``keep_text`` the struct lacks the text, the scored rows are written once and texts are read in one pass.
+    Without ``keep_text`` the struct lacks the text, and each text is scored once. With it only the scores are written and texts
+    are scored again as they pass: a second copy of the whole corpus in the shared folder would cost more.
 
     quality is the posterior probability of a good document, keep whether it reaches the threshold. Null and empty
     texts are scored like any other; repeated rows repeat; empty tables give no rows. The struct keeps the
@@ -166,12 +193,10 @@ def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
     model = fit(docs, labels, sample, id_col, text_col)
     held = [c for c in docs.columns if keep_text or c != text_col]
     rows = docs.select(F.struct(*(docs[c] for c in held)).alias("doc"), host.alias("host"), path.alias("path"), evidence(docs[text_col], model).alias("log_odds"))
-    if not keep_text:
-        rows = stash(rows, "scored")
-    sites = site_posteriors(rows.select("host", "path", "log_odds"))
-    small = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
-    s = sites.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_share", "path_share", "global_share")
-    out = rows.join(F.broadcast(s) if small else s, rows["host"].eqNullSafe(s["h"]) & rows["path"].eqNullSafe(s["p"]), "left")
+    if keep_text:
+        out = with_posteriors(rows, stash(rows.select("host", "path", "log_odds"), "scores"))
+    else:
+        out = with_posteriors(stash(rows, "scored"))
     odds = F.col("log_odds") + _logit(F.col("path_share")) - _logit(F.col("global_share"))
     q = 1 / (1 + F.exp(-odds))
     return out.select("doc", "log_odds", "host_share", "path_share", q.alias("quality"), (q >= threshold).alias("keep"))
