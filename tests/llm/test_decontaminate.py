@@ -46,6 +46,13 @@ def test_equals_brute_force(spark, documents):
     assert left == {d for d, _ in docs} - {d for d, *_ in got}
 
 
+def test_texts_of_one_item_id_and_clashing_columns(spark, documents):
+    bench = spark.createDataFrame([(7, "a b c d e f g"), (7, "p q r s t u v"), (None, "k l m n o p")], "item_id long, text string")
+    docs = documents(["x a b c d e f g", "p q r s t u v y", "k l m n o p"]).withColumnRenamed("source", "hit_id").withColumnRenamed("lang", "item_id")
+    assert sorted(r.doc_id for r in D.contained_items(docs, bench).collect()) == [0, 1]
+    assert [r.doc_id for r in D.drop_contaminated(docs, bench).collect()] == [2]
+
+
 def test_empty(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contained_items(documents(["a b"]), none).count() == 0

@@ -83,6 +83,29 @@ def test_odd_tables(spark, documents):
     assert {(r.doc_id, r.component_id) for r in J.near_copies(two).collect()} == {(1, 1), (3, 1), (4, 4)}
 
 
+def test_three_texts_of_one_id_and_clashing_columns(spark, documents):
+    texts = ["a b c d e f", "g h i j k l", "m n o p q r"]
+    docs = documents([(9, t) for t in texts] + [(k, t) for k, t in enumerate(texts)] + [(5, "m n o p q r s")])
+    docs = docs.withColumnRenamed("lang", "copy_id").withColumnRenamed("source", "_drop")
+    assert {(r.doc_id, r.component_id) for r in J.near_copies(docs, percent=60).collect()} == {(9, 0), (0, 0), (1, 0), (2, 0), (5, 0)}
+    assert {r.doc_id for r in J.one_of_each(docs, percent=60).collect()} == {0}
+
+
+def test_passages_shared_in_all_ways(spark, documents, monkeypatch):
+    """Texts made of stock passages: nearly all pairs share some, none is similar; counts discard them before any text is read."""
+    rnd = random.Random(4)
+    stock = [" ".join(f"s{p}w{k}" for k in range(30)) for p in range(60)]
+    seen = []
+    whole = J.verified
+    monkeypatch.setattr(J, "verified", lambda pairs, *more: seen.append(pairs.count()) or whole(pairs, *more))
+    monkeypatch.setattr(J, "BUCKET_DOCS", 20)
+    rows = [(k, " ".join(rnd.sample(stock, 6))) for k in range(400)]
+    rows += [(1000, rows[0][1]), (1001, rows[1][1] + " tail")]
+    got = {r.doc_id: r.component_id for r in J.near_copies(documents(rows)).collect()}
+    assert got == {k: c for k, (_, c) in brute(rows).items()} and got[1001] == 1
+    assert sum(seen) <= len(rows)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 160)] + [(200, k) for k in range(201, 260)]

@@ -3,8 +3,8 @@ import random
 import numpy as np
 from packing_checks import check_packing, ids_of
 
-from websource_audit.llm import packing, token_counts
-from websource_audit.llm.common import TokenIds, default_tokenizer
+from websource_audit.llm import common, packing, token_counts
+from websource_audit.llm.common import TokenIds, WordHashes, default_tokenizer, shingle_hashes
 
 ODD = ["", None, "The cat's (paws), don't 123,45 ÀÉ. Straße, <|endoftext|>x été", "naïve,façade. ÿÿ. ß, ªb µm. ___ a_b --- ...a", "x\x1cy a​b   　c", "İstanbul ΑΣ. ΑΣ", "word " * 5000]
 
@@ -15,6 +15,22 @@ def test_chunked_ids_equal_the_tokenizer():
         assert np.frombuffer(cache.of(text), "<u4").tolist() == ids_of(text)
 
 
+def test_word_hashes_do_not_depend_on_what_stands_around(monkeypatch):
+    """Equal words have equal hashes in any window, text or case; other words have others."""
+    monkeypatch.setattr(common, "WINDOW_BYTES", 700)
+    words = [f"W{k % 37}x" * (1 + k % 3) for k in range(400)] + ["long" * 200, "LONG" * 200, "l" * 3000, "é" * 900, "end"]
+    texts = [None, "", " \t", "one", " ".join(words), "\n".join(words[:3]) + "\x0b", " ".join(words[::-1]), words[402], words[402] + " x"]
+    got = [x.tolist() for x in WordHashes().each(texts)]
+    seen = {}
+    for text, hashes in zip(texts, got, strict=True):
+        own = common.words_of(text)
+        assert len(own) == len(hashes)
+        for w, h in zip(own, hashes, strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert len(shingle_hashes(np.array(got[4], np.uint64))) == len(words) - 4 and len(shingle_hashes(np.array(got[3], np.uint64))) == 1
+
+
 def test_histogram_and_limits(spark, documents):
     rows = [*ODD, "a b c", "a b c"]
     lengths = sorted(len(ids_of(t)) for t in rows)

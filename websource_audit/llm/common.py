@@ -5,14 +5,15 @@ from __future__ import annotations
 import functools
 import re
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import discard, shared_folder  # noqa: F401
+from ..sources.shared import written as stash  # noqa: F401
+
 #: Words of one shingle, and the Jaccard similarity (in hundredths) from which sets count as near copies.
 SHINGLE_WORDS = 5
 NEAR_PERCENT = 80
@@ -20,40 +21,10 @@ NEAR_PERCENT = 80
 CACHE_ENTRIES = 150_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage and survives the loss of any executor, which a cached or locally checkpointed frame does not.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, computed once a word."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text: A-Z lower-cased, cut at space and the bytes 9 to 13. bytes.lower() and bytes.split() do just that."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -62,19 +33,98 @@ def words_of(text: str | None) -> list[bytes]:
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
+#: Bytes hashed at once, and bytes from which a word is hashed by itself.
+WINDOW_BYTES = 1 << 19
+LONG_WORD = 512
+_SPACES = re.compile(rb"[ \t-\r]")
 
 
-def shingle_hashes(words: list[bytes], cache: WordHashes, n: int = SHINGLE_WORDS) -> np.ndarray:
-    """64-bit hashes of the n-word shingles in text order; a shorter text is one shingle, an empty one has none."""
-    if not words:
+class WordHashes:
+    """64-bit hashes of the words of texts, by running sums over many texts at once.
+
+    A word's hash is a polynomial modulo 2**64 over random byte values; the same for upper and lower case A-Z.
+    """
+
+    def __init__(self) -> None:
+        values = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        values[65:91] = values[97:123]
+        self.values, self.space = values, np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.up, self.down = (np.full(2 * WINDOW_BYTES, base, np.uint64) for base in (int(_STEP), pow(int(_STEP), -1, 1 << 64)))
+        for steps in (self.up, self.down):
+            steps[0] = 1
+            np.multiply.accumulate(steps, out=steps)
+
+    def window(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, place of the end) of each word of at most 2 * WINDOW_BYTES bytes."""
+        data = np.frombuffer(raw, np.uint8)
+        gap = self.space[data]
+        edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+        start, end = edge[0::2], edge[1::2]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.down[: len(data)], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.up[start]
+        h ^= h >> np.uint64(29)
+        h *= _MIX_A
+        h ^= h >> np.uint64(32)
+        for k in np.flatnonzero(end - start >= LONG_WORD).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(raw[start[k] : end[k]].lower())
+        return h, end
+
+    def long_text(self, raw: bytes) -> np.ndarray:
+        """Hashes of the words of one text, window by window; a word longer than a window is hashed by itself."""
+        out, at = [], 0
+        while at < len(raw):
+            end = at + WINDOW_BYTES
+            if end < len(raw):
+                m = _SPACES.search(raw, end, at + 2 * WINDOW_BYTES)
+                if m is None:
+                    m = _SPACES.search(raw, end)
+                    end = m.start() if m else len(raw)
+                    words = raw[at:end].rsplit(None, 1)
+                    last = xxhash.xxh3_64_intdigest(words.pop().lower())
+                    out += [self.window(w)[0] for w in words]
+                    out.append(np.array([last], np.uint64))
+                    at = end
+                    continue
+                end = m.end()
+            out.append(self.window(raw[at:end])[0])
+            at = end
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+    def each(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The hashes of each text's words in turn; null and empty texts have none."""
+        held: list[bytes] = []
+        size = 0
+
+        def flush() -> Iterator[np.ndarray]:
+            h, end = self.window(b"\n".join(held))
+            yield from np.split(h, np.searchsorted(end, np.cumsum([len(x) + 1 for x in held[:-1]], dtype=np.int64)))
+
+        for text in texts:
+            raw = text.encode("utf-8", "surrogatepass") if text else b""
+            if held and size + len(raw) >= WINDOW_BYTES:
+                yield from flush()
+                held, size = [], 0
+            if len(raw) >= WINDOW_BYTES:
+                yield self.long_text(raw)
+                continue
+            held.append(raw)
+            size += len(raw) + 1
+        if held:
+            yield from flush()
+
+
+def shingle_hashes(words: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
+    """64-bit hashes of the n-word shingles in text order from the hashes of words; a shorter text is one shingle, an empty one has none."""
+    if not len(words):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     width = min(n, len(words))
     m = len(words) - width + 1
-    out = h[:m].copy()
+    out = words[:m].copy()
     for k in range(1, width):
         out *= _STEP
-        out += h[k : k + m]
+        out += words[k : k + m]
     if width < n:
         out += np.uint64(width)
     out ^= out >> np.uint64(30)
@@ -136,7 +186,7 @@ class TokenIds(dict):
         ids = self.late.get(text)
         if ids is None:
             ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(text) <= 512:
+            if len(text) <= LONG_WORD:
                 self.late[text] = ids
         return ids
 

@@ -1,9 +1,10 @@
 """Benchmark decontamination: size-partitioned MinHash containment search with exact verification.
 
-Items are partitioned by the size of their shingle set. An item's sketch is its k smallest shingle hashes (a bottom-k
-MinHash), with k set by the size partition so that any text holding the wanted share of the item's shingles holds at
-least one of them: of n shingles with at least ceil(t n) present, one of any n - ceil(t n) + 1 is present. So the search
-loses nothing, and each hit is then counted exactly on the words themselves.
+Items are partitioned by the size of their shingle set, and each partition has an index of its own. An item's sketch is its
+k smallest shingle hashes (a bottom-k MinHash), with k set by the partition so that any text holding the wanted share of
+the item's shingles holds at least one of them: of n shingles with at least ceil(t n) present, one of any
+n - ceil(t n) + 1 is present. A text is probed partition by partition with its own smallest hashes, as far up as the
+partition's sketches reach. So the search loses nothing, and each hit is then counted exactly on the words themselves.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import NEAR_PERCENT, SHINGLE_WORDS, WordHashes, column, shingle_hashes, slices, words_of
 
-#: Benchmark items searched for in one pass over the documents. It bounds what is sent to each task; larger benchmarks take more passes.
-BLOCK_ITEMS = 20_000
+#: Benchmark items, and bytes of them, searched for in one pass over the documents. They bound what is sent to each task; larger benchmarks take more passes.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32_000_000
 HITS = "doc_id long, item_id long, n_item long, n_shared long, containment double"
 
 
@@ -28,11 +29,14 @@ def need(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def sketch(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """The k smallest of an item's distinct hashes; k belongs to the upper end of the item's size partition (a power of two)."""
-    n = len(hashes)
-    top = 1 << max(0, int(n - 1).bit_length())
-    return hashes[: min(n, top - need(top, percent) + 1)]
+def partition_of(n: int) -> int:
+    """The size partition of a set of n shingles: the power of two that it reaches up to."""
+    return 1 << max(0, int(n - 1).bit_length())
+
+
+def sketch_size(partition: int, percent: int) -> int:
+    """Hashes in the sketches of a partition: so many that a text which holds enough of any of its items holds one of them."""
+    return partition - need(partition, percent) + 1
 
 
 def sets_of(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
@@ -43,65 +47,91 @@ def sets_of(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[k : len(words) - width + 1 + k] for k in range(width)), strict=True))
 
 
-class Index:
-    """Sketch values of a block of items, and the items of each."""
+class Partition:
+    """The sketches of the items of one size partition: which items hold a value, and the largest value of all sketches.
 
-    def __init__(self, items: list[tuple[int, str]], percent: int, n: int) -> None:
-        cache, by = WordHashes(), defaultdict(list)
-        self.words, self.percent, self.n = {}, percent, n
-        for item, text in items:
-            words = words_of(text)
-            hashes = np.unique(shingle_hashes(words, cache, n))
-            if len(hashes):
-                self.words[item] = words
-                for h in sketch(hashes, percent).tolist():
-                    by[h].append(item)
+    A text's sketch for the partition is its hashes up to that value; only these are looked up.
+    """
+
+    def __init__(self, sketches: list[tuple[int, np.ndarray]]) -> None:
+        by: dict[int, list[int]] = defaultdict(list)
+        for item, values in sketches:
+            for h in values.tolist():
+                by[h].append(item)
         self.by = dict(by)
         self.values = np.array(sorted(by), np.uint64)
+        self.top = self.values[-1]
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.values >> np.uint64(44)] = True
-        self.sets: dict[int, set] = {}
 
-    def hits(self, words: list[bytes], hashes: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, its shingles, those in the text) of all items that the text contains."""
-        near = hashes[self.bits[hashes >> np.uint64(44)]]
-        near = near[np.isin(near, self.values)] if len(near) else near
-        if not len(near):
-            return []
-        own, out = sets_of(words, self.n), []
-        for item in sorted({i for h in np.unique(near).tolist() for i in self.by[h]}):
-            if item not in self.sets:
-                self.sets[item] = sets_of(self.words[item], self.n)
-            shared = len(self.sets[item] & own)
-            if shared >= need(len(self.sets[item]), self.percent):
-                out.append((item, len(self.sets[item]), shared))
+    def met(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that some sketch holds."""
+        own = np.flatnonzero(hashes <= self.top)
+        own = own[self.bits[hashes[own] >> np.uint64(44)]]
+        return own[np.isin(hashes[own], self.values)] if len(own) else own
+
+
+class Index:
+    """A block of items, by size partition."""
+
+    def __init__(self, items: list[tuple[int, str]], percent: int, n: int) -> None:
+        self.items, self.percent, self.n = items, percent, n
+        self.sets: dict[int, set] = {}
+        parts: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        for k, words in enumerate(WordHashes().each([t for _, t in items])):
+            hashes = np.unique(shingle_hashes(words, n))
+            if len(hashes):
+                part = partition_of(len(hashes))
+                parts[part].append((k, hashes[: sketch_size(part, percent)]))
+        self.parts = [Partition(parts[p]) for p in sorted(parts)]
+
+    def candidates(self, hashes: list[np.ndarray]) -> dict[int, set[int]]:
+        """By place of the text in ``hashes`` (one array for each), the items that one of its hashes leads to."""
+        ends, flat = np.cumsum([len(h) for h in hashes]), np.concatenate(hashes)
+        out: dict[int, set[int]] = {}
+        for part in self.parts:
+            at = part.met(flat)
+            for k, h in zip(np.searchsorted(ends, at, "right").tolist(), flat[at].tolist(), strict=True):
+                out.setdefault(k, set()).update(part.by[h])
         return out
 
+    def shared(self, item: int, own: set) -> tuple[int, int] | None:
+        """(the item's shingles, those in the text) if these are enough."""
+        if item not in self.sets:
+            self.sets[item] = sets_of(words_of(self.items[item][1]), self.n)
+        wanted = self.sets[item]
+        n = len(wanted & own)
+        return (len(wanted), n) if n >= need(len(wanted), self.percent) else None
+
 
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = NEAR_PERCENT, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item of which it holds at least ``percent`` hundredths of the distinct shingles.
 
     Columns: doc_id, item_id, n_item, n_shared, containment. Null and empty texts on either side match nothing; an item
     of fewer words than a shingle matches only a text of just those words. Rows with a null item id are passed over;
-    repeated documents give repeated rows, repeated items count once. Other columns are not read.
+    repeated documents give repeated rows, equal items count once, and texts that share an item id are items of their
+    own: a document has a row for each that it holds. Other columns are not read.
     """
     spark = docs.sparkSession
-    bench = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).filter("i is not null and t is not null")
-    bench = bench.groupBy("i").agg(F.min("t").alias("t"))
-    blocks = max(1, -(-bench.count() // BLOCK_ITEMS))
+    bench = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).filter("i is not null and t is not null").distinct()
+    size = bench.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-size.n // BLOCK_ITEMS), -(-size.b // BLOCK_BYTES))
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).filter("t is not null")
 
     def search(k: int) -> DataFrame:
-        block = bench.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()
+        block = bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
         index = spark.sparkContext.broadcast([(r.i, r.t) for r in block])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found, cache = Index(index.value, percent, shingle_words), WordHashes()
-            for b in slices(batches):
+            found, words = Index(index.value, percent, shingle_words), WordHashes()
+            for b in slices(batches, 64):
+                ids, own = column(b, "d"), column(b, "t")
                 rows = []
-                for doc, text in zip(column(b, "d"), column(b, "t"), strict=True):
-                    words = words_of(text)
-                    rows += [(doc, i, n, m, m / n) for i, n, m in found.hits(words, shingle_hashes(words, cache, shingle_words))]
+                for k, near in sorted(found.candidates([shingle_hashes(w, shingle_words) for w in words.each(own)]).items()):
+                    held = sets_of(words_of(own[k]), shingle_words)
+                    for item in sorted(near):
+                        if got := found.shared(item, held):
+                            rows.append((ids[k], found.items[item][0], *got, got[1] / got[0]))
                 if rows:
                     kinds = [pa.int64()] * 4 + [pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "n_item", "n_shared", "containment"])

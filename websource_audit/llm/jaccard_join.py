@@ -1,9 +1,14 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
-The product is taken block by block of columns (n-grams), only over the entries that the size-derived bound leaves: two
-sets at similarity t share at least ceil(t n) of the n entries of either, so they meet in the first n - ceil(t n) + 1
-entries of both under any one order of the n-grams. The order puts n-grams known to be common last. Overlap counts are
-accumulated per pair, pairs whose count can't reach the bound are discarded, and the rest is counted on whole sets.
+The product is taken only over the entries that the size-derived bound leaves: two sets at similarity t share at least
+ceil(t n) of the n entries of either, so they meet in the first n - ceil(t n) + 1 entries of both under any one order of
+the n-grams. The order puts n-grams known to be common last.
+
+It is a masked product. Its first columns, where similar sets must meet, are multiplied tile by tile: a tile is a column and
+two buckets of its documents, so no task multiplies out a whole column. The pairs that come of it are the mask, and only
+for them overlap counts are accumulated over all entries indexed. A pair is discarded unless its count, with what
+can still be shared behind the entries indexed, reaches the overlap that the two sizes need; the rest is counted on
+whole sets.
 
 Columns with many documents are not multiplied out at once. First each document of a column meets the column's leader;
 what these links join is one component, and only pairs that are still in different components are multiplied out. No
@@ -20,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NEAR_PERCENT, SHINGLE_WORDS, WordHashes, column, shingle_hashes, slices, stash, words_of
+from .common import NEAR_PERCENT, SHINGLE_WORDS, WordHashes, column, discard, shingle_hashes, slices, stash
 from .components import components
 
 #: N-grams counted together in a task, and documents of such a count in which an n-gram is called common.
@@ -31,13 +36,15 @@ COMMON_ENTRIES = 500_000
 BROADCAST_IDS = 2_000_000
 #: Rounds in which documents meet leaders before the rest is multiplied out.
 LEADER_ROUNDS = 2
+#: Documents of a column in one bucket, on average.
+BUCKET_DOCS = 500
 
 SETS = "doc_id long, n long, sig binary, last long, entries array<long>"
 
 
-def entries_of(text: str | None, cache: WordHashes, words: int) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles."""
-    return np.unique(shingle_hashes(words_of(text), cache, words))
+def entries_of(texts: list[str | None], hashes: WordHashes, words: int) -> Iterator[np.ndarray]:
+    """Sorted hashes of each text's distinct shingles."""
+    return (np.unique(shingle_hashes(w, words)) for w in hashes.each(texts))
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -51,7 +58,7 @@ def common_entries(docs: DataFrame, words: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        hashes = WordHashes()
         held: list[np.ndarray] = []
         seen: set[bytes] = set()
 
@@ -62,8 +69,7 @@ def common_entries(docs: DataFrame, words: int) -> np.ndarray:
 
         size = 0
         for b in slices(batches):
-            for text in column(b, "t"):
-                own = entries_of(text, cache, words)
+            for own in entries_of(column(b, "t"), hashes, words):
                 sig = xxhash.xxh3_128_digest(own.tobytes())
                 if sig in seen:
                     continue
@@ -90,14 +96,13 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     common = docs.sparkSession.sparkContext.broadcast(common_entries(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, last = WordHashes(), common.value
+        hashes, last = WordHashes(), common.value
         bits = np.zeros(1 << 22, bool)
         bits[last >> np.uint64(42)] = True
         seen: set[bytes] = set()
         for b in slices(batches):
             sizes, sigs, lasts, firsts = [], [], [], []
-            for doc, text in zip(column(b, "d"), column(b, "t"), strict=True):
-                own = entries_of(text, cache, words)
+            for doc, own in zip(column(b, "d"), entries_of(column(b, "t"), hashes, words), strict=True):
                 n = len(own)
                 sizes.append(n)
                 sig = xxhash.xxh3_128_digest(own.tobytes())
@@ -121,35 +126,73 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return stash(docs.mapInArrow(run, SETS), "sets")
 
 
+def of_ids(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose doc_id is in ``ids``: few ids are sent to the rows, so that only these rows are shuffled on."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return table.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def ids_of(pairs: DataFrame) -> DataFrame:
+    return stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+
+
+def needed(percent: int):
+    """The overlap that sets of na and nb entries need."""
+    return F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+
+
+def counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) left after their overlap counts over all indexed entries are held against the bound.
+
+    Of two sets, take the one whose indexed entries end first in the order: the count has every shared entry up to there, and
+    behind it this set has ceil(t n) - 1.
+    """
+    sets = of_ids(sets, ids_of(pairs))
+    a, b = (sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("last").alias(f"l{x}"), F.col("entries").alias(f"e{x}")) for x in "ab")
+    rest = lambda x: F.ceil(F.col(f"n{x}") * percent / 100) - 1
+    left = F.when(F.col("la") < F.col("lb"), rest("a")).when(F.col("lb") < F.col("la"), rest("b")).otherwise(F.greatest(rest("a"), rest("b")))
+    enough = F.size(F.array_intersect("ea", "eb")) + left >= needed(percent)
+    return stash(pairs.join(a, "a").join(b, "b").filter(enough).select("a", "b").distinct(), "counted")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, last, own_b = WordHashes(), None, np.empty(0, np.uint64)
-        for batch in slices(batches, 256):
+        hashes = WordHashes()
+        for batch in slices(batches, 64):
             keep_a, keep_b = [], []
-            for a, b, ta, tb in zip(column(batch, "a"), column(batch, "b"), column(batch, "ta"), column(batch, "tb"), strict=True):
-                if b != last:
-                    last, own_b = b, entries_of(tb, cache, words)
-                own_a = entries_of(ta, cache, words)
-                if 100 * min(len(own_a), len(own_b)) < percent * max(len(own_a), len(own_b)):
+            ta, tb = column(batch, "ta"), column(batch, "tb")
+            every = list(dict.fromkeys(ta + tb))
+            own = dict(zip(every, entries_of(every, hashes, words), strict=True))
+            for a, b, x, y in zip(column(batch, "a"), column(batch, "b"), map(own.get, ta), map(own.get, tb), strict=True):
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
-                shared = len(np.intersect1d(own_a, own_b, assume_unique=True))
-                if shared and 100 * shared >= percent * (len(own_a) + len(own_b) - shared):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared and 100 * shared >= percent * (len(x) + len(y) - shared):
                     keep_a.append(a)
                     keep_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], ["a", "b"])
 
+    texts = of_ids(texts, ids_of(pairs))
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return stash(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(run, "a long, b long"), "links")
+    return stash(pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long"), "links")
+
 
+def apart(columns_: DataFrame, info: DataFrame | None = None) -> DataFrame:
+    """The entries (s, i, doc_id, n, last, comp) of columns that hold documents of several components, written, with
 
-def apart(columns_: DataFrame) -> DataFrame:
-    """The entries (s, i, doc_id, n, last, comp) of columns that hold documents of several components, with held: how many a document has."""
-    mixed = columns_.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("s")
-    left = stash(columns_.join(mixed, "s", "left_semi"), "mixed")
-    return left.join(left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("held")), "doc_id")
+    buckets: how many the column's documents are dealt to, and held: how many such columns the document has.
+    ``info`` has n and last by document where ``columns_`` lacks them.
+    """
+    mixed = columns_.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
+    mixed = mixed.filter("lo < hi").select("s", F.ceil(F.col("c") / BUCKET_DOCS).cast("int").alias("buckets"))
+    left = stash(columns_.join(mixed, "s"), "mixed")
+    held = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("held"))
+    out = stash(left.join(held if info is None else held.join(info, "doc_id"), "doc_id"), "entries")
+    discard(left)
+    return out
 
 
 def may_link(percent: int):
@@ -179,16 +222,16 @@ def leader_pairs(columns_: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def product_pairs(columns_: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that may be similar, with the overlap counts accumulated over their shared columns.
+    """Pairs of different components that may be similar and meet in their first columns.
 
-    For sizes x and y and the overlap o = ceil(t (x + y) / (1 + t)) that they need, only the first x - o + 1 and y - o + 1 entries
-    are multiplied: similar sets meet there, and elsewhere a product says nothing new.
+    For sizes x and y and the overlap o = ceil(t (x + y) / (1 + t)) that they need, these are the first x - o + 1 and y - o + 1
+    entries: similar sets meet there. A tile is a column with a bucket of its rows and one of its other rows.
     """
-    a, b = (columns_.select("s", F.col("i").alias(f"i{x}"), *_side(x)) for x in "ab")
-    overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    early = (F.col("ia") <= F.col("na") - overlap) & (F.col("ib") <= F.col("nb") - overlap)
-    pairs = a.join(b, "s").filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & early & may_link(percent))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("o")).select("a", "b")
+    bucket, other = F.pmod(F.xxhash64("doc_id"), F.col("buckets")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))
+    a = columns_.select("s", F.col("i").alias("ia"), *_side("a"), bucket.alias("u"), other.alias("v"))
+    b = columns_.select("s", F.col("i").alias("ib"), *_side("b"), bucket.alias("v"), other.alias("u"))
+    early = (F.col("ia") <= F.col("na") - needed(percent)) & (F.col("ib") <= F.col("nb") - needed(percent))
+    return a.join(b, ["s", "u", "v"]).filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & early & may_link(percent)).select("a", "b").distinct()
 
 
 def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -204,7 +247,8 @@ def near_copies(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = NEAR
 
     n_shingles is the number of distinct shingles (by 64-bit hash). component_id is the smallest doc_id that links reach; a link
     joins rows whose sets have a similarity of ``percent`` hundredths or more. Null and empty texts have no shingles
-    and no links. Rows of equal id count as linked; a null id has no links and a null component.
+    and no links. Rows of equal id count as linked, whatever their texts, and each text has its own links; a null id has no
+    links and a null component.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     sets = shingle_sets(rows, words, percent)
@@ -213,19 +257,25 @@ def near_copies(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = NEAR
     known = full.join(same, "sig").groupBy("doc_id").agg(F.min("comp").alias("comp"), F.max("comp").alias("other"))
     known = stash(known, "nodes")
     nodes = known.select("doc_id", "comp")
-    links = known.filter("comp < other").select(F.col("comp").alias("a"), F.col("other").alias("b"))
-    postings = sets.filter("entries is not null and doc_id is not null").select(F.posexplode("entries").alias("i", "s"), "doc_id", "n", "last")
-    shared = stash(postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s"), "shared")
-    entries = stash(apart(postings.join(shared, "s").join(nodes, "doc_id").select("s", "i", "doc_id", "n", "last", "comp")), "entries")
-    wanted = stash(entries.select("doc_id").distinct(), "wanted")
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = stash(rows.select(F.col("d").alias("doc_id"), F.col("t").alias("text")).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    links = known.filter("comp < other").select("doc_id", F.col("comp").alias("a"))  # ids with texts of several components
+    if not links.isEmpty():
+        links = full.join(same, "sig").join(links, "doc_id").select("a", F.col("comp").alias("b")).filter("a <> b").distinct()
+    else:
+        links = links.select("a", F.col("doc_id").alias("b"))
+    indexed = sets.filter("entries is not null and doc_id is not null")
+    # few columns go with the postings, which are many; what belongs to a document joins those that are left
+    postings = indexed.join(nodes, "doc_id").select(F.posexplode("entries").alias("i", "s"), "doc_id", "comp")
+    # of several texts of one id each entry gets all sizes: more pairs, none lost
+    entries = apart(postings, indexed.select("doc_id", "n", "last"))
+    texts = rows.select(F.col("d").alias("doc_id"), F.col("t").alias("text")).filter("t is not null")
     for turn in range(LEADER_ROUNDS + 1):
-        pairs = leader_pairs(entries, turn, percent) if turn < LEADER_ROUNDS else product_pairs(entries, percent)
-        found = verified(pairs, texts, words, percent)
+        pairs = stash(leader_pairs(entries, turn, percent) if turn < LEADER_ROUNDS else product_pairs(entries, percent), "pairs")
+        found = verified(counted(pairs, indexed, percent), texts, words, percent)
+        discard(pairs)
         nodes = merged(nodes, found if turn else found.unionByName(links))
         if turn < LEADER_ROUNDS:
-            entries = stash(apart(entries.drop("comp", "held").join(nodes, "doc_id")), "entries")
+            before, entries = entries, apart(entries.drop("comp", "held", "buckets").join(nodes, "doc_id"))
+            discard(before)
             if entries.isEmpty():
                 break
     final = nodes.select(F.col("doc_id").alias("k"), F.col("comp").alias("component_id"))
@@ -235,6 +285,6 @@ def near_copies(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = NEAR
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` but for those with a near copy of a smaller id: one id stays of each component. Null ids stay."""
     found = near_copies(docs, id_col=id_col, **options)
-    drop = stash(found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_drop")).distinct(), "copies")
+    drop = stash(found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("copy_id")).distinct(), "copies")
     few = drop.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(drop) if few else drop, docs[id_col] == F.col("_drop"), "left_anti")
+    return docs.join(F.broadcast(drop) if few else drop, docs[id_col] == drop["copy_id"], "left_anti")
