@@ -37,8 +37,10 @@ def changed(rnd, words, share):
     return [rnd.choice("xyz") + str(rnd.randint(0, 999)) if rnd.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, documents, seed):
+@pytest.mark.parametrize("seed, few", [(1, 4), (2, 4), (2, 1), (3, 30)])
+def test_equals_brute_force(spark, documents, seed, few, monkeypatch):
+    """Columns of at most ``few`` documents are multiplied out at once, the others after leader rounds."""
+    monkeypatch.setattr(J, "FEW_DOCS", few)
     rnd = random.Random(seed)
     passage = [f"p{k}" for k in range(60)]
     rows, base = [], []

@@ -10,8 +10,9 @@ for them overlap counts are accumulated over all entries indexed. A pair is disc
 can still be shared behind the entries indexed, reaches the overlap that the two sizes need; the rest is counted on
 whole sets.
 
-Columns with many documents are not multiplied out at once. First each document of a column meets the column's leader;
-what these links join is one component, and only pairs that are still in different components are multiplied out. No
+A column drops the documents whose size no other of its documents comes near, and with them all columns of one document.
+Columns of few documents are multiplied out at once. In the others each document first meets the column's leader; what
+these links join is one component, and only pairs that are still in different components are multiplied out. No
 component is lost that way, since a pair inside one changes nothing.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NEAR_PERCENT, SHINGLE_WORDS, WordHashes, column, discard, shingle_hashes, slices, stash
@@ -34,12 +35,14 @@ CHUNK_ENTRIES, COMMON_DOCS = 3_000_000, 3
 COMMON_ENTRIES = 500_000
 #: Document ids that are broadcast to pick texts; beyond it they are picked by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Rounds in which documents meet leaders before the rest is multiplied out.
+#: Documents of a column that is multiplied out at once.
+FEW_DOCS = 4
+#: Rounds in which documents of larger columns meet leaders before the rest is multiplied out.
 LEADER_ROUNDS = 2
 #: Documents of a column in one bucket, on average.
 BUCKET_DOCS = 500
 
-SETS = "doc_id long, n long, sig binary, last long, entries array<long>"
+SETS = "doc_id long, n long, sig binary, last long, rare int, entries array<long>"
 
 
 def entries_of(texts: list[str | None], hashes: WordHashes, words: int) -> Iterator[np.ndarray]:
@@ -91,7 +94,7 @@ def common_entries(docs: DataFrame, words: int) -> np.ndarray:
 def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """SETS: per row the size and digest of its set, and the entries that a partner must meet; for copies within a task only once.
 
-    ``last`` is the place of the last of these entries in the order of n-grams.
+    ``last`` is the place of the last of these entries in the order of n-grams; the first ``rare`` of them are not known as common.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_entries(docs, words))
 
@@ -101,7 +104,7 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         bits[last >> np.uint64(42)] = True
         seen: set[bytes] = set()
         for b in slices(batches):
-            sizes, sigs, lasts, firsts = [], [], [], []
+            sizes, sigs, lasts, rares, firsts = [], [], [], [], []
             for doc, own in zip(column(b, "d"), entries_of(column(b, "t"), hashes, words), strict=True):
                 n = len(own)
                 sizes.append(n)
@@ -109,6 +112,7 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 sigs.append(sig)
                 if not n or doc is None or sig in seen:
                     lasts.append(None)
+                    rares.append(None)
                     firsts.append(None)
                     continue
                 seen.add(sig)
@@ -120,8 +124,9 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 early = own[~late][:keep]
                 own = np.concatenate([early, own[late][: keep - len(early)]])
                 lasts.append(int(own[-1]) >> 2 | (keep > len(early)) << 62)
+                rares.append(len(early))
                 firsts.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(lasts, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "last", "entries"])
+            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(lasts, pa.int64()), pa.array(rares, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "last", "rare", "entries"])
 
     return stash(docs.mapInArrow(run, SETS), "sets")
 
@@ -180,17 +185,36 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return stash(pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long"), "links")
 
 
-def apart(columns_: DataFrame, info: DataFrame | None = None) -> DataFrame:
-    """The entries (s, i, doc_id, n, last, comp) of columns that hold documents of several components, written, with
+def mixed(columns_: DataFrame) -> DataFrame:
+    """``columns_`` (s, comp, ...) without columns of one component, with the number ``c`` of a column's documents."""
+    found = columns_.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
+    return columns_.join(found.filter("lo < hi").select("s", "c"), "s")
 
-    buckets: how many the column's documents are dealt to, and held: how many such columns the document has.
-    ``info`` has n and last by document where ``columns_`` lacks them.
+
+def mixed_rare(columns_: DataFrame, percent: int) -> DataFrame:
+    """The same for n-grams not known as common, which few sets of any chunk hold, without documents that are alone in their size.
+
+    Such a column fits in a task, so its documents move once and stand by size: if the next smaller and the next larger one are out
+    of reach, all are.
+    """
+    by_size, whole = Window.partitionBy("s").orderBy("n"), Window.partitionBy("s")
+    near = columns_.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
+    near = near.filter((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent)).drop("less", "more")
+    found = near.withColumn("lo", F.min("comp").over(whole)).withColumn("hi", F.max("comp").over(whole)).withColumn("c", F.count(F.lit(1)).over(whole))
+    return found.filter("lo < hi").drop("lo", "hi")
+
+
+def first_entries(indexed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The entries (s, i, doc_id, n, comp, c, held, last) of columns that hold documents of several components, written.
+
+    held: how many such columns the document has. What belongs to a document joins the entries that are left, not all postings.
     """
-    mixed = columns_.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
-    mixed = mixed.filter("lo < hi").select("s", F.ceil(F.col("c") / BUCKET_DOCS).cast("int").alias("buckets"))
-    left = stash(columns_.join(mixed, "s"), "mixed")
+    postings = indexed.join(nodes, "doc_id").select(F.posexplode("entries").alias("i", "s"), "doc_id", "n", "comp", "rare")
+    rare, common = postings.filter("i < rare").drop("rare"), postings.filter("i >= rare").drop("rare")
+    left = stash(mixed_rare(rare, percent).unionByName(mixed(common)), "mixed")
     held = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("held"))
-    out = stash(left.join(held if info is None else held.join(info, "doc_id"), "doc_id"), "entries")
+    # several texts of one id share their number of columns: more pairs, none lost
+    out = stash(left.join(held.join(indexed.select("doc_id", "n", "last"), "doc_id"), ["doc_id", "n"]), "entries")
     discard(left)
     return out
 
@@ -199,7 +223,8 @@ def may_link(percent: int):
     """Whether sets a and b can be similar enough, by their sizes and by the columns that are left to them.
 
     Similar sets of x and y entries share t (x + y) / (1 + t) or more. Of two, take the one whose indexed entries end first in the
-    order: each shared entry up to that place is among its ``held`` columns, and behind it there are ceil(t n) - 1.
+    order: each shared entry up to that place is among its ``held`` columns (counted before the first links, so never too few), and
+    behind it there are ceil(t n) - 1.
     """
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     most = lambda x: F.col(f"h{x}") + F.ceil(F.col(f"n{x}") * percent / 100) - 1
@@ -221,17 +246,23 @@ def leader_pairs(columns_: DataFrame, turn: int, percent: int) -> DataFrame:
     return rows.filter(may_link(percent)).select("a", "b").distinct()
 
 
-def product_pairs(columns_: DataFrame, percent: int) -> DataFrame:
+def product_pairs(columns_: DataFrame, percent: int, tiles: bool = True) -> DataFrame:
     """Pairs of different components that may be similar and meet in their first columns.
 
     For sizes x and y and the overlap o = ceil(t (x + y) / (1 + t)) that they need, these are the first x - o + 1 and y - o + 1
-    entries: similar sets meet there. A tile is a column with a bucket of its rows and one of its other rows.
+    entries: similar sets meet there. A tile is a column with a bucket of its rows and one of its other rows; columns of
+    few documents are tiles as they are.
     """
-    bucket, other = F.pmod(F.xxhash64("doc_id"), F.col("buckets")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))
-    a = columns_.select("s", F.col("i").alias("ia"), *_side("a"), bucket.alias("u"), other.alias("v"))
-    b = columns_.select("s", F.col("i").alias("ib"), *_side("b"), bucket.alias("v"), other.alias("u"))
+    deal = [[], []]
+    if tiles:
+        buckets = F.ceil(F.col("c") / BUCKET_DOCS).cast("int")
+        bucket, other = F.pmod(F.xxhash64("doc_id"), buckets).cast("int"), F.explode(F.sequence(F.lit(0), buckets - 1))
+        deal = [[bucket.alias("u"), other.alias("v")], [bucket.alias("v"), other.alias("u")]]
+    a = columns_.select("s", F.col("i").alias("ia"), *_side("a"), *deal[0])
+    b = columns_.select("s", F.col("i").alias("ib"), *_side("b"), *deal[1])
     early = (F.col("ia") <= F.col("na") - needed(percent)) & (F.col("ib") <= F.col("nb") - needed(percent))
-    return a.join(b, ["s", "u", "v"]).filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & early & may_link(percent)).select("a", "b").distinct()
+    met = a.join(b, ["s", "u", "v"] if tiles else "s")
+    return met.filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & early & may_link(percent)).select("a", "b").distinct()
 
 
 def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -263,18 +294,20 @@ def near_copies(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = NEAR
     else:
         links = links.select("a", F.col("doc_id").alias("b"))
     indexed = sets.filter("entries is not null and doc_id is not null")
-    # few columns go with the postings, which are many; what belongs to a document joins those that are left
-    postings = indexed.join(nodes, "doc_id").select(F.posexplode("entries").alias("i", "s"), "doc_id", "comp")
-    # of several texts of one id each entry gets all sizes: more pairs, none lost
-    entries = apart(postings, indexed.select("doc_id", "n", "last"))
+    entries = first_entries(indexed, nodes, percent)
     texts = rows.select(F.col("d").alias("doc_id"), F.col("t").alias("text")).filter("t is not null")
     for turn in range(LEADER_ROUNDS + 1):
-        pairs = stash(leader_pairs(entries, turn, percent) if turn < LEADER_ROUNDS else product_pairs(entries, percent), "pairs")
-        found = verified(counted(pairs, indexed, percent), texts, words, percent)
-        discard(pairs)
+        many = entries.filter(F.col("c") > FEW_DOCS) if turn == 0 else entries
+        pairs = leader_pairs(many, turn, percent) if turn < LEADER_ROUNDS else product_pairs(many, percent)
+        if turn == 0:
+            pairs = pairs.unionByName(product_pairs(entries.filter(F.col("c") <= FEW_DOCS), percent, tiles=False))
+        pairs = stash(pairs, "pairs")
+        left = counted(pairs, indexed, percent)
+        found = verified(left, texts, words, percent)
+        discard(pairs, left)
         nodes = merged(nodes, found if turn else found.unionByName(links))
         if turn < LEADER_ROUNDS:
-            before, entries = entries, apart(entries.drop("comp", "held", "buckets").join(nodes, "doc_id"))
+            before, entries = entries, stash(mixed(many.drop("comp", "c").join(nodes, "doc_id")), "entries")
             discard(before)
             if entries.isEmpty():
                 break
