@@ -209,8 +209,10 @@ def first_entries(indexed: DataFrame, nodes: DataFrame, percent: int) -> DataFra
 
     held: how many such columns the document has. What belongs to a document joins the entries that are left, not all postings.
     """
-    postings = indexed.join(nodes, "doc_id").select(F.posexplode("entries").alias("i", "s"), "doc_id", "n", "comp", "rare")
-    rare, common = postings.filter("i < rare").drop("rare"), postings.filter("i >= rare").drop("rare")
+    posted = [F.posexplode("entries").alias("i", "s"), "doc_id", "n"]
+    rare = indexed.join(nodes, "doc_id").select(*posted, "comp", "rare").filter("i < rare").drop("rare")
+    # few entries are of common n-grams: these move to their components, not the sets that hold them
+    common = indexed.select(*posted, "rare").filter("i >= rare").drop("rare").join(nodes, "doc_id").select(rare.columns)
     left = stash(mixed_rare(rare, percent).unionByName(mixed(common)), "mixed")
     held = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("held"))
     # several texts of one id share their number of columns: more pairs, none lost
