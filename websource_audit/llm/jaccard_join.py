@@ -185,13 +185,13 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return stash(pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long"), "links")
 
 
-def mixed(columns_: DataFrame) -> DataFrame:
-    """``columns_`` (s, comp, ...) without columns of one component, with the number ``c`` of a column's documents."""
-    found = columns_.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
+def mixed(columns_: DataFrame, of: str = "comp") -> DataFrame:
+    """``columns_`` (s, ``of``, ...) without columns of one value of ``of``, with the number ``c`` of a column's documents."""
+    found = columns_.groupBy("s").agg(F.min(of).alias("lo"), F.max(of).alias("hi"), F.count(F.lit(1)).alias("c"))
     return columns_.join(found.filter("lo < hi").select("s", "c"), "s")
 
 
-def mixed_rare(columns_: DataFrame, percent: int) -> DataFrame:
+def mixed_rare(columns_: DataFrame, percent: int, of: str) -> DataFrame:
     """The same for n-grams not known as common, which few sets of any chunk hold, without documents that are alone in their size.
 
     Such a column fits in a task, so its documents move once and stand by size: if the next smaller and the next larger one are out
@@ -200,23 +200,24 @@ def mixed_rare(columns_: DataFrame, percent: int) -> DataFrame:
     by_size, whole = Window.partitionBy("s").orderBy("n"), Window.partitionBy("s")
     near = columns_.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
     near = near.filter((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent)).drop("less", "more")
-    found = near.withColumn("lo", F.min("comp").over(whole)).withColumn("hi", F.max("comp").over(whole)).withColumn("c", F.count(F.lit(1)).over(whole))
+    found = near.withColumn("lo", F.min(of).over(whole)).withColumn("hi", F.max(of).over(whole)).withColumn("c", F.count(F.lit(1)).over(whole))
     return found.filter("lo < hi").drop("lo", "hi")
 
 
 def first_entries(indexed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The entries (s, i, doc_id, n, comp, c, held, last) of columns that hold documents of several components, written.
+    """The entries (s, i, doc_id, n, comp, c, held, last) of columns that hold several different sets, written.
 
-    held: how many such columns the document has. What belongs to a document joins the entries that are left, not all postings.
+    held: how many such columns the document has. Sets are told apart by a 64-bit hash, so that they need not move before their
+    entries do. What belongs to a document, its component among it, joins the entries that are left; of the documents of one
+    set only the first one goes on.
     """
-    posted = [F.posexplode("entries").alias("i", "s"), "doc_id", "n"]
-    rare = indexed.join(nodes, "doc_id").select(*posted, "comp", "rare").filter("i < rare").drop("rare")
-    # few entries are of common n-grams: these move to their components, not the sets that hold them
-    common = indexed.select(*posted, "rare").filter("i >= rare").drop("rare").join(nodes, "doc_id").select(rare.columns)
-    left = stash(mixed_rare(rare, percent).unionByName(mixed(common)), "mixed")
+    posted = indexed.withColumn("own", F.xxhash64("sig")).select(F.posexplode("entries").alias("i", "s"), "doc_id", "n", "own", "rare")
+    rare, common = posted.filter("i < rare").drop("rare"), posted.filter("i >= rare").drop("rare")
+    left = stash(mixed_rare(rare, percent, "own").unionByName(mixed(common, "own")).drop("own"), "mixed")
     held = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("held"))
+    first = indexed.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "last")).alias("first")).select("first.*").distinct()
     # several texts of one id share their number of columns: more pairs, none lost
-    out = stash(left.join(held.join(indexed.select("doc_id", "n", "last"), "doc_id"), ["doc_id", "n"]), "entries")
+    out = stash(left.join(held.join(first, "doc_id").join(nodes, "doc_id"), ["doc_id", "n"]), "entries")
     discard(left)
     return out
 
