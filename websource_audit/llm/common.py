@@ -18,13 +18,25 @@ from ..sources.shared import written as stash  # noqa: F401
 SHINGLE_WORDS = 5
 NEAR_PERCENT = 80
 #: Words whose ids a worker keeps for good, and as many that it keeps for a while. Several workers share an executor.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 75_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch of texts: a worker holds it several times over, as Arrow, as str and as arrays.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after its session's limits of Arrow batches are lowered to BATCH_ROWS and BATCH_BYTES. No row is left out."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text: A-Z lower-cased, cut at space and the bytes 9 to 13. bytes.lower() and bytes.split() do just that."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -34,7 +46,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
 #: Bytes hashed at once, and bytes from which a word is hashed by itself.
-WINDOW_BYTES = 1 << 19
+WINDOW_BYTES = 1 << 18
 LONG_WORD = 512
 _SPACES = re.compile(rb"[ \t-\r]")
 

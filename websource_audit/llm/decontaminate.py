@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NEAR_PERCENT, SHINGLE_WORDS, WordHashes, column, shingle_hashes, slices, words_of
+from .common import NEAR_PERCENT, SHINGLE_WORDS, WordHashes, column, shingle_hashes, slices, small_batches, words_of
 
 #: Benchmark items, and bytes of them, searched for in one pass over the documents. They bound what is sent to each task; larger benchmarks take more passes.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32_000_000
@@ -116,7 +116,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = NEAR_PERCE
     bench = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).filter("i is not null and t is not null").distinct()
     size = bench.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-size.n // BLOCK_ITEMS), -(-size.b // BLOCK_BYTES))
-    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).filter("t is not null")
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).filter("t is not null")
 
     def search(k: int) -> DataFrame:
         block = bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NEAR_PERCENT, SHINGLE_WORDS, WordHashes, column, discard, shingle_hashes, slices, stash
+from .common import NEAR_PERCENT, SHINGLE_WORDS, WordHashes, column, discard, shingle_hashes, slices, small_batches, stash
 from .components import components
 
 #: N-grams counted together in a task, and documents of such a count in which an n-gram is called common.
@@ -66,9 +66,14 @@ def common_entries(docs: DataFrame, words: int) -> np.ndarray:
         seen: set[bytes] = set()
 
         def counted() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            pick = counts >= COMMON_DOCS
-            return pa.RecordBatch.from_arrays([pa.array(values[pick].view(np.int64)), pa.array(counts[pick].astype(np.int64))], ["s", "c"])
+            values = np.concatenate(held)
+            held.clear()
+            values.sort()
+            # of a run of equal values, those with COMMON_DOCS - 1 equal ones behind them
+            many = values[: 1 - COMMON_DOCS][values[COMMON_DOCS - 1 :] == values[: 1 - COMMON_DOCS]]
+            del values
+            many, more = np.unique(many, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(many.view(np.int64)), pa.array(more.astype(np.int64) + COMMON_DOCS - 1)], ["s", "c"])
 
         size = 0
         for b in slices(batches):
@@ -81,7 +86,7 @@ def common_entries(docs: DataFrame, words: int) -> np.ndarray:
                 size += len(own)
                 if size >= CHUNK_ENTRIES:
                     yield counted()
-                    held, size = [], 0
+                    size = 0
                     seen.clear()
         if held:
             yield counted()
@@ -284,7 +289,7 @@ def near_copies(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = NEAR
     and no links. Rows of equal id count as linked, whatever their texts, and each text has its own links; a null id has no
     links and a null component.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     sets = shingle_sets(rows, words, percent)
     full = sets.filter("n > 0 and doc_id is not null").select("doc_id", "sig")
     same = stash(full.groupBy("sig").agg(F.min("doc_id").alias("comp")), "same")

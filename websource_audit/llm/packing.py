@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import token_ids, column, slices, stash
+from .common import token_ids, column, slices, small_batches, stash
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_i
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, PIECES)
 
 
 class Plan:

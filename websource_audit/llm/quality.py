@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import small_batches, stash
 
 #: Labelled documents that the model is fitted on at most: those with the smallest hash of their id.
 SAMPLE_LABELS = 50_000
@@ -190,7 +190,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
     texts are scored like any other; repeated rows repeat; empty tables give no rows. The struct keeps the
     columns of ``docs`` apart from ours, whatever their names.
     """
-    model = fit(docs, labels, sample, id_col, text_col)
+    model = fit(small_batches(docs), labels, sample, id_col, text_col)
     held = [c for c in docs.columns if keep_text or c != text_col]
     rows = docs.select(F.struct(*(docs[c] for c in held)).alias("doc"), host.alias("host"), path.alias("path"), evidence(docs[text_col], model).alias("log_odds"))
     if keep_text:
