@@ -58,6 +58,7 @@ class WordHashes:
     """
 
     def __init__(self) -> None:
+        token_ids.cache_clear()  # what this worker kept from tasks on tokens would stand beside the hashes
         values = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         values[65:91] = values[97:123]
         self.values, self.space = values, np.zeros(256, bool)
