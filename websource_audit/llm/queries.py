@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, license_scan, packing, quality, secret_scan, simhash, suffix_dedup, tiff, token_counts, warc
+from . import decontaminate, hard_negatives, jaccard_join, license_scan, packing, quality, secret_scan, simhash, suffix_dedup, tiff, token_counts, warc
 from .common import read_table, stash
 
 
@@ -90,12 +90,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_token_counts, op4_jaccard_join, op5_suffix_dedup, op6_tiff, op7_license_scan, op7_license_paragraphs, op8_quality, op9_best_fit, op10_decontamination, op13_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_token_counts, op4_jaccard_join, op5_suffix_dedup, op6_tiff, op7_license_scan, op7_license_paragraphs, op8_quality, op9_best_fit, op10_decontamination, op12_hard_negatives, op13_simhash)}
 
 _WORDS = r"list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '')"
 _SHINGLES = "case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end"
@@ -140,6 +144,16 @@ coalesce(list_max(list_transform(ms, lambda x: x.c)), 0.0)::double as score from
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, id)::int as rank, id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, id) <= 10
+""",
     "op2_warc": """
 with p as (select page_id, coalesce(html, '') as h, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') as url from pages),
 r as (select *, case when strlen(h) >= 100 then min(page_id) over (partition by h) else page_id end as head from p)
