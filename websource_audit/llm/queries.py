@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, jaccard_join, license_scan, packing, quality, secret_scan, simhash, suffix_dedup, tiff, token_counts, warc
+from . import collocations, decontaminate, hard_negatives, jaccard_join, license_scan, packing, quality, secret_scan, simhash, suffix_dedup, tiff, token_counts, warc
 from .common import read_table, stash
 
 
@@ -90,6 +90,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
 
@@ -99,7 +103,7 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_token_counts, op4_jaccard_join, op5_suffix_dedup, op6_tiff, op7_license_scan, op7_license_paragraphs, op8_quality, op9_best_fit, op10_decontamination, op12_hard_negatives, op13_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_token_counts, op4_jaccard_join, op5_suffix_dedup, op6_tiff, op7_license_scan, op7_license_paragraphs, op8_quality, op9_best_fit, op10_decontamination, op11_collocations, op12_hard_negatives, op13_simhash)}
 
 _WORDS = r"list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '')"
 _SHINGLES = "case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end"
@@ -144,6 +148,22 @@ coalesce(list_max(list_transform(ms, lambda x: x.c)), 0.0)::double as score from
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": r"""
+with t as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from t),
+g as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3), (4)) ks(k) where len(w) >= k),
+f as materialized (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f from g group by all),
+n as (select lang, sum(f)::bigint as n from f where k = 1 group by 1),
+c as materialized (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k >= 2 and f >= 30),
+u as (select *, unnest(range(1, k)) as j from c),
+x as (select u.lang, u.k, u.phrase, u.w, u.a, j, p.f as l, q.f as r, ((2000000::hugeint * a) // (p.f + q.f))::bigint as score
+  from u join f p on p.lang = u.lang and p.phrase = array_to_string(u.w[1:j], ' ') join f q on q.lang = u.lang and q.phrase = array_to_string(u.w[j + 1:], ' ')),
+b as (select * from x qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+i as (select lang, a, w, m, unnest(range(1, len(w) - m + 2)) as s from (select *, unnest(range(2, k)) as m from c)),
+d as (select lang, array_to_string(w[s:s + m - 1], ' ') as phrase, max(a) as longer from i group by all),
+o as (select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank from b left join d on d.lang = b.lang and d.phrase = b.phrase where longer is null or 100 * longer < 80 * a)
+select o.lang, rank, phrase, a, l, r, n, score from o join n using (lang) where rank <= 2000
+""",
     "op12_hard_negatives": """
 with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
   from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
