@@ -63,7 +63,7 @@ def made(seed, count=300):
 SMALL = C.Limits(word_ids=7, id_bytes=8, hot_share=20, feed=50, burst=6, entries=40, run=5, part_words=900, merge=12)
 
 
-@pytest.mark.parametrize("limits", [C.Limits(), SMALL, SMALL._replace(word_ids=1 << 19, id_bytes=99), C.Limits(hot_share=3, word_ids=0)])
+@pytest.mark.parametrize("limits", [C.Limits(), SMALL, SMALL._replace(word_ids=1 << 19, id_bytes=99), C.Limits(hot_share=3, word_ids=1)])
 def test_equals_brute_force_under_any_limits(spark, limits):
     """Small limits lead through bursts, spills, merges in steps, sums over partitions, and phrases that travel as text."""
     rows = made(1)

@@ -165,6 +165,8 @@ class HatTrie:
         third = np.where(second > 0, third, 0)
         fourth = np.where(third > 0, fourth, 0)
         some = np.flatnonzero((first > 0) & (second > 0))
+        if not len(some):
+            return
         some = some[np.argsort(first[some], kind="stable")]
         first, rest = first[some], (second << 2 * ID_BITS | third << ID_BITS | fourth)[some]
         edge = np.flatnonzero(np.diff(first, prepend=-1))
