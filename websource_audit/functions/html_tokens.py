@@ -44,11 +44,10 @@ class _Tokens(HTMLParser):
         attrs = {k: v or "" for k, v in pairs}  # of repeated attributes the last counts
         line = self.getpos()[0]
         for k, v in attrs.items():
-            context = opening_tag(tag, attrs)
             if k in _EVENTS:
-                self.handlers.append((line, line + v.count("\n"), "JS", k, "INLINE", f'{k}="{v}"', v, context))
+                self.handlers.append((line, line + v.count("\n"), "JS", k, "INLINE", f'{k}="{v}"', v, opening_tag(tag, attrs)))
             if k in ("href", "src") and v.lower().strip().startswith("javascript:"):
-                self.handlers.append((line, line + v.count("\n"), "JS", "jsuri", "INLINE", v, v, context))
+                self.handlers.append((line, line + v.count("\n"), "JS", "jsuri", "INLINE", v, v, opening_tag(tag, attrs)))
         if "style" in attrs:
             v = attrs["style"]
             self.style_attrs.append((line, line + v.count("\n"), "CSS", "ASP.NET Style" if "<%" in v else "inlinestyle", "INLINE", f'style="{v}"', v, ""))

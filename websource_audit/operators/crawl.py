@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,34 +13,56 @@ from ..functions import patterns as P
 from ..functions import paths
 from ..sources.shared import written
 
-# a value in double or single quotes, or without: then up to white space or the end of the tag
-_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
-A_HREF = rf"""(?is)<a\b[^>]*?\shref\s*=\s*{_VALUE}"""
-SCRIPT_SRC = rf"""(?is)<script\b[^>]*?\ssrc\s*=\s*{_VALUE}"""
-LINK_TAG = r"(?is)<link\b[^>]*>"
-HREF = rf"""(?is)\shref\s*=\s*{_VALUE}"""
-REL = rf"""(?is)\srel\s*=\s*{_VALUE}"""
+# the inside of a tag by parts: what is quoted, where ">" is text, and what is not; possessive, so that long tags need no stack
+_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+#: Tags that link to something, and what has to be passed over whole to find them: comments, and the text of scripts and styles.
+LINKING = rf"(?is)<!--.*?-->|<(script|style)(?=[\s/>]){_INSIDE}>.*?(?:</\1\s*>|\z)|<(?:a|link)(?=[\s/>]){_INSIDE}>"
+OPENING = rf"(?is)^<([a-z]+)({_INSIDE})>"
+ATTRIBUTE = r"""([^\s/>"'=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']?[^\s>]*+))?"""
+#: Character references resolved by plain replacement; texts with others go to the helper.
+COMMON = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*(?:;|(?![A-Za-z0-9=])))")
+
+
+@F.pandas_udf("string")
+def _unescape(texts: pd.Series) -> pd.Series:
+    """Character references of attribute values; a name without semicolon is none before a letter, digit or equals sign."""
+    return texts.map(lambda t: None if t is None else _REFERENCE.sub(lambda m: html.unescape(m[0]), t))
 
 
 def unescaped(text: Column) -> Column:
-    """The usual character references in attribute values."""
-    for name, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """All character references in attribute values. Only texts with an uncommon one reach the helper."""
+    plain, rest = text, text
+    for name, char in COMMON:
+        plain, rest = F.replace(plain, F.lit(name), F.lit(char)), F.replace(rest, F.lit(name), F.lit(""))
+    odd = rest.rlike("&[#A-Za-z]")
+    return F.when(odd, _unescape(F.when(odd, text))).otherwise(plain)
+
+
+def linking_tags(pages: DataFrame) -> DataFrame:
+    """(url, name, inside) of the opening tags of anchors, links and scripts in pages (url, content)."""
+    tags = pages.select("url", F.explode(F.regexp_extract_all("content", F.lit(LINKING), F.lit(0))).alias("tag")).filter(~F.col("tag").startswith("<!"))
+    return tags.select("url", F.lower(F.regexp_extract("tag", OPENING, 1)).alias("name"), F.regexp_extract("tag", OPENING, 2).alias("inside"))
 
 
-def _values(content: Column, pattern: str) -> Column:
-    double, single, bare = (F.regexp_extract_all(content, F.lit(pattern), F.lit(k)) for k in (1, 2, 3))
-    return F.transform(F.arrays_zip(double.alias("a"), single.alias("b"), bare.alias("c")), lambda v: unescaped(F.concat(v["a"], v["b"], v["c"])))  # one of the three is not empty
+def attribute(inside: Column, name: str) -> Column:
+    """The raw value of an attribute of an opening tag, of repeated ones the last; empty without a value, null without the attribute."""
+    names, values = (F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(k)) for k in (1, 2))
+    own = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x: F.lower(x["k"]) == name)
+    value = F.get(own, F.size(own) - 1)["v"]
+    quoted = value.startswith('"') | value.startswith("'")
+    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
-def _value(tag: Column, pattern: str) -> Column:
-    return unescaped(F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3))))
+def _values(pages: DataFrame, tag: str, name: str, out: str) -> DataFrame:
+    """(url, ``out``) of all values that an attribute has in pages, repeats included."""
+    rows = linking_tags(pages).filter(F.col("name") == tag).select("url", attribute(F.col("inside"), name).alias(out)).filter(F.col(out).isNotNull())
+    return rows.withColumn(out, unescaped(F.col(out)))
 
 
 def raw_links(pages: DataFrame) -> DataFrame:
     """(url, href) of all anchors in pages (url, content), repeats included."""
-    return pages.select("url", F.explode(_values(F.col("content"), A_HREF)).alias("href"))
+    return _values(pages, "a", "href", "href")
 
 
 def _resolved(rows: DataFrame, ref: str) -> DataFrame:
@@ -54,15 +80,14 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def script_sources(pages: DataFrame) -> DataFrame:
     """(url, target) of scripts with a source, repeats included."""
-    rows = pages.select("url", F.explode(_values(F.col("content"), SCRIPT_SRC)).alias("src"))
-    return _resolved(rows, "src").select("url", "target")
+    return _resolved(_values(pages, "script", "src", "src"), "src").select("url", "target")
 
 
 def stylesheet_links(pages: DataFrame) -> DataFrame:
     """(url, target) of stylesheet links, repeats included."""
-    tags = pages.select("url", F.explode(F.regexp_extract_all("content", F.lit(LINK_TAG), F.lit(0))).alias("tag"))
-    sheets = tags.filter(F.array_contains(F.split(F.lower(_value(F.col("tag"), REL)), r"\s+"), "stylesheet"))
-    return _resolved(sheets.select("url", _value(F.col("tag"), HREF).alias("href")).filter("href <> ''"), "href").select("url", "target")
+    tags = linking_tags(pages).filter("name = 'link'").select("url", attribute(F.col("inside"), "href").alias("href"), F.lower(attribute(F.col("inside"), "rel")).alias("rel"))
+    sheets = tags.filter((F.col("href") != "") & F.array_contains(F.split("rel", r"\s+"), "stylesheet"))
+    return _resolved(sheets.select("url", unescaped(F.col("href")).alias("href")), "href").select("url", "target")
 
 
 def discover_assets(pages: DataFrame) -> DataFrame:

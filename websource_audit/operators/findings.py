@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..functions import ajax, paths, scoring
 from ..functions import patterns as P
@@ -18,16 +19,36 @@ FINDINGS = "file_path string, rel_path string, finding_no long, start_line long,
 def extract_findings(files: DataFrame) -> DataFrame:
     """One row per finding of each file (columns path, rel_path, content), duplicates within a file dropped.
 
-    finding_no is the order within the file. Files are tokenized one at a time in small batches; a null content has none.
+    finding_no is the order within the file. Files are read and tokenized one at a time, and a file's rows go out before the next
+    one is read. A null content has none.
     """
+    names = [x.split(" ")[0] for x in FINDINGS.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.strip().split(" ")[0] for x in FINDINGS.split(",")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(path, rel, k, *r) for path, rel, content in zip(b["path"], b["rel_path"], b["content"], strict=True) if content is not None for k, r in enumerate(document_findings(path, content))]
-            yield pd.DataFrame(rows, columns=names)
+            for k in range(b.num_rows):
+                path, rel, content = (c[k].as_py() for c in b.columns)
+                if content is not None and (found := document_findings(path, content)):
+                    columns = list(zip(*found, strict=True))
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([path] * n, [rel] * n, range(n), *columns)], names)
 
-    return files.select("path", "rel_path", "content").mapInPandas(run, FINDINGS)
+    return files.select("path", "rel_path", "content").mapInArrow(run, FINDINGS)
+
+
+class FindingsOf:
+    """The table function behind ``register_findings``: the findings of one text."""
+
+    def eval(self, path: str, content: str | None) -> Iterator[tuple]:
+        if content is not None:
+            for k, row in enumerate(document_findings(path or "", content)):
+                yield (k, *row)
+
+
+def register_findings(spark: SparkSession, name: str = "html_findings") -> None:
+    """Make extract_findings a table function of SQL: ``SELECT ... FROM files, LATERAL html_findings(path, content)``."""
+    schema = FINDINGS.split("rel_path string, ", 1)[1]
+    spark.udtf.register(name, udtf(FindingsOf, returnType=schema))
 
 
 def dedup_findings(findings: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 METRICS_SQL, FILES_SQL = O.metrics_sql(), f"with {corpus_sql()}"
-BLOCKS_SQL = f"with {corpus_sql()}, {O.blocks_sql()}"
+BLOCKS_SQL, HTML_SQL = f"with {corpus_sql()}, {O.blocks_sql()}", f"with {corpus_sql()}, {O.html_sql()}"
 
 # --- files and inventory -------------------------------------------------------------------------------------------
 
@@ -234,26 +234,69 @@ def findings_by_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.findings_by_module(_blocks(spark, sf_dir))
 
 
-@query()
+_FOUND = ("file_path", "rel_path", "finding_no", "start_line", "end_line", "category", "code_type", "source_type", "snippet", "full_code", "html_context")
+
+
+@query(HTML_SQL + f"select {', '.join(_FOUND)} from f")
 def html_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.extract_findings(corpus(spark, sf_dir))
 
 
-@query()
+@query(HTML_SQL + f"select {', '.join(_FOUND)} from f")
 def html_findings_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.dedup_findings(D.extract_findings(corpus(spark, sf_dir)))
 
 
-@query()
+@query(HTML_SQL + f"select {', '.join(_SCORES)} from f")
+def html_finding_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html(spark, sf_dir).select(*_SCORES)
+
+
+@query(HTML_SQL + f"select {', '.join(_AJAX)} from f")
+def html_ajax_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html(spark, sf_dir).select(*_AJAX)
+
+
+_STYLED = "(contains(lower(code_type), 'style') or contains(lower(code_type), 'css'))"
+_OUTSIDE = "source_type in ('LOCAL', 'REMOTE')"
+_KIND_SQL = {
+    "inline_js": "category = 'JS' and source_type = 'INLINE' and code_type <> 'scriptblock'",
+    "internal_js": "category = 'JS' and source_type = 'INLINE' and code_type = 'scriptblock'",
+    "external_js": "(category = 'JS' and source_type = 'LOCAL' or category in ('Internal', 'External') and contains(lower(code_type), 'script'))",
+    "inline_css": "category = 'CSS' and source_type = 'INLINE' and not contains(code_type, 'styleblock')",
+    "internal_css": "category = 'CSS' and source_type = 'INLINE' and contains(code_type, 'styleblock')",
+    "external_css": f"(category = 'CSS' and source_type = 'LOCAL' or category in ('Internal', 'External') and {_STYLED})",
+}
+_SUMMARY_SQL = _KIND_SQL | {
+    "external_js": f"{_OUTSIDE} and (contains(lower(code_type), 'script') or category in ('JS', 'Internal', 'External')) and not {_STYLED}",
+    "external_css": f"{_OUTSIDE} and ({_STYLED} or category = 'CSS')",
+}
+
+
+@query(HTML_SQL + f"select *, {' + '.join(_SUMMARY_SQL)} as total from (select {', '.join(f'count(*) filter ({t}) as {n}' for n, t in _SUMMARY_SQL.items())} from f)")
 def html_findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.findings_summary(_html(spark, sf_dir))
 
 
+_YES = "case when {0} then 'Yes' else 'No' end"
+_REMOTE = _YES.format("source_type = 'REMOTE'")
+_SLICE_SQL = {
+    "inline_js": "code_type as \"Context\", start_line as \"Line\", snippet as \"Code_Snippet\", case when html_context <> '' then html_context else full_code end as \"Full_Code\"",
+    "internal_js": f'bundled_file as "Extracted_File", start_line as "Line", end_line - start_line as "Length", {_YES.format("ajax_detected")} as "Contains_AJAX", snippet as "Code_Snippet", full_code as "Full_Code"',
+    "external_js": f"code_type as \"Reference_Type\", case when category = 'JS' then 'Self' else snippet end as \"Source_URL\", case when category = 'JS' then {_YES.format('ajax_detected')} else 'N/A (Reference)' end as \"Contains_AJAX\", start_line as \"Line\", {_REMOTE} as \"Is_Remote\"",
+    "inline_css": 'code_type as "Attribute", start_line as "Line", snippet as "Code_Snippet"',
+    "internal_css": 'bundled_file as "Extracted_File", start_line as "Line", snippet as "Code_Snippet", full_code as "Full_Code"',
+    "external_css": f"code_type as \"Reference_Type\", case when category = 'CSS' then 'Self' else snippet end as \"Source_URL\", start_line as \"Line\", {_REMOTE} as \"Is_Remote\"",
+}
+
+
 def _slice(f: Callable[[DataFrame], DataFrame]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f(_html(spark, sf_dir))
 
-    QUERIES[f"slice_{f.__name__}"] = run
+    name = f"slice_{f.__name__}"
+    QUERIES[name] = run
+    ORACLE_SQL[name] = HTML_SQL + f"""select file_path as "File_Path", regexp_extract(rel_path, '[^/]*$') as "File_Name", {_SLICE_SQL[f.__name__]} from f where {_KIND_SQL[f.__name__]}"""
 
 
 for _f in (T.inline_js, T.internal_js, T.external_js, T.inline_css, T.internal_css, T.external_css):
@@ -261,16 +304,21 @@ for _f in (T.inline_js, T.internal_js, T.external_js, T.inline_css, T.internal_c
 
 # --- crawl and correlation -----------------------------------------------------------------------------------------
 
-_ANY_VALUE = r"""(?:"([^"]*)"|''([^'']*)''|([^\s"''>][^\s>]*))"""
+#: The character references of the corpus.
+_REFERENCES = (("&#x2F;", "/"), ("&#47;", "/"), ("&eacute;", "é"), ("&amp;", "&"))
+_TAGS_SQL = FILES_SQL + f", {O.tags_sql('(select page_id as file_path, url as rel_path, content from files)')}"
 
 
 def _values_sql(tag: str, attribute: str) -> str:
-    """All values of an attribute, quoted either way or not at all."""
-    p = rf"(?is)<{tag}\b[^>]*?\s{attribute}\s*=\s*{_ANY_VALUE}"
-    return f"list_transform(range(1, len(regexp_extract_all(content, '{p}')) + 1), lambda i: concat(" + ", ".join(f"regexp_extract_all(content, '{p}', {k})[i]" for k in (1, 2, 3)) + "))"
+    """(url, value) of an attribute in all tags of that name, the last of repeated ones."""
+    value = f"list_filter(ats, lambda x: x.k = '{attribute}')[-1].v"
+    test = f"name = '{tag}' and value is not null" + (r" and list_contains(regexp_split_to_array(lower(list_filter(ats, lambda x: x.k = 'rel')[-1].v), '\s+'), 'stylesheet')" if tag == "link" else "")
+    for name, char in _REFERENCES:
+        value = f"replace({value}, '{name}', '{char}')"
+    return f"(select rel_path as url, {value} as value from tk where {test})"
 
 
-_LINKS_SQL = FILES_SQL + rf""", hrefs as (select distinct url, replace(unnest({_values_sql('a', 'href')}), '&amp;', '&') as href from files),
+_LINKS_SQL = _TAGS_SQL + rf""", hrefs as (select distinct url, value as href from {_values_sql('a', 'href')}),
 parts as (select *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) as origin, regexp_extract(url, '^([^?#]*)', 1) as page from hrefs),
 joined as (select url, origin, href, split_part(case when regexp_matches(href, '^[a-z]+:') then href when starts_with(href, '/') then origin || href
   when starts_with(href, '../') then regexp_replace(case when regexp_matches(page, '^[a-z]+://[^/]+/[^/]+/') then regexp_replace(page, '/[^/]*/[^/]*$', '/') else origin || '/' end, '/*$', '/') || href[4:] else regexp_replace(page, '[^/]*$', '') || href end, '#', 1) as dst from parts),
@@ -283,18 +331,18 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.page_links(_pages(spark, sf_dir))
 
 
-@query(FILES_SQL + rf""", s as (select url, unnest({_values_sql('script', 'src')}) as src from files),
+@query(_TAGS_SQL + rf""", s as (select url, value as src from {_values_sql('script', 'src')}),
 t as (select url, case when starts_with(src, '/') then regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || src else src end as target from s)
 select url, 'html' as type from files union select target, 'js' from t where regexp_extract(target, '//([^/?#]*)', 1) = regexp_extract(url, '//([^/?#]*)', 1)""")
 def discover_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.discover_assets(_pages(spark, sf_dir))
 
 
-_EXTERNAL_SQL = rf"""(select source_page, url, type from (select url as source_page, unnest({_values_sql('script', 'src')}) as url, 'Script' as type from files
-union all select url, unnest({_values_sql('link', 'href')}), 'Stylesheet' from files where regexp_matches(content, '(?is)<link\b[^>]*stylesheet')) where starts_with(url, 'https:'))"""
+_EXTERNAL_SQL = f"""(select source_page, url, type from (select url as source_page, value as url, 'Script' as type from {_values_sql('script', 'src')}
+union all select url, value, 'Stylesheet' from {_values_sql('link', 'href')}) where starts_with(url, 'https:'))"""
 
 
-@query(FILES_SQL + f"select * from {_EXTERNAL_SQL}")
+@query(_TAGS_SQL + f"select * from {_EXTERNAL_SQL}")
 def external_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.external_assets(_pages(spark, sf_dir))
 
@@ -310,14 +358,14 @@ def crawl_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.crawl_reach(W.page_links(pages), pages.select("url"))
 
 
-@query(FILES_SQL + f""", r as (select source_page as page, url as resource, type from {_EXTERNAL_SQL}), b as (select page, resource, type, 'Static' as m from r where type = 'Script' union all select page, resource, type, 'Dynamic' from r)
+@query(_TAGS_SQL + f""", r as (select source_page as page, url as resource, type from {_EXTERNAL_SQL}), b as (select page, resource, type, 'Static' as m from r where type = 'Script' union all select page, resource, type, 'Dynamic' from r)
 select page, resource, type, string_agg(distinct m, ', ' order by m) as detection_method, case when type = 'Stylesheet' then 'style-src' else 'script-src' end as csp_action from b group by 1, 2, 3""")
 def resource_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = W.external_assets(_pages(spark, sf_dir)).select(F.col("source_page").alias("page"), F.col("url").alias("resource"), "type")
     return W.resource_origins(rows.filter("type = 'Script'"), rows)
 
 
-@query()
+@query(f"with {corpus_sql()}, {O.html_sql('(select url as path, url as rel_path, content from files)')} select file_path, finding_no, snippet, ajax_pattern, endpoint_url, ajax_count from f where ajax_detected")
 def dynamic_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.dynamic_findings(_pages(spark, sf_dir)).select("file_path", "finding_no", "snippet", "ajax_pattern", "endpoint_url", "ajax_count")
 
@@ -341,7 +389,7 @@ def _dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NORM = r"trim(regexp_replace(snippet, '\s+', ' ', 'g'))"
-_CORR_SQL = BLOCKS_SQL + rf""", sf as (select f.*, {_NORM} as norm from f join files on path = file_path where snippet <> '' and {O.in_list('extension', P.INCLUDE_EXTENSIONS)} and not list_has_any(string_split(directory, '/'), [{', '.join(map(O.q, P.STATIC_EXCLUDED_FOLDERS))}])),
+_CORR_SQL = BLOCKS_SQL + rf""", {O.tags_sql('(select page_id as file_path, url as rel_path, content from files)')}, sf as (select f.*, {_NORM} as norm from f join files on path = file_path where snippet <> '' and {O.in_list('extension', P.INCLUDE_EXTENSIONS)} and not list_has_any(string_split(directory, '/'), [{', '.join(map(O.q, P.STATIC_EXCLUDED_FOLDERS))}])),
 ix as (select norm, string_agg(file_path, ', ' order by file_path, finding_no) as locations, count(*) as location_count from sf group by 1),
 dy as (select files.url, snippet, ajax_pattern, endpoint_url, {_NORM} as norm from f join files on path = file_path where ajax_detected),
 co as (select case when ix.norm is null then 'NEW_WEB_ONLY' else 'VERIFIED' end as status, url as dynamic_url, ajax_pattern as ajax_type, endpoint_url, snippet, coalesce(locations, 'N/A') as locations, coalesce(location_count, 0) as location_count from dy left join ix using (norm)
@@ -446,12 +494,18 @@ def refactor_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.refactor_plan(_blocks(spark, sf_dir))
 
 
-@query()
+_MARK = "md5(full_code)[1:8]"
+_ELEMENT = rf"""coalesce(nullif(regexp_extract(html_context, '\sid="([^"]*)"', 1), ''), 'ref-' || {_MARK})"""
+_HANDLERS_SQL = f"""(select file_path, finding_no, start_line, code_type, 'listener' as action, {_ELEMENT} as element_id, '/js/inline/' || regexp_extract(rel_path, '[^/]*$') || '_' || code_type || '_' || {_MARK} || '.js' as new_file,
+'document.addEventListener(''DOMContentLoaded'', function () {{ var el = document.getElementById(''' || {_ELEMENT} || '''); if (el) {{ el.addEventListener(''' || code_type[3:] || ''', function (event) {{ ' || full_code || ' }}); }} }});' as code from f where category = 'JS' and {O.in_list("code_type", P.REFACTORED_EVENTS)})"""
+
+
+@query(HTML_SQL + f"""select *, '<script src="' || new_file || '"></script>' as replacement from {_HANDLERS_SQL}""")
 def refactor_plan_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.refactor_plan(_html(spark, sf_dir)).filter("action = 'listener'")
 
 
-@query()
+@query(HTML_SQL + f"""select file_path, string_agg(new_file, ', ' order by finding_no) as scripts, count(*) as n_scripts from {_HANDLERS_SQL} group by 1""")
 def bottom_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bottom_scripts(R.refactor_plan(_html(spark, sf_dir)))
 

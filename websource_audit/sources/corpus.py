@@ -30,6 +30,7 @@ SNIPPETS: tuple[tuple[str, str, str], ...] = (
     ("", "forms.jsp", "<script>new FormData(f); new Ajax.Request('/p'); backgroundFetch; JSON.parse(s); @Ajax.BeginForm()\nhubConnection.start(); @ViewBag.Title</script>"),
     ("", "README", "no code\n"),
     ("", "bare.html", "<a href=/bare/page.html>b</a> <a class=x href='/single/page.html'>s</a> <a href=up.html#top>r</a>\n<script src=/js/bare.js></script>\n<script async src='https://cdn.example.net/s.js'></script>\n<link rel=stylesheet href=https://cdn.example.net/bare.css>"),
+    ("", "quoted.html", "<a title=\"a > b\" href=\"/quoted/x\">q</a> <a title='c'href=\"/quoted/y\">r</a> <!-- <a href=\"/comment/z\">n</a> <b onclick=\"no()\"> -->\n<script>var s = '<a href=\"/script/w\">t</a>';</script>\n<a href=\"/ref/a&#x2F;b&#47;c&eacute;?d=1&amp;e\">e</a>\n<button title='1 > 0' onclick=\"if (a > b) { $.get('/gt') }\" disabled>g</button>"),
 )
 K = len(SNIPPETS)
 
