@@ -22,8 +22,8 @@ def brute(rows, length=S.LENGTH):
     return out
 
 
-def got(df):
-    return {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in S.without_repeats(df).collect()}
+def got(df, **limits):
+    return {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in S.without_repeats(df, **limits).collect()}
 
 
 def make(rnd, docs):
@@ -45,14 +45,24 @@ def make(rnd, docs):
 
 
 @pytest.mark.parametrize("seed,pairwise,segment", [(1, S.PAIRWISE, S.SEGMENT), (2, 0, 37), (3, 1, 150)])
-def test_equals_brute_force(spark, documents, seed, pairwise, segment, monkeypatch):
-    monkeypatch.setattr(S, "PAIRWISE", pairwise)
-    monkeypatch.setattr(S, "SEGMENT", segment)
+def test_equals_brute_force(spark, documents, seed, pairwise, segment):
     rows = make(random.Random(seed), 60)
-    assert got(documents(rows).repartition(3)) == brute(rows)
+    assert got(documents(rows).repartition(3), pairwise=pairwise, segment=segment) == brute(rows)
+
+
+def test_text_beyond_a_segment(spark, documents):
+    """Long texts with a repeat across the place where segments meet."""
+    rnd = random.Random(8)
+    own = lambda n: "".join(rnd.choices("abcdefghijklmnop ", k=n))
+    shared = own(400)
+    rows = [(1, own(S.SEGMENT - 150) + shared + own(300)), (2, own(40) + shared + own(20)), (3, own(S.SEGMENT + 5000))]
+    out = {r.doc_id: [(s["from"], s["to"]) for s in r.spans] for r in S.without_repeats(documents(rows)).collect()}
+    assert out[1] == [] and out[3] == [] and len(out[2]) == 1
+    a, b = out[2][0]
+    assert a <= 40 and b >= 440 and b - a < 420
 
 
-def test_window_by_window_equals_pairs(monkeypatch):
+def test_window_by_window_equals_pairs():
     rnd = random.Random(6)
     gram = bytes(rnd.choice(b"ab") for _ in range(S.GRAM))
     group = []
@@ -60,13 +70,9 @@ def test_window_by_window_equals_pairs(monkeypatch):
         left = bytes(rnd.choice(b"ab") for _ in range(2)) + b"l" * 40
         right = gram + b"r" * 50 + bytes(rnd.choice(b"ab") for _ in range(20))
         group.append((right, (left, doc, 0, len(left) + len(right) - S.LENGTH + 1)))
-    few = {(d, k) for d, a, b in S.repeated_windows(group[:12]) for k in range(a, b + 1)}
-    monkeypatch.setattr(S, "PAIRWISE", 0)
-    assert {(d, k) for d, a, b in S.repeated_windows(group[:12]) for k in range(a, b + 1)} == few
-    monkeypatch.setattr(S, "PAIRWISE", 100)
-    all_pairs = {(d, k) for d, a, b in S.repeated_windows(group) for k in range(a, b + 1)}
-    monkeypatch.setattr(S, "PAIRWISE", 12)
-    assert {(d, k) for d, a, b in S.repeated_windows(group) for k in range(a, b + 1)} == all_pairs
+    windows = lambda group, pairwise: {(d, k) for d, a, b in S.repeated_windows(group, pairwise) for k in range(a, b + 1)}
+    assert windows(group[:12], 0) == windows(group[:12], 12)
+    assert windows(group, 12) == windows(group, 100)
 
 
 def test_loser_tree_merges_front_coded_runs():

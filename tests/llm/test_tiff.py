@@ -79,3 +79,24 @@ def test_text_contract(spark, documents):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert rows[5][1:] == rows[6][1:]
     assert tiff.page_features(pages.limit(0)).count() == 0
+
+
+def test_a_claim_beyond_what_strips_hold_is_refused():
+    data = bytearray(tiff.encode_tiff([np.zeros((4, 64), np.uint8)], tiff.DEFLATE, 2))
+    (ifd,) = tiff.directories(bytes(data))
+    with pytest.raises(tiff.TiffError, match="can hold"):
+        tiff.page_samples(bytes(data), ifd | {tiff.HEIGHT: (1 << 30,), tiff.ROWS_PER_STRIP: (1 << 30,)})
+
+
+def test_samples_beyond_256_million():
+    rows = (1 << 22) + 1
+    data = tiff.encode_tiff([np.zeros((rows, 64), np.uint8)], tiff.DEFLATE, 1)
+    (ifd,) = tiff.directories(data)
+    assert tiff.page_samples(data, ifd).shape == (rows, 64, 1)
+
+
+def test_errors_reach_the_features(spark):
+    pages = spark.createDataFrame([(None, 3, 9, "d", None, "bad"), (2, 3, 9, "d", b"abc", None)], "id long, n_bytes long, media_bytes long, media_sha256 string, samples binary, error string").selectExpr("*", "1 as feature")
+    out = {r.id: r for r in tiff.page_features(pages).collect()}
+    assert out[None].error == "bad" and out[None].payload_sha256 is None and out[2].error is None and out[2].payload_bytes == 3
+    assert tiff.page_features(pages.limit(0)).count() == 0

@@ -67,3 +67,24 @@ def test_damaged_and_plain_files(spark, tmp_path):
     (plain / "late.warc").write_bytes(b"x" + data)
     rows = A.read_archives(spark, str(plain)).collect()
     assert sorted(r.page_id for r in rows) == [0, 1, 2, 3]
+
+
+def test_heads_inside_payloads_are_not_hashed():
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n"
+    inner = b"".join(head % 5 + b"x" * 40 for _ in range(50))
+    data = head % len(inner) + inner + b"\r\n\r\n" + head % 3 + b"abc\r\n\r\n"
+    rows = list(A.candidates(data))
+    assert len(rows) == 52
+    kept = [r for r, on in zip(rows, A.reachable(np.array([r[0] for r in rows]), np.array([r[1] for r in rows])), strict=True) if on]
+    assert [r[-1] for r in kept] == [hashlib.sha256(inner).hexdigest(), hashlib.sha256(b"abc").hexdigest()]
+    assert sum(r[-1] is not None for r in rows) == 2
+
+
+def test_large_payloads_have_files_of_their_own(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://s/{k}", "p" * n + str(k)) for k, n in enumerate([10, 5000, 20, 6000, 30, 5000])], "page_id long, url string, html string")
+    path = A.write_archives(pages.coalesce(1), str(tmp_path / "w"), large_bytes=1000)
+    rows = A.read_archives(spark, path).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.archive, []).append(r.page_id)
+    assert sorted(map(sorted, by.values())) == [[0, 2, 4], [1], [3], [5]]

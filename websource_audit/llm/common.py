@@ -30,10 +30,15 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, after its session's limits of Arrow batches are lowered to BATCH_ROWS and BATCH_BYTES. No row is left out."""
+    """``docs``, after its session's limits of Arrow batches are lowered to BATCH_ROWS and BATCH_BYTES; lower ones stay. No row is left out.
+
+    Spark takes these limits from the session when a plan runs, so they hold for the session from then on.
+    """
     conf = docs.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            conf.set(f"spark.sql.execution.arrow.{key}", most)
     return docs
 
 

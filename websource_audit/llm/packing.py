@@ -66,44 +66,61 @@ class Plan:
 
 
 def reduce_by_dominance(counts: dict[int, int], plan: Plan) -> dict[int, int]:
-    """Fix the sets that dominate every other set holding their largest item; return the counts left.
+    """Fix the sets that dominate every other set holding their item a; return the counts left.
 
-    - {a} where not even the smallest other item fits beside a;
+    b is the largest other item that fits beside a. Every length is tried, the largest first, until none can be fixed:
+
+    - {a} where not even the smallest other item fits;
     - {a, b} with a + b = capacity: what another set holds beside a fits in the place of b;
-    - {a, b}, b the largest that fits, where no two items fit beside a: another set has one item there, at most b.
+    - {a, b} where no two items fit: another set has one item there, at most b;
+    - {a, b, d}, d the largest that fits beside a and b, where no three items fit, and no two that are both larger than d:
+      another set has two items there, one at most b, the other at most d.
     """
-    left, c = {k: n for k, n in counts.items() if n}, plan.capacity
-    for a in [k for k in left if 2 * k > c]:
-        b = c - a
-        if n := min(left[a], left.get(b, 0)):
-            plan.fix(n, ((a, 1), (b, 1)))
-            left[a] -= n
-            left[b] -= n
-    if c % 2 == 0 and left.get(c // 2, 0) > 1:
-        n = left[c // 2] // 2
-        plan.fix(n, ((c // 2, 2),))
-        left[c // 2] -= 2 * n
-    left = {k: n for k, n in left.items() if n}
+    c = plan.capacity
+    left = {k: n for k, n in counts.items() if n}
     sizes = sorted(left)
-    while sizes:
-        a = sizes[-1]
-        low = sizes[0]
-        if len(sizes) == 1 and left[a] == 1 or a + low > c:
-            plan.fix(left.pop(a), ((a, 1),))
-            sizes.pop()
-            continue
-        two = low + (low if left[low] - (low == a) > 1 else sizes[1] if len(sizes) > 1 else c)
-        if a + two <= c or 2 * a <= c:
-            break
-        k = bisect.bisect_right(sizes, c - a) - 1
-        b = sizes[k]
-        n = min(left[a], left[b])
-        plan.fix(n, ((a, 1), (b, 1)))
-        for size in (a, b):
-            left[size] -= n
-            if not left[size]:
-                del left[size]
-                sizes.remove(size)
+
+    def largest(room: int, taken: tuple[int, ...]) -> int | None:
+        """The largest item of at most ``room`` beside those ``taken``."""
+        k = bisect.bisect_right(sizes, room) - 1
+        while k >= 0 and left[sizes[k]] <= taken.count(sizes[k]):
+            k -= 1
+        return sizes[k] if k >= 0 else None
+
+    def smallest(a: int, n: int, above: int = 0) -> int:
+        """The sum of the n smallest items but one a that are larger than ``above``; beyond any room if there are fewer."""
+        total = 0
+        for k in range(bisect.bisect_right(sizes, above), len(sizes)):
+            take = min(n, left[sizes[k]] - (sizes[k] == a))
+            total, n = total + take * sizes[k], n - take
+            if not n:
+                return total
+        return c + 1
+
+    def dominating(a: int) -> tuple[int, ...] | None:
+        room = c - a
+        b = largest(room, (a,))
+        if b is None:
+            return (a,)
+        if b == room or smallest(a, 2) > room:
+            return (a, b)
+        d = largest(room - b, (a, b))
+        return (a, b, d) if d is not None and smallest(a, 3) > room and smallest(a, 2, d) > room else None
+
+    fixed = True
+    while fixed:
+        fixed = False
+        for a in reversed(sizes.copy()):
+            while a in left and (found := dominating(a)):
+                items = tuple((x, found.count(x)) for x in dict.fromkeys(found))
+                n = min(left[x] // k for x, k in items)
+                plan.fix(n, items)
+                fixed = True
+                for x, k in items:
+                    left[x] -= n * k
+                    if not left[x]:
+                        del left[x]
+                        sizes.remove(x)
     return left
 
 

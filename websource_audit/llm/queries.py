@@ -47,8 +47,8 @@ def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     files = tiff.texts_to_tiff(docs)
     pages = tiff.tiff_pages(files.withColumn("id", F.struct("id", "n_bytes")), "id", "media")
-    out = tiff.page_features(pages.select(F.col("id.id").alias("id"), F.col("id.n_bytes").alias("n_bytes"), "media_bytes", "media_sha256", "samples"))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = tiff.page_features(pages.select(F.col("id.id").alias("id"), F.col("id.n_bytes").alias("n_bytes"), "media_bytes", "media_sha256", "samples", "error"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
 
 
 def _license_rows(found: DataFrame) -> DataFrame:

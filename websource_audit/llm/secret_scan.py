@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, running_sums
+from ..functions.arrays import BLOCK, let, running_max, running_sums
 from .common import stash
 
 
@@ -42,6 +42,8 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Hashes of blobs to scan that are broadcast; beyond it texts are picked by a shuffle.
+BROADCAST_BLOBS = 100_000
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 #: What a ledger keeps of a span: its kind is the row's, and its rank that of the kind among the rules of whoever reads it.
 PLACES = "array<struct<start:int,end:int>>"
@@ -74,15 +76,23 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     """Ledger rows that are new: one per unseen (blob, rule version) with a finding or without.
 
     Each distinct text is scanned once: copies meet by content address, after each task has merged its own. Rules whose
-    version the ledger has for a blob are not evaluated on it. A blob new to the ledger gives one row for each rule.
+    version the ledger has for a blob are not evaluated on it. A blob new to the ledger gives one row for each rule. With a ledger,
+    hashes are compared first, and only texts of blobs that it lacks a rule for are moved.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    blobs = docs.select(F.sha2(text, 256).alias("blob_id"), text.alias("blob")).groupBy("blob_id").agg(F.first("blob").alias("blob"))
+    rows = docs.select(F.sha2(text, 256).alias("blob_id"), text.alias("blob"))
+    none = F.array().cast("array<string>")
     if ledger is None:
-        blobs = blobs.withColumn("done", F.array().cast("array<string>"))
+        blobs = rows.groupBy("blob_id").agg(F.first("blob").alias("blob")).withColumn("done", none)
     else:
         done = ledger.groupBy("blob_id").agg(F.collect_set(F.concat_ws("@", "kind", "version")).alias("done"))
-        blobs = blobs.join(done, "blob_id", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
+        known = F.array(*(F.lit(f"{r.kind}@{r.version}") for r in rules))
+        lacking = docs.select(F.sha2(text, 256).alias("blob_id")).distinct().join(done, "blob_id", "left").select("blob_id", F.coalesce("done", none).alias("done"))
+        lacking = stash(lacking.filter(F.size(F.array_except(known, "done")) > 0), "lacking")
+        few = lacking.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS
+        ids = lacking.select("blob_id")
+        moved = rows.join(F.broadcast(ids) if few else ids, "blob_id", "left_semi")
+        blobs = moved.groupBy("blob_id").agg(F.first("blob").alias("blob")).join(lacking, "blob_id")
     rows = []
     for rule in rules:
         fresh = ~F.array_contains("done", f"{rule.kind}@{rule.version}")
@@ -126,16 +136,31 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tupl
 
 
 def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
-    """The text with each span, or run of overlapping spans, replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span, or run of overlapping spans, replaced by ``mark``.
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        out = F.when(apart, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    What stays is cut out in pieces, a block of them at a time from the part of the text that holds the block, and joined once.
+    """
+
+    def cut(ends: Column) -> Column:
+        before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1)).cast("long")
+        starts = F.filter(F.transform(spans, lambda s, k: F.struct(before(k).alias("from"), s["start"].cast("long").alias("to"))), lambda c: c["to"] >= c["from"])
+
+        def piece(whole: Column, low: Column, c: Column) -> Column:
+            return F.concat(F.substring(whole, (c["from"] - low + 1).cast("int"), (c["to"] - c["from"]).cast("int")), F.lit(mark))
+
+        def block(cells: Column) -> Column:
+            low, high = F.get(cells, F.lit(0))["from"], F.element_at(cells, -1)["to"]
+            return let(F.substring(text, (low + 1).cast("int"), (high - low).cast("int")), lambda part: F.array_join(F.transform(cells, lambda c: piece(part, low, c)), ""))
+
+        def whole(cells: Column) -> Column:
+            blocks = F.transform(F.sequence(F.lit(1), F.size(cells), F.lit(BLOCK)), lambda k: let(F.slice(cells, k, F.lit(BLOCK)), block))
+            rest = F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.length(text))
+            return F.concat(F.array_join(blocks, ""), rest)
+
+        return let(starts, whole)
 
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    ends = running_max(F.transform(spans, lambda s: s["end"].cast("long")))
+    return F.when(F.size(spans) == 0, text).otherwise(let(ends, cut))
 
 
 def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:

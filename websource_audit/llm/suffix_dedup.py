@@ -84,15 +84,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, grams: Grams, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gram hash, place, first window, last window) of each anchor; windows of one anchor are consecutive.
 
-    A text of more than SEGMENT windows is taken in segments; an anchor whose windows lie in two of them is given twice.
+    A text of more than ``segment`` windows is taken in segments; an anchor whose windows lie in two of them is given twice.
     """
-    if len(data) >= SEGMENT + LENGTH:
+    if len(data) >= segment + LENGTH:
         parts = []
-        for at in range(0, len(data) - LENGTH + 1, SEGMENT):
-            g, *places = anchors(data[at : at + SEGMENT + LENGTH - 1], grams)
+        for at in range(0, len(data) - LENGTH + 1, segment):
+            g, *places = anchors(data[at : at + segment + LENGTH - 1], grams, segment)
             parts.append((g, *(x + at for x in places)))
         return tuple(map(np.concatenate, zip(*parts, strict=True)))
     if len(data) < LENGTH:
@@ -187,7 +187,7 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple
             node //= 2
 
 
-def repeated_windows(group: list[tuple[bytes, tuple[bytes, int, int, int]]]) -> Iterator[tuple[int, int, int]]:
+def repeated_windows(group: list[tuple[bytes, tuple[bytes, int, int, int]]], pairwise: int = PAIRWISE) -> Iterator[tuple[int, int, int]]:
     """(doc, first, last) windows that also start earlier, from the suffixes of one gram with what stands before each."""
     group = sorted(group, key=lambda x: (x[1][1], x[1][2] + len(x[1][0])))
     distinct: dict[tuple[bytes, bytes], None] = {}
@@ -198,7 +198,7 @@ def repeated_windows(group: list[tuple[bytes, tuple[bytes, int, int, int]]]) ->
         else:
             distinct[suffix, before] = None
             own.append((suffix, before, before[::-1], doc, first, windows))
-    if len(own) <= PAIRWISE:
+    if len(own) <= pairwise:
         for i, (suffix, before, back, doc, first, windows) in enumerate(own):
             place = first + len(before)
             for s, _, b, *_ in own[:i]:
@@ -244,16 +244,19 @@ def joined_intervals(windows: list[tuple[int, int, int]]) -> dict[int, bytes]:
     return out
 
 
-def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams = Grams()
-    for b in slices(batches):
-        docs, hashes, times = [], [], []
-        for doc, text in zip(column(b, "doc_id"), column(b, "t"), strict=True):
-            g, c = np.unique(anchors(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), grams)[0], return_counts=True)
-            times.append(c)
-            docs.append(np.full(len(g), doc, np.int64))
-            hashes.append(g.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(times), pa.int64())], ["g", "doc_id", "c"])
+def _gram_rows(segment: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
+        for b in slices(batches):
+            docs, hashes, times = [], [], []
+            for doc, text in zip(column(b, "doc_id"), column(b, "t"), strict=True):
+                g, c = np.unique(anchors(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), grams, segment)[0], return_counts=True)
+                times.append(c)
+                docs.append(np.full(len(g), doc, np.int64))
+                hashes.append(g.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(times), pa.int64())], ["g", "doc_id", "c"])
+
+    return run
 
 
 def distinct_windows(contexts: list[tuple[bytes, int, int, int]], repeats: list[tuple[int, int, int]]) -> dict[bytes, tuple[int, int]]:
@@ -282,7 +285,7 @@ def _run_rows(part: list, doc: list, blob: list, start: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(doc, pa.int64()), pa.array(blob, pa.binary()), pa.array(start, pa.int64())], ["part", "doc_id", "data", "start"])
 
 
-def _runs(parts: int):
+def _runs(parts: int, segment: int):
     """Runs (part, data), windows of frequent grams (doc_id, data: the digest, start), and repeats already seen (doc_id, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +314,7 @@ def _runs(parts: int):
         for b in slices(batches):
             for doc, text, shared, hot in zip(column(b, "doc_id"), column(b, "t"), column(b, "gs"), column(b, "hs"), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                g, place, first, last = anchors(np.frombuffer(raw, np.uint8), grams)
+                g, place, first, last = anchors(np.frombuffer(raw, np.uint8), grams, segment)
                 pick = np.isin(g, np.array(shared, np.int64).view(np.uint64))
                 frequent = {x % (1 << 64) for x in hot}
                 for h, p, a, z in zip(*(x[pick].tolist() for x in (g, place, first, last)), strict=True):
@@ -331,19 +334,22 @@ def _runs(parts: int):
     return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    windows: list[tuple[int, int, int]] = []
-    group: list = []
-    for shared, suffix, more in merge_runs([read_run(x) for x in table.column("data").to_pylist()]):
-        if shared < GRAM:
-            if len(group) > 1:
-                windows += repeated_windows(group)
-            group = []
-        group.append((suffix, more))
-    if len(group) > 1:
-        windows += repeated_windows(group)
-    out = joined_intervals(windows)
-    return pa.table([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["doc_id", "data"])
+def _merge(pairwise: int):
+    def run(table: pa.Table) -> pa.Table:
+        windows: list[tuple[int, int, int]] = []
+        group: list = []
+        for shared, suffix, more in merge_runs([read_run(x) for x in table.column("data").to_pylist()]):
+            if shared < GRAM:
+                if len(group) > 1:
+                    windows += repeated_windows(group, pairwise)
+                group = []
+            group.append((suffix, more))
+        if len(group) > 1:
+            windows += repeated_windows(group, pairwise)
+        out = joined_intervals(windows)
+        return pa.table([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["doc_id", "data"])
+
+    return run
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,17 +366,17 @@ def later_windows(windows: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).mapInArrow(_spans, "doc_id long, data binary")
 
 
-def repeated_intervals(docs: DataFrame) -> DataFrame:
+def repeated_intervals(docs: DataFrame, segment: int = SEGMENT, pairwise: int = PAIRWISE) -> DataFrame:
     """(doc_id, spans): for documents (doc_id unique, t) the intervals of bytes in windows that also start earlier, in pieces that may overlap."""
     spark = docs.sparkSession
-    rows = stash(docs.mapInArrow(_gram_rows, "g long, doc_id long, c long"), "grams")
+    rows = stash(docs.mapInArrow(_gram_rows(segment), "g long, doc_id long, c long"), "grams")
     shared = stash(rows.groupBy("g").agg(F.sum("c").alias("c")).filter("c > 1").select("g", (F.col("c") > HOT_GRAM).alias("hot")), "shared")
     lists = stash(rows.select("g", "doc_id").join(shared, "g"), "places")
     n = lists.count()
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // PART_CONTEXTS)
     by_doc = lists.groupBy("doc_id").agg(F.collect_list("g").alias("gs"), F.collect_list(F.when(F.col("hot"), F.col("g"))).alias("hs"))
-    runs = stash(docs.join(by_doc, "doc_id").mapInArrow(_runs(parts), _RUN), "runs")
-    merged = runs.filter("part is not null").select("part", "data").groupBy("part").applyInArrow(_merge, "doc_id long, data binary")
+    runs = stash(docs.join(by_doc, "doc_id").mapInArrow(_runs(parts, segment), _RUN), "runs")
+    merged = runs.filter("part is not null").select("part", "data").groupBy("part").applyInArrow(_merge(pairwise), "doc_id long, data binary")
     found = runs.filter("part is null and start is null").select("doc_id", "data").unionByName(merged)
     if not shared.filter("hot").isEmpty():
         found = found.unionByName(later_windows(runs.filter("start is not null").select("data", "doc_id", "start")))
@@ -407,13 +413,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT, pairwise: int = PAIRWISE) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, spans (maximal removed runs, from and to), kept_sha256 and kept (the bytes left).
 
     A byte goes if a LENGTH-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the same
     document. Null and empty texts are no bytes. Whole copies are settled by their digest: all but the smallest doc_id
     go, if as long as a repeat. Rows with a null id take no part. Of rows with one id and different texts, that of the
-    smallest digest takes part and the others stay as they are; equal rows are cut alike.
+    smallest digest takes part and the others stay as they are; equal rows are cut alike. No result depends on ``segment`` and ``pairwise``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     digests = rows.filter("doc_id is not null and t is not null").select("doc_id", F.sha2("t", 256).alias("digest"))
@@ -429,7 +435,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         firsts = known.filter("not whole").select(F.col("doc_id").alias("k"), F.col("digest").alias("kd"))
         heads = rows.join(firsts, (F.col("doc_id") == F.col("k")) & (F.sha2("t", 256) == F.col("kd")), "left_semi").dropDuplicates(["doc_id"])
-    found = repeated_intervals(heads).groupBy("doc_id").agg(F.collect_list("data").alias("spans"))
+    found = repeated_intervals(heads, segment, pairwise).groupBy("doc_id").agg(F.collect_list("data").alias("spans"))
     found = stash(known.join(found, "doc_id", "left").filter("whole or spans is not null").select(F.col("doc_id").alias("k"), F.col("digest").alias("kd"), "whole", "spans"), "cuts")
     # always by a shuffle, whatever the size of ``found``: it grows with the input
     marked = rows.join(found.hint("merge"), (F.col("doc_id") == F.col("k")) & (mark == F.col("kd")), "left")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices
+from .common import column, slices, small_batches
 
 # Fixed values of the TIFF 6.0 format: tags, field sizes by type, compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -24,8 +24,8 @@ LZW_CLEAR, LZW_END = 256, 257
 PAGE_SCHEMA = "page int, width int, height int, samples_per_pixel int, compression int, predictor int, samples binary, error string"
 
 
-#: Samples of a page beyond which it is not decoded: a header may claim any size.
-MOST_SAMPLES = 1 << 28
+#: Most samples that one byte of a strip can give: a header may claim any size, but memory is taken only for what the strips at hand can hold.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 2731, DEFLATE: 1032, OLD_DEFLATE: 1032}
 
 
 class TiffError(ValueError):
@@ -231,10 +231,13 @@ def page_samples(data: bytes, ifd: dict[int, tuple[int, ...]]) -> np.ndarray:
     bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (wide, min(one(ROWS_PER_STRIP, high), high))
     at, sizes = (ifd.get(TILE_OFFSETS), ifd.get(TILE_BYTES)) if tiled else (ifd.get(STRIP_OFFSETS), ifd.get(STRIP_BYTES))
     across, down = -(-wide // bw) if bw else 0, -(-high // bh) if bh else 0
-    if down * bh * across * bw * spp > MOST_SAMPLES:
-        raise TiffError(f"more than {MOST_SAMPLES} samples")
     if at is None or sizes is None or len(at) != len(sizes) or len(at) != across * down:
         raise TiffError("wrong number of strips or tiles")
+    if comp not in EXPANSION:
+        raise TiffError(f"compression {comp} is not read")
+    there = sum(max(0, min(n, len(data) - start)) for start, n in zip(at, sizes, strict=True))
+    if (down * bh if tiled else high) * across * bw * spp > EXPANSION[comp] * there:
+        raise TiffError("more samples than the strips or tiles can hold")
     out = np.zeros((down * bh, across * bw, spp), np.uint8)
     for k, (start, n) in enumerate(zip(at, sizes, strict=True)):
         y, x = k // across * bh, k % across * bw
@@ -247,8 +250,6 @@ def page_samples(data: bytes, ifd: dict[int, tuple[int, ...]]) -> np.ndarray:
             raw = lzw_decode(raw, size)
         elif comp == PACKBITS:
             raw = unpack_bits(raw, size)
-        elif comp != NONE:
-            raise TiffError(f"compression {comp} is not read")
         if len(raw) < size:
             raise TiffError("strip or tile too short")
         block = np.frombuffer(raw, np.uint8, size).reshape(rows, bw, spp)
@@ -317,7 +318,7 @@ def texts_to_tiff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 media.append(encode_tiff([np.frombuffer(raw, np.uint8).reshape(-1, TEXT_WIDTH)], compression, predictor))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
 
 
 def feature_of(samples: bytes) -> str:
@@ -328,7 +329,10 @@ def feature_of(samples: bytes) -> str:
 
 
 def page_features(pages: DataFrame, text_sizes: bool = True) -> DataFrame:
-    """Digests and features of single-page images, read back: the columns of the payload contract."""
+    """Digests and features of single-page images, read back: the columns of the payload contract.
+
+    A page that could not be read has a null payload and its reason in ``error``. An empty table gives an empty one; a null id stays null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 128):
@@ -340,8 +344,8 @@ def page_features(pages: DataFrame, text_sizes: bool = True) -> DataFrame:
                 pa.array([None if x is None else zlib.crc32(x[-TEXT_WIDTH:]) for x in raws], pa.int64()),
                 pa.array([None if x is None else feature_of(x) for x in raws], pa.string()),
             ]
-            keep = ["id", "n_bytes", "media_bytes", "media_sha256"]
+            keep = ["id", "n_bytes", "media_bytes", "media_sha256", "error"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), *made], [*keep, "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
     kind = pages.schema["id"].dataType.simpleString()
-    return pages.select("id", "n_bytes", "media_bytes", "media_sha256", "samples").mapInArrow(run, f"id {kind}, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    return pages.select("id", "n_bytes", "media_bytes", "media_sha256", "samples", "error").mapInArrow(run, f"id {kind}, n_bytes long, media_bytes long, media_sha256 string, error string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import token_ids, column, slices, stash
+from .common import column, slices, small_batches, stash, token_ids
 
 #: Lengths summed as one block: the running sums go over blocks first, then within each.
 BLOCK = 256
@@ -29,7 +29,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", tokenizer_path: str
                 seen[n] = seen.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n"])
 
-    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "length long, n long")
+    return small_batches(docs).select(F.col(text_col).alias("t")).mapInArrow(run, "length long, n long")
 
 
 def length_histogram(docs: DataFrame, text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:

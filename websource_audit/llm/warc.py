@@ -25,8 +25,8 @@ RECORD_END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this many bytes are always stored.
 LEAST_REVISIT_BYTES = 100
-#: Records in one archive file; files are read whole, one at a time in a task.
-FILE_RECORDS = 256
+#: Records in one archive file, and bytes from which a payload gets a file of its own; files are read whole, one at a time in a task.
+FILE_RECORDS, LARGE_BYTES = 256, 1 << 20
 #: Digests of repeated payloads that are broadcast; beyond it the pages are joined with them by a shuffle.
 BROADCAST_DIGESTS = 100_000
 
@@ -70,16 +70,21 @@ def record_text(page_id: Column, url: Column, html: Column, digest: Column, refe
     )
 
 
-def write_archives(pages: DataFrame, path: str | None = None, file_records: int = FILE_RECORDS) -> str:
+def write_archives(pages: DataFrame, path: str | None = None, file_records: int = FILE_RECORDS, large_bytes: int = LARGE_BYTES) -> str:
     """Write one record per page (columns page_id, url, html) as gzipped WARC files; returns their folder.
 
+    A file has at most ``file_records`` records of less than ``large_bytes`` bytes, or one that is larger.
+
     Null html is an empty payload. Each task writes the archives of its own rows; the end marks of a record are what the
     text writer puts after each value.
     """
     path = path or f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     rows = with_revisits(pages)
     text = record_text(*(F.col(c) for c in ("page_id", "url", "html", "digest", "refers_to")))
-    rows.select(text.alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    for n, part in ((file_records, size < large_bytes), (1, size >= large_bytes)):
+        if n > 1 or (pages.agg(F.max(size)).first()[0] or 0) >= large_bytes:
+            rows.filter(part).select(text.alias("value")).write.mode("append").option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", n).text(path)
     return path
 
 
@@ -87,19 +92,25 @@ _HEAD = re.compile(rb"WARC/1\.1\r\n((?:[^\r\n]+\r\n)*)\r\n")
 
 
 def candidates(data: bytes) -> Iterator[tuple]:
-    """Each place in a file that parses as a record head, with its successor's place: rows of RECORDS."""
-    at = data.find(MAGIC)
+    """Each place in a file that parses as a record head, with its successor's place: rows of RECORDS.
+
+    Records of one chain do not overlap, so of what starts inside a record that was hashed nothing can be reached with it: such
+    candidates get no digest, and a file is hashed once at most however many heads its payloads hold.
+    """
+    at, hashed = data.find(MAGIC), 0
     while at >= 0:
         m = _HEAD.match(data, at)
         parts = [x.partition(b": ") for x in m[1].split(b"\r\n")] if m else []
         fields = {name.lower(): value for name, colon, value in parts if colon}
         size = fields.get(b"content-length", b"")
         if size.isdigit() and (end := m.end() + int(size)) <= len(data):
-            body = data[m.end() : end]
             text = lambda k: fields[k].decode("utf-8", "replace") if k in fields else None  # noqa: B023, E731
             page = lambda k: int(x[1]) if (x := re.fullmatch(rb"<urn:page:(-?\d+)>", fields.get(k, b""))) else None  # noqa: B023, E731
             digest = text(b"warc-payload-digest")
-            yield (at, end + len(RECORD_END), text(b"warc-type"), page(b"warc-record-id"), text(b"warc-target-uri"), page(b"warc-refers-to"), text(b"content-type"), digest and digest.removeprefix("sha256:"), len(body), hashlib.sha256(body).hexdigest())
+            own = None
+            if at >= hashed:
+                own, hashed = hashlib.sha256(memoryview(data)[m.end() : end]).hexdigest(), end
+            yield (at, end + len(RECORD_END), text(b"warc-type"), page(b"warc-record-id"), text(b"warc-target-uri"), page(b"warc-refers-to"), text(b"content-type"), digest and digest.removeprefix("sha256:"), end - m.end(), own)
         at = data.find(MAGIC, at + 1)
 
 
