@@ -224,3 +224,64 @@ def test_source_tree_and_reports(spark, tmp_path):
 
 def test_registry():
     assert set(Q.ORACLE_SQL) <= set(Q.QUERIES) and len(Q.QUERIES) > 50
+
+
+def test_row_ids_of_ties_nulls_and_parts(spark):
+    rows = [(None, "x"), (5, None), (5, "x"), (5, "x"), (None, None), (1, "y")] * 20
+    df = spark.createDataFrame(rows, "k long, g string").repartition(5)
+    for parts in (1, 3, 40):
+        got = T.add_row_ids(df, ["k"], parts=parts).collect()
+        assert sorted(r.row_no for r in got) == list(range(1, 121))
+        assert [r.k for r in sorted(got, key=lambda r: r.row_no)] == [None] * 40 + [1] * 20 + [5] * 60
+        by = {}
+        for r in T.add_row_ids(df, ["k"], by="g", parts=parts).collect():
+            by.setdefault(r.g, []).append(r.row_no)
+        assert {g: sorted(n) for g, n in by.items()} == {g: list(range(1, n + 1)) for g, n in ((None, 40), ("x", 60), ("y", 20))}
+
+
+def test_a_snippet_of_a_third_of_all_files(spark):
+    """Rows stay bounded: locations come in pages, and correlated rows carry the first one."""
+    f = "file_path string, finding_no long, category string, source_type string, snippet string"
+    files = [(f"f{k:04d}", k % 3, "JS", "INLINE", "hot  x" if k % 3 == 0 else f"s{k}") for k in range(900)]
+    index = C.written(C.static_index(spark.createDataFrame(files, f), page_size=40), "index")
+    pages = sorted(index.filter("norm = 'hot x'").collect(), key=lambda r: r.page)
+    assert [len(r.locations) for r in pages] == [40] * 7 + [20] and {r.location_count for r in pages} == {300}
+    assert [x.file for r in pages for x in r.locations] == [f"f{k:04d}" for k in range(0, 900, 3)]
+    dynamic = spark.createDataFrame([(f"u{k}", "hot x", "t", "/a") for k in range(300)] + [("v", "s1", "t", "/a")], "url string, snippet string, ajax_pattern string, endpoint_url string")
+    rows = C.correlate(index, dynamic).collect()
+    hot = [r for r in rows if r.snippet == "hot x"]
+    assert len(hot) == 300 and all(r.location_count == 300 and r.location_pages == 8 and r.locations.count(", ") == 39 for r in hot)
+    assert sum(r.status == "MISSING_IN_CRAWL" for r in rows) == 599 and {(r.location_count, r.location_pages) for r in rows if r.dynamic_url == "v"} == {(1, 1)}
+
+
+def test_a_name_of_a_third_of_all_files(spark):
+    """Names that only share an end do not meet, and a key is one row however many files have it."""
+    files = spark.createDataFrame([(f"d{k}/Index.cshtml" if k % 3 == 0 else f"e{k}/p{k}.html",) for k in range(600)], "rel_path string")
+    blocks = spark.createDataFrame([("Index.cshtml",), ("p1.html",), ("x_e4_p4.html",), ("ndex.cshtm",), ("d3_Index.cshtml",)], "block_path string")
+    got = {r.block_path: r.rel_path for r in R.resolve_original_file(blocks, files).collect()}
+    assert got == {"Index.cshtml": None, "p1.html": "e1/p1.html", "x_e4_p4.html": "e4/p4.html", "ndex.cshtm": None, "d3_Index.cshtml": "d3/Index.cshtml"}
+    assert R.resolve_original_file(blocks.limit(0), files).count() == 0 and R.resolve_original_file(blocks, files.limit(0)).filter("rel_path is not null").count() == 0
+
+
+def test_links_of_quoted_parts_comments_and_references(spark):
+    html = """<a title="a > b" href="/x">1</a><a title='y'href="/y">2</a><!-- <a href="/c">3</a> --><script>var s = '<a href="/s">4</a>';</script>
+<A HREF=/&eacute;&#x41;&amp;copy=1&copy>5</A><abbr href="/no">6</abbr><a href="/1" href="/2">7</a><a name=z>8</a><a data-href="/d" href = '/w w'>9</a><a href="/open>"""
+    pages = spark.createDataFrame([("http://h/p", html), ("http://h/q", None)], "url string, content string")
+    assert [r.href for r in W.raw_links(pages).collect()] == ["/x", "/y", "/éA&copy=1©", "/2", "/w w"]
+    page = """<script a=">" src="/a.js"></script><script>"<script src='/b.js'>"</script><link title="x > y" rel="x Stylesheet" href=/c.css><link rel=icon href=/d.ico>"""
+    pages = spark.createDataFrame([("http://h/p", page)], "url string, content string")
+    assert [r.target for r in W.script_sources(pages).collect()] == ["http://h/a.js"]
+    assert [r.target for r in W.stylesheet_links(pages).collect()] == ["http://h/c.css"]
+    assert W.raw_links(pages.limit(0)).count() == 0
+    long = spark.createDataFrame([("http://h/p", "<a " + 'x="> " ' * 60000 + 'href="/far">t</a>')], "url string, content string")
+    assert [r.href for r in W.raw_links(long).collect()] == ["/far"]
+
+
+def test_findings_as_table_function(spark, files):
+    D.register_findings(spark)
+    frame = files([("p.html", PAGE), ("q.js", "x()"), ("r.html", None)])
+    frame.createOrReplaceTempView("audited")
+    columns = "file_path, finding_no, start_line, code_type, full_code"
+    got = spark.sql("select path as file_path, f.finding_no, f.start_line, f.code_type, f.full_code from audited, lateral html_findings(path, content) f")
+    want = D.extract_findings(frame).select(*columns.split(", "))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 10

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import paths
 from ..sources.shared import written
+from .reports import add_row_ids
 
-CORRELATED = ("status", "dynamic_url", "ajax_type", "endpoint_url", "snippet", "locations", "location_count")
+#: Locations of a snippet in one row of the index.
+PAGE_LOCATIONS = 100
 
 
 def _static_rows(findings: DataFrame) -> DataFrame:
@@ -24,17 +26,29 @@ def static_keys(findings: DataFrame) -> DataFrame:
 
 
 def static_locations(findings: DataFrame) -> DataFrame:
-    """(h, file, row): the lists of static_index as rows; ``h`` is the hash of the normalized snippet."""
-    return _static_rows(findings).select(F.xxhash64("norm").alias("h"), "at.file", "at.row")
+    """(h, file, row): the lists of static_index as rows; ``h`` is the MD5 of the normalized snippet."""
+    return _static_rows(findings).select(F.md5("norm").alias("h"), "at.file", "at.row")
 
 
-def static_index(findings: DataFrame) -> DataFrame:
-    """(norm, locations, location_count): inline scripts and styles by normalized snippet, with the sorted (file, row) that hold it.
+def static_index(findings: DataFrame, page_size: int = PAGE_LOCATIONS) -> DataFrame:
+    """(norm, page, locations, location_count): inline scripts and styles by normalized snippet, with the (file, row) that hold it.
 
-    ``row`` is the finding's number in its file. Rows without a snippet are left out.
+    Locations are in order, in pages of ``page_size`` from page 1 on, so a row is small however many files have a snippet.
+    location_count is of all pages. ``row`` is the finding's number in its file. Rows without a snippet are left out.
     """
-    rows = _static_rows(findings)
-    return rows.groupBy("norm").agg(F.array_sort(F.collect_list("at")).alias("locations"), F.count(F.lit(1)).alias("location_count"))
+    rows = add_row_ids(_static_rows(findings).select("norm", "at.file", "at.row"), ["file", "row"], by="norm", name="no")
+    paged = rows.groupBy("norm", F.floor((F.col("no") - 1) / page_size + 1).cast("long").alias("page")).agg(F.array_sort(F.collect_list(F.struct("file", "row"))).alias("locations"), F.max("no").alias("last"))
+    counts = written(paged, "pages")
+    return counts.join(counts.groupBy(F.col("norm").alias("n")).agg(F.max("last").alias("location_count")), F.col("norm") == F.col("n")).select("norm", "page", "locations", "location_count")
+
+
+def _first_pages(index: DataFrame) -> DataFrame:
+    """(h, norm, files, location_count, location_pages): one row per snippet, with the files of its first page."""
+    first = index.filter("page = 1")
+    size = F.size("locations")  # the first page is full if there is another
+    pages = F.ceil(F.col("location_count") / size).cast("long")
+    files = F.array_join(F.transform("locations", lambda x: x["file"]), ", ")
+    return first.select(F.xxhash64("norm").alias("h"), "norm", files.alias("files"), "location_count", pages.alias("location_pages"))
 
 
 def _keyed(dynamic: DataFrame) -> DataFrame:
@@ -44,16 +58,16 @@ def _keyed(dynamic: DataFrame) -> DataFrame:
 def correlate(index: DataFrame, dynamic: DataFrame) -> DataFrame:
     """VERIFIED and NEW_WEB_ONLY per dynamic row (url, snippet, ajax_pattern, endpoint_url), MISSING_IN_CRAWL per key never seen.
 
-    The static side has one row per key, so a boilerplate snippet on most pages only finds its row; the join is on the hash and
-    the text, and Spark may split such a key.
+    A row carries the files of the first page of its snippet and how many pages and locations there are; the others are in
+    the index. The static side has one row per key, so a boilerplate snippet on most pages only finds its row; the join
+    is on the hash and the text, and Spark may split such a key.
     """
-    static = index.withColumn("h", F.xxhash64("norm"))
-    rows = _keyed(dynamic).join(static, ["h", "norm"], "left")
-    files = F.array_join(F.transform("locations", lambda x: x["file"]), ", ")
-    hit = F.col("locations").isNotNull()
+    rows = _keyed(dynamic).join(_first_pages(index), ["h", "norm"], "left")
+    hit = F.col("files").isNotNull()
+    none = F.lit(0).cast("long")
     found = rows.select(
         F.when(hit, "VERIFIED").otherwise("NEW_WEB_ONLY").alias("status"), F.col("url").alias("dynamic_url"), F.col("ajax_pattern").alias("ajax_type"), "endpoint_url", "snippet",
-        F.when(hit, files).otherwise("N/A").alias("locations"), F.coalesce("location_count", F.lit(0)).alias("location_count"),
+        F.when(hit, F.col("files")).otherwise("N/A").alias("locations"), F.coalesce("location_count", none).alias("location_count"), F.coalesce("location_pages", none).alias("location_pages"),
     )
     return found.unionByName(missing_in_crawl(index, dynamic))
 
@@ -61,25 +75,24 @@ def correlate(index: DataFrame, dynamic: DataFrame) -> DataFrame:
 def missing_in_crawl(index: DataFrame, dynamic: DataFrame) -> DataFrame:
     """Static keys that no dynamic row has, in the columns of correlate."""
     seen = _keyed(dynamic).select("h", "norm").distinct()
-    rows = index.withColumn("h", F.xxhash64("norm")).join(seen, ["h", "norm"], "left_anti")
-    files = F.array_join(F.transform("locations", lambda x: x["file"]), ", ")
-    return rows.select(F.lit("MISSING_IN_CRAWL").alias("status"), F.lit("N/A").alias("dynamic_url"), F.lit("Unknown").alias("ajax_type"), F.lit("N/A").alias("endpoint_url"), F.concat(F.substring("norm", 1, 100), F.lit("...")).alias("snippet"), files.alias("locations"), "location_count")
+    rows = _first_pages(index).join(seen, ["h", "norm"], "left_anti")
+    return rows.select(F.lit("MISSING_IN_CRAWL").alias("status"), F.lit("N/A").alias("dynamic_url"), F.lit("Unknown").alias("ajax_type"), F.lit("N/A").alias("endpoint_url"), F.concat(F.substring("norm", 1, 100), F.lit("...")).alias("snippet"), F.col("files").alias("locations"), "location_count", "location_pages")
 
 
 def correlate_keys(keys: DataFrame, dynamic: DataFrame) -> DataFrame:
-    """correlate with the first file and the snippet's hash in place of the list of locations, from static_keys."""
+    """correlate with the first file and the snippet's MD5 (h, as of static_locations) in place of locations, from static_keys."""
     static = keys.withColumn("h", F.xxhash64("norm"))
     rows = _keyed(dynamic).join(static, ["h", "norm"], "left")
     status = F.when(F.col("location_count").isNotNull(), "VERIFIED").otherwise("NEW_WEB_ONLY").alias("status")
-    found = rows.select(status, F.col("url").alias("dynamic_url"), F.col("ajax_pattern").alias("ajax_type"), "endpoint_url", "snippet", "h", "first_file", F.coalesce("location_count", F.lit(0)).alias("location_count"))
+    found = rows.select(status, F.col("url").alias("dynamic_url"), F.col("ajax_pattern").alias("ajax_type"), "endpoint_url", "snippet", F.md5("norm").alias("h"), "first_file", F.coalesce("location_count", F.lit(0)).alias("location_count"))
     unseen = static.join(_keyed(dynamic).select("h", "norm").distinct(), ["h", "norm"], "left_anti")
-    missing = unseen.select(F.lit("MISSING_IN_CRAWL").alias("status"), F.lit("N/A").alias("dynamic_url"), F.lit("Unknown").alias("ajax_type"), F.lit("N/A").alias("endpoint_url"), F.concat(F.substring("norm", 1, 100), F.lit("...")).alias("snippet"), "h", "first_file", "location_count")
+    missing = unseen.select(F.lit("MISSING_IN_CRAWL").alias("status"), F.lit("N/A").alias("dynamic_url"), F.lit("Unknown").alias("ajax_type"), F.lit("N/A").alias("endpoint_url"), F.concat(F.substring("norm", 1, 100), F.lit("...")).alias("snippet"), F.md5("norm").alias("h"), "first_file", "location_count")
     return found.unionByName(missing)
 
 
 def web_only(index: DataFrame, dynamic: DataFrame) -> DataFrame:
     """Dynamic rows whose snippet is in no source file."""
-    return _keyed(dynamic).join(index.select("norm").withColumn("h", F.xxhash64("norm")), ["h", "norm"], "left_anti").drop("h", "norm")
+    return _keyed(dynamic).join(index.filter("page = 1").select("norm", F.xxhash64("norm").alias("h")), ["h", "norm"], "left_anti").drop("h", "norm")
 
 
 def csp_allowlist(correlated: DataFrame) -> DataFrame:
@@ -90,9 +103,9 @@ def csp_allowlist(correlated: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(correlated: DataFrame) -> DataFrame:
-    """All rows with their domain, snippets cut to 500 characters."""
+    """All rows with their domain and the files of the first page of locations, snippets cut to 500 characters."""
     domain = F.when(F.col("status") == "MISSING_IN_CRAWL", "N/A").otherwise(paths.csp_domain(F.col("endpoint_url")))
-    return correlated.select("status", "ajax_type", F.col("endpoint_url").alias("endpoint"), domain.alias("csp_domain"), F.col("dynamic_url").alias("web_url"), F.col("locations").alias("static_files"), F.substring("snippet", 1, 500).alias("code_snippet"))
+    return correlated.select("status", "ajax_type", F.col("endpoint_url").alias("endpoint"), domain.alias("csp_domain"), F.col("dynamic_url").alias("web_url"), F.col("locations").alias("static_files"), "location_count", "location_pages", F.substring("snippet", 1, 500).alias("code_snippet"))
 
 
 def correlation_summary(correlated: DataFrame, external: DataFrame) -> DataFrame:

@@ -9,9 +9,6 @@ from ..functions import paths, scoring
 from ..functions import patterns as P
 from ..sources.shared import written
 
-#: Characters of a name's end by which suffix candidates are met; shorter names are few and met on what they have.
-SUFFIX_KEY = 8
-
 
 def assessment_rows(extracted: DataFrame) -> DataFrame:
     """One row per extracted block (filename, category, content): where it came from, its state, and what to do."""
@@ -35,34 +32,36 @@ def sanitized(path):
     return F.translate(path, "/\\", "__")
 
 
+def _suffixes(rows: DataFrame, column: str, lengths: list[int]) -> DataFrame:
+    """``rows`` with each end of ``column`` that has one of ``lengths`` characters but is shorter than the whole, as tail."""
+    given = F.array(*(F.lit(n) for n in lengths)).cast("array<int>")
+    n = F.explode(F.filter(given, lambda x: x < F.length(column))).alias("_n")
+    return rows.select("*", n).withColumn("tail", F.substring(F.col(column), F.length(column) - F.col("_n") + 1, F.col("_n"))).drop("_n")
+
+
+def _lengths(rows: DataFrame, column: str) -> list[int]:
+    """The different lengths that occur; paths have few."""
+    return sorted(r[0] for r in rows.select(F.length(column)).distinct().collect())
+
+
 def resolve_original_file(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """(block_path, rel_path): each distinct sanitized block path with its original file, or null.
 
     An equal sanitized name wins; of several the smallest. Else names that end with one another are candidates, taken only if
-    there is just one. Candidates share the last SUFFIX_KEY characters of the shorter name, so they meet by an equi-join.
+    there is just one. A block path is met with the ends of names that have its length, and a name with the ends of block
+    paths that have its length, so only names that do end with one another share a key. Of a key only the number of its files
+    and the smallest one go on, so it costs one row however many files have it. Null paths take no part.
     """
     b = written(blocks.select("block_path").filter("block_path is not null").distinct(), "blocks")
-    f = written(files.select("rel_path", sanitized(F.col("rel_path")).alias("name")).filter("rel_path is not null"), "names")
-    exact = written(b.join(f, F.col("block_path") == F.col("name")).groupBy("block_path").agg(F.min("rel_path").alias("rel_path")), "exact")
-    rest = b.join(exact, "block_path", "left_anti")
-    found = None
-    for k in range(1, SUFFIX_KEY + 1):
-        # pairs whose shorter name has k characters, or at least SUFFIX_KEY
-        least = F.least(F.length("block_path"), F.length("name"))
-        fits = least >= SUFFIX_KEY if k == SUFFIX_KEY else least == k
-        x = rest.filter(F.length("block_path") >= k).withColumn("key", F.expr(f"right(block_path, {k})"))
-        y = f.filter(F.length("name") >= k).withColumn("key", F.expr(f"right(name, {k})"))
-        if k < SUFFIX_KEY:
-            one = x.filter(F.length("block_path") == k).join(y, "key").select("block_path", "rel_path", "name")
-            two = x.filter(F.length("block_path") > k).join(y.filter(F.length("name") == k), "key").select("block_path", "rel_path", "name")
-            pairs = one.unionByName(two)
-        else:
-            pairs = x.join(y, "key").filter(fits)
-        pairs = pairs.filter(F.col("name").endswith(F.col("block_path")) | F.col("block_path").endswith(F.col("name"))).select("block_path", "rel_path")
-        found = pairs if found is None else found.unionByName(pairs)
-    single = found.groupBy("block_path").agg(F.count(F.lit(1)).alias("n"), F.min("rel_path").alias("rel_path")).filter("n = 1").drop("n")
-    known = exact.unionByName(single)
-    return b.join(known, "block_path", "left")
+    f = files.filter("rel_path is not null").groupBy(sanitized(F.col("rel_path")).alias("name")).agg(F.min("rel_path").alias("rel_path"), F.count(F.lit(1)).alias("n"))
+    f = written(f, "names")
+    exact = written(b.join(f, F.col("block_path") == F.col("name")).select("block_path", "rel_path"), "exact")
+    rest = written(b.join(exact, "block_path", "left_anti"), "unresolved")
+    ends = _suffixes(f, "name", _lengths(rest, "block_path")).groupBy("tail").agg(F.min("rel_path").alias("rel_path"), F.sum("n").alias("n"))
+    longer = rest.join(ends, F.col("block_path") == F.col("tail")).select("block_path", "rel_path", "n")
+    shorter = _suffixes(rest, "block_path", _lengths(f, "name")).join(f, F.col("tail") == F.col("name")).select("block_path", "rel_path", "n")
+    single = longer.unionByName(shorter).groupBy("block_path").agg(F.sum("n").alias("n"), F.min("rel_path").alias("rel_path")).filter("n = 1").drop("n")
+    return b.join(exact.unionByName(single), "block_path", "left")
 
 
 def refactor_plan(findings: DataFrame) -> DataFrame:

@@ -100,21 +100,39 @@ def refactoring_summary(findings: DataFrame) -> DataFrame:
     )
 
 
-def add_row_ids(df: DataFrame, order: list[str], by: str | None = None, name: str = "row_no") -> DataFrame:
+#: Most parts that rows are numbered in, and keys sampled for each bound between them. No result depends on either.
+ROW_PARTS, SAMPLED_KEYS = 1000, 50
+
+
+def _bounds(rows: DataFrame, keys: list[str], parts: int) -> list[tuple]:
+    """At most ``parts`` - 1 keys that cut the rows into parts of about equal size, from a sample of bounded size."""
+    share = parts * SAMPLED_KEYS / max(1, rows.count())
+    sample = rows.select(*keys) if share >= 1 else rows.select(*keys).sample(share, seed=7)
+    got = [tuple(r) for r in sample.orderBy(*keys).collect()]
+    return list(dict.fromkeys(got[len(got) * k // parts] for k in range(1, parts))) if got else []
+
+
+def add_row_ids(df: DataFrame, order: list[str], by: str | None = None, name: str = "row_no", parts: int | None = None) -> DataFrame:
     """Number the rows from 1 in the total order ``order``, within each ``by`` if given, without one task seeing all rows.
 
-    The rows are written, so that what made them runs once though a range sort reads its input twice; then they are
-    range-sorted and written again, each part's rows are numbered by themselves and shifted by the rows of the parts
-    before, whose counts are few.
+    The rows are written once, so that what made them runs once. Keys alone are read for the bounds of the parts and the rows in
+    each; then rows move once, to the task of their part (and group), where they are numbered and shifted by the rows of the
+    parts before. Nulls come first. Rows of equal keys get different numbers in any order.
     """
-    keys = ([by] if by else []) + order
-    parts = written(written(df, "unordered").repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ordered")
     key = [by] if by else []
-    counts = parts.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts or min(ROW_PARTS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(df, "unordered")
+    keys = [*key, *order]
+    kinds = [rows.schema[k].dataType for k in keys]
+    bounds = [F.struct(*(F.lit(v).cast(t).alias(k) for v, t, k in zip(b, kinds, keys, strict=True))) for b in _bounds(rows, keys, parts)]
+    own = F.struct(*keys)
+    rows = rows.withColumn("_part", F.size(F.filter(F.array(*bounds), lambda b: b <= own)) if bounds else F.lit(0))
+    counts = rows.groupBy("_part", *key).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    shift = counts.select(*key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    own = F.row_number().over(W.partitionBy("_part", *key).orderBy(*order))
-    return parts.withColumn("_own", own).join(F.broadcast(shift), ["_part", *key]).withColumn(name, (F.col("_own") + F.col("_shift")).cast("long")).drop("_part", "_own", "_shift")
+    shift = counts.select(F.col("_part").alias("_p"), *(F.col(k).alias("_by") for k in key), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    numbered = rows.withColumn("_own", F.row_number().over(W.partitionBy("_part", *key).orderBy(*order)))
+    same = (F.col("_part") == F.col("_p")) & (F.col(by).eqNullSafe(F.col("_by")) if by else F.lit(True))
+    return numbered.join(shift, same).withColumn(name, (F.col("_own") + F.col("_shift")).cast("long")).select(*df.columns, name)
 
 
 def refactoring_tracker(findings: DataFrame, category: str) -> DataFrame:

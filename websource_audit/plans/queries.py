@@ -390,17 +390,19 @@ def _dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORM = r"trim(regexp_replace(snippet, '\s+', ' ', 'g'))"
 _CORR_SQL = BLOCKS_SQL + rf""", {O.tags_sql('(select page_id as file_path, url as rel_path, content from files)')}, sf as (select f.*, {_NORM} as norm from f join files on path = file_path where snippet <> '' and {O.in_list('extension', P.INCLUDE_EXTENSIONS)} and not list_has_any(string_split(directory, '/'), [{', '.join(map(O.q, P.STATIC_EXCLUDED_FOLDERS))}])),
-ix as (select norm, string_agg(file_path, ', ' order by file_path, finding_no) as locations, count(*) as location_count from sf group by 1),
+ik as (select norm, file_path, finding_no, row_number() over (partition by norm order by file_path, finding_no) as k, count(*) over (partition by norm) as location_count from sf),
+ip as (select norm, (k - 1) // {C.PAGE_LOCATIONS} + 1 as page, string_agg(file_path, ', ' order by k) as locations, location_count, (location_count + {C.PAGE_LOCATIONS - 1}) // {C.PAGE_LOCATIONS} as location_pages from ik group by norm, page, location_count),
+ix as (select * from ip where page = 1),
 dy as (select files.url, snippet, ajax_pattern, endpoint_url, {_NORM} as norm from f join files on path = file_path where ajax_detected),
-co as (select case when ix.norm is null then 'NEW_WEB_ONLY' else 'VERIFIED' end as status, url as dynamic_url, ajax_pattern as ajax_type, endpoint_url, snippet, coalesce(locations, 'N/A') as locations, coalesce(location_count, 0) as location_count from dy left join ix using (norm)
- union all select 'MISSING_IN_CRAWL', 'N/A', 'Unknown', 'N/A', norm[1:100] || '...', locations, location_count from ix where norm not in (select norm from dy))
+co as (select case when ix.norm is null then 'NEW_WEB_ONLY' else 'VERIFIED' end as status, url as dynamic_url, ajax_pattern as ajax_type, endpoint_url, snippet, coalesce(locations, 'N/A') as locations, coalesce(location_count, 0) as location_count, coalesce(location_pages, 0) as location_pages from dy left join ix using (norm)
+ union all select 'MISSING_IN_CRAWL', 'N/A', 'Unknown', 'N/A', norm[1:100] || '...', locations, location_count, location_pages from ix where norm not in (select norm from dy))
 """
 
 
-@query(_CORR_SQL + "select * from ix")
+@query(_CORR_SQL + "select norm, page, locations, location_count from ip")
 def static_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = F.array_join(F.transform("locations", lambda x: x["file"]), ", ")
-    return _index(spark, sf_dir).select("norm", files.alias("locations"), "location_count")
+    return _index(spark, sf_dir).select("norm", "page", files.alias("locations"), "location_count")
 
 
 @query(_CORR_SQL + "select * from co")
@@ -408,12 +410,14 @@ def correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.correlate(T.written(_index(spark, sf_dir), "index"), T.written(_dynamic(spark, sf_dir), "dynamic"))
 
 
-@query()
+@query(_CORR_SQL + "select md5(norm) as h, file_path as file, finding_no as row from sf")
 def static_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.static_locations(D.block_findings(_static_files(spark, sf_dir)))
 
 
-@query()
+@query(_CORR_SQL + """, kx as (select norm, min(file_path) as first_file, count(*) as n from sf group by 1)
+select case when n is null then 'NEW_WEB_ONLY' else 'VERIFIED' end as status, url as dynamic_url, ajax_pattern as ajax_type, endpoint_url, snippet, md5(norm) as h, first_file, coalesce(n, 0) as location_count from dy left join kx using (norm)
+union all select 'MISSING_IN_CRAWL', 'N/A', 'Unknown', 'N/A', norm[1:100] || '...', md5(norm), first_file, n from kx where norm not in (select norm from dy)""")
 def correlate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.correlate_keys(T.written(_keys(spark, sf_dir), "keys"), T.written(_dynamic(spark, sf_dir), "dynamic"))
 
@@ -436,7 +440,7 @@ def csp_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.csp_allowlist(C.correlated_keys_table(_keys(spark, sf_dir), _dynamic(spark, sf_dir)))
 
 
-@query(_CORR_SQL + f"""select status, ajax_type, endpoint_url as endpoint, case when status = 'MISSING_IN_CRAWL' then 'N/A' else {_DOMAIN} end as csp_domain, dynamic_url as web_url, locations as static_files, snippet[1:500] as code_snippet from co""")
+@query(_CORR_SQL + f"""select status, ajax_type, endpoint_url as endpoint, case when status = 'MISSING_IN_CRAWL' then 'N/A' else {_DOMAIN} end as csp_domain, dynamic_url as web_url, locations as static_files, location_count, location_pages, snippet[1:500] as code_snippet from co""")
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.correlation_matrix(C.correlated_table(_index(spark, sf_dir), _dynamic(spark, sf_dir)))
 
