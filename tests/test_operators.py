@@ -12,6 +12,7 @@ from websource_audit.operators import refactor as R
 from websource_audit.operators import reports as T
 from websource_audit.plans import queries as Q
 from websource_audit.sources import files as S
+from websource_audit.sources import tree
 from websource_audit.sources.corpus import corpus
 
 PAGE = """<html>
@@ -211,6 +212,8 @@ def test_source_tree_and_reports(spark, tmp_path):
         found = {r.rel_path: (r.content, r.encoding, r.size_bytes) for r in S.decode_content(S.read_source_tree(spark, top)).collect()}
         assert set(found) == {"a.js", "sub/b.html", "sub/c", "Views/Shared/_Layout.cshtml", ".htaccess", "_partials/x.html"}
         assert found["Views/Shared/_Layout.cshtml"] == ("<b>", "utf-8", 3) and found[".htaccess"][:2] == ("déjà", "utf-16") and found["_partials/x.html"] == ("", "utf-8", 0)
+    assert {r.rel_path for r in S.read_source_tree(spark, str(root), by_spark=True).collect()} == {"a.js", "sub/b.html", "sub/c"}
+    assert {r.rel_path for r in S.read_source_tree(spark, str(root), max_bytes=3).collect()} == {"sub/c", "Views/Shared/_Layout.cshtml", "_partials/x.html"}
     raw = spark.createDataFrame([(b"a\xffb\r\n",)], "c binary")
     assert raw.select(S.decode_ignoring(F.col("c"))).first()[0] == "ab\n"
     S.write_report({"t": spark.range(3)}, str(tmp_path / "r"))
@@ -285,3 +288,29 @@ def test_findings_as_table_function(spark, files):
     got = spark.sql("select path as file_path, f.finding_no, f.start_line, f.code_type, f.full_code from audited, lateral html_findings(path, content) f")
     want = D.extract_findings(frame).select(*columns.split(", "))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 10
+
+
+def test_tree_source_shares_folders_out_and_opens_no_large_file(spark, tmp_path, monkeypatch):
+    for k in range(6):
+        (tmp_path / f"d{k}" / "deep" / "er").mkdir(parents=True)
+        for n, name in ((5, "a.js"), (50, "b.js")):
+            (tmp_path / f"d{k}" / "deep" / "er" / name).write_bytes(b"x" * n)
+    (tmp_path / "top.js").write_bytes(b"y")
+    want = sorted([f"d{k}/deep/er/{n}.js" for k in range(6) for n in "ab"] + ["top.js"])
+    for fan in (1, 5, 256):
+        monkeypatch.setattr(tree, "FAN_OUT", fan)  # on the driver
+        reader = tree.TreeReader({"path": str(tmp_path)})
+        parts = reader.partitions()
+        assert len(parts) == {1: 1, 5: 7, 256: 19}[fan]
+        assert sorted(b.column("rel_path")[0].as_py() for p in parts for b in reader.read(p)) == want
+    spark.conf.set(tree.PUSHDOWN, "true")
+    try:
+        small = tree.load_tree(spark, str(tmp_path)).filter("length <= 5 and rel_path <> 'top.js'")
+        assert sorted(r.rel_path for r in small.collect()) == [w for w in want if w.endswith("a.js")]
+        pushed = tree.PushingReader({"path": str(tmp_path), "maxBytes": "9"})
+        assert [*pushed.pushFilters([tree.LessThan(("length",), 6), tree.LessThanOrEqual(("other",), 1)])] == [tree.LessThanOrEqual(("other",), 1)] and pushed.most == 5
+    finally:
+        spark.conf.unset(tree.PUSHDOWN)
+    assert tree.load_tree(spark, str(tmp_path), content=False).filter("content is null").count() == 13
+    (tmp_path / "none").mkdir()
+    assert tree.load_tree(spark, str(tmp_path / "none")).count() == 0

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import paths
+from .tree import UNREAD, load_tree
 
 #: Tried in turn on bytes that are not UTF-8; the last takes any byte.
 FALLBACKS = ("windows-1252", "latin-1")
-#: Folders of version control and editors, whose files are never part of an application.
-UNREAD = (".git", ".svn", ".hg", ".vs", ".vscode", ".idea")
 EXTRACTED_FOLDERS = ("inline_js", "internal_js", "inline_css", "internal_css")
 
 
@@ -27,53 +22,21 @@ def with_path_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"directory": folder, "filename": name, "extension": paths.extension(name), "depth": paths.directory_depth(folder)})
 
 
-def read_source_tree(spark: SparkSession, root: str, unread: tuple[str, ...] = UNREAD) -> DataFrame:
+def read_source_tree(spark: SparkSession, root: str, unread: tuple[str, ...] = UNREAD, max_bytes: int | None = None, by_spark: bool = False) -> DataFrame:
     """Every file below ``root``: path, rel_path, directory, filename, extension, depth, size_bytes, bytes.
 
-    Filters on names and sizes reach the reader, so files that they drop are not opened. Spark's reader passes over
-    names that start with a dot or an underscore, and over folders so named; these files are listed and read beside it.
-    Folders in ``unread`` are not entered for that.
+    Folders are shared out to tasks, which list and read them; the driver keeps no file names. Files above ``max_bytes`` are not
+    opened, nor are folders in ``unread``. This needs a store that pyarrow reaches; ``by_spark`` takes Spark's own reader,
+    which reaches others but passes over names that start with a dot or an underscore.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
-    if hidden := _hidden_files(root, unread):
-        tasks = min(len(hidden), 4 * spark.sparkContext.defaultParallelism)
-        files = files.unionByName(spark.createDataFrame(hidden, "path string, length long").repartition(tasks).mapInArrow(_read_whole, "path string, length long, content binary"))
-    tail = "/" + root.split("://", 1)[-1].strip("/").split("/", 1)[-1] + "/" if "://" in root else root.rstrip("/") + "/"
-    rel = F.expr(f"substring(path, locate({_quoted(tail)}, path) + {len(tail)})")
-    return with_path_columns(files.select("path", rel.alias("rel_path"), F.col("length").alias("size_bytes"), F.col("content").alias("bytes")))
-
-
-def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-
-
-def _hidden_files(root: str, unread: tuple[str, ...]) -> list[tuple[str, int]]:
-    """(path, size) of files that Spark's reader passes over; the paths are few beside those it lists itself."""
-    store, top = _filesystem(root)
-    head = root.split("://", 1)[0] + "://" if "://" in root else "file:"
-    found, folders = [], [(top.rstrip("/"), False)]
-    while folders:
-        folder, hidden = folders.pop()
-        for x in store.get_file_info(fs.FileSelector(folder)):
-            odd = hidden or x.base_name.startswith((".", "_"))
-            if x.type == fs.FileType.Directory:
-                if not (odd and x.base_name in unread):
-                    folders.append((x.path, odd))
-            elif odd:
-                found.append((head + x.path, x.size))
-    return found
-
-
-def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(b.num_rows):
-            store, path = _filesystem(b.column("path")[k].as_py())
-            with store.open_input_stream(path) as f:
-                yield pa.RecordBatch.from_arrays([b.column("path").slice(k, 1), b.column("length").slice(k, 1), pa.array([f.read()], pa.binary())], ["path", "length", "content"])
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if not by_spark:
+        files = load_tree(spark, root, unread, max_bytes).withColumnRenamed("content", "bytes")
+    else:
+        tail = "/" + root.split("://", 1)[-1].strip("/").split("/", 1)[-1] + "/" if "://" in root else root.rstrip("/") + "/"
+        rel = F.substring(F.col("path"), F.locate(tail, F.col("path")) + len(tail), F.length("path"))
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", rel.alias("rel_path"), "length", F.col("content").alias("bytes"))
+        files = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
+    return with_path_columns(files.select("path", "rel_path", F.col("length").alias("size_bytes"), "bytes"))
 
 
 @F.pandas_udf(StructType([StructField("content", StringType()), StructField("encoding", StringType())]))
