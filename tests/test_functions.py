@@ -88,12 +88,12 @@ def test_match_lines_equal_python_positions(spark):
 
 
 def test_matches_between_plain_text(spark):
-    """Pieces without calls are reduced before the alternation runs; matches and lines stay those of the whole text."""
+    """The alternation entered by two characters matches what it matches at every place, whatever folds to these characters."""
     rnd = random.Random(3)
-    parts = ["fetch(1)", "new\n Request", ";JSON(", ".JSON(", "Response.Write('<script", "<p>At onorou.\n Onon</p>", "plain words of prose; ", "{ }\n\n", "ChannelFactory<", "news io tion", "io (2)", "po\u017ft $.po\u017ft(", "\u0130O(", "<x:UpdatePanel", ".src\n=\n'http", "a\u0001b"]
+    parts = ["fetch(1)", "new\n Request", ";JSON(", ".JSON(", "Response.Write('<script", "<p>At onorou.\n Onon</p>", "plain words of prose; ", "{ }\n\n", "ChannelFactory<", "news io tion", "io (2)", "po\u017ft $.po\u017ft(", "\u0130O(", "\u0131o(", "J\u017fON.par\u017fe(", "\u017fy\u017f.Net.WebReque\u017ft(", "IJ\u017fRuntime", "<x:UpdatePanel", ".src\n=\n'http", "a\u0001b"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(200)] + ["<iframe a;b<c style='x'>d;e{display:  none"]
     texts.append("fetch(\n);\n" * 3000)
-    rows = spark.createDataFrame([(t,) for t in texts], "c string").select("c", ajax.ajax_matches(F.col("c")).alias("m"), ajax.matches(F.col("c"), P.AJAX_FAST).alias("w")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "c string").select("c", ajax.ajax_matches(F.col("c")).alias("m"), ajax.matches(F.col("c"), P.AJAX).alias("w")).collect()
     assert all(r.m == r.w for r in rows) and sum(len(r.m) for r in rows) > 3200
     assert [(m.line, m.text) for m in rows[-1].m] == [(2 * k + 1, "fetch(") for k in range(3000)]
 

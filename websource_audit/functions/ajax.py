@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import patterns as P
 from .arrays import let, running_sums
 
+#: Characters from which a text is reduced to what is near needles.
+LONG_TEXT = 1000
 MATCHES = "array<struct<line:long,text:string>>"
 DETAILS = "array<struct<line:long,code_snippet:string,category:string,capability:string,difficulty:string,is_counted:string,endpoint:string>>"
 
@@ -51,7 +53,7 @@ def has_needle(text: Column) -> Column:
 def near_needles(content: Column) -> Column:
     """The text with all pieces but those with a needle, and the ones after these, reduced to a mark and their line feeds.
 
-    No match is lost or made: a mark is no part of any, and pieces are cut where no match runs on but into the next one.
+    No match is lost or made: a mark is no part of any, and pieces end where no match runs on but into the next one.
     """
     mark = F.lit("\u0001")
     less = lambda p: F.when(p.contains("\n"), F.regexp_replace(p, r"[^\n]+", "\u0001")).otherwise(mark)
@@ -60,12 +62,14 @@ def near_needles(content: Column) -> Column:
         kept = lambda live: F.transform(pieces, lambda p, k: F.when(F.get(live, k) | F.coalesce(F.get(live, k - 1), F.lit(False)), p).otherwise(less(p)))
         return F.array_join(let(F.transform(pieces, has_needle), kept), "")
 
-    return F.when(F.lower(content).contains(P.IFRAME), content).otherwise(let(F.split(content, P.AJAX_CUT, -1), of_pieces))
+    whole = F.lower(content).contains(P.IFRAME)
+    return F.when(whole, content).otherwise(let(F.regexp_extract_all(content, F.lit(P.AJAX_PIECE), F.lit(0)), of_pieces))
 
 
 def ajax_matches(content: Column) -> Column:
-    """Matches of the network calls; the alternation runs only near texts that one of its parts needs."""
-    return F.when(has_needle(content), let(near_needles(content), lambda near: matches(near, P.AJAX_FAST))).otherwise(F.array().cast(MATCHES))
+    """Matches of the network calls; in longer texts the alternation runs only near texts that one of its parts needs."""
+    near = F.when(F.length(content) < LONG_TEXT, content).otherwise(near_needles(content))
+    return F.when(has_needle(content), let(near, lambda text: matches(text, P.AJAX_FAST))).otherwise(F.array().cast(MATCHES))
 
 
 def _rules(profile: str):

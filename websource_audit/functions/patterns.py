@@ -100,27 +100,53 @@ AJAX_PARTS = (
 AJAX = "(?:" + "|".join(AJAX_PARTS) + ")"
 
 
-def by_first_letter(parts: tuple[str, ...]) -> str:
-    """The same alternation, entered by first letter: at one place only parts of one first letter compete, and these keep their order."""
+#: Characters beyond ASCII that fold to a letter where case is ignored.
+_FOLDED = {"i": "\u0130\u0131", "s": "\u017f", "k": "\u212a"}
+_PLAIN = re.compile(r"(?:\\([^\w\s])|([\w<@]))(?![?*+{])")
+
+
+def _any_case(letters: list[str]) -> str:
+    """A class of characters in both cases with what folds to them, for an engine that minds the case."""
+    return "[" + "".join(re.escape(x) for c in letters for x in dict.fromkeys((c.lower(), c.upper()))) + "".join(_FOLDED.get(c, "") for c in letters) + "]"
+
+
+def _beginnings(part: str) -> list[tuple[str, str]]:
+    """(first, second) character of what ``part`` matches, in lower case, for each way it may begin; the second may be unknown."""
+    bare = part.removeprefix(r"\b")
+    ways = [w + bare[bare.index(")") + 1 :] for w in bare[3 : bare.index(")")].split("|")] if bare.startswith("(?:") else [bare]
+    out = []
+    for w in ways:
+        one = _PLAIN.match(w)
+        two = _PLAIN.match(w, one.end())
+        out.append(((one[1] or one[2]).lower(), (two[1] or two[2]).lower() if two else ""))
+    return list(dict.fromkeys(out))
+
+
+def by_beginning(parts: tuple[str, ...]) -> str:
+    """The same alternation, entered by the first two characters, tested by plain classes: parts of one first character keep their order."""
     groups: dict[str, list[str]] = {}
+    seconds: dict[str, list[str]] = {}
     for part in parts:
-        bare = part.removeprefix(r"\b")
-        heads = bare[3 : bare.index(")")].split("|") if bare.startswith("(?:") else [bare]
-        for head in dict.fromkeys(h.removeprefix("\\")[0].lower() for h in heads):
-            groups.setdefault(re.escape(head), []).append(part)
-    return f"(?=[{''.join(groups)}])(?:" + "|".join(f"(?=[{c}])(?:{'|'.join(own)})" for c, own in groups.items()) + ")"
+        begins = _beginnings(part)
+        for first in dict.fromkeys(a for a, _ in begins):
+            groups.setdefault(first, []).append(part)
+        for first, second in begins:
+            seconds.setdefault(first, []).append(second)
+    pair = lambda c: _any_case([c]) + ("" if "" in seconds[c] else _any_case(list(dict.fromkeys(seconds[c]))))
+    enter = lambda inner: f"(?-iU:(?={inner}))"
+    return enter(_any_case(list(groups))) + "(?:" + "|".join(f"{enter(pair(c))}(?:{'|'.join(own)})" for c, own in groups.items()) + ")"
 
 
 #: For engines with look-ahead: several times faster on text that doesn't match.
-AJAX_FAST = by_first_letter(AJAX_PARTS)
+AJAX_FAST = by_beginning(AJAX_PARTS)
 #: Texts in lower case, or a plain pattern after "re:", one of which stands inside whatever AJAX matches.
 AJAX_NEEDLES = (
     "$", "@", "[", "fetch", "xmlhttprequest", "jquery", "axios", "superagent", "http", ".load", ".ajax", ".serialize", ".open", "onreadystatechange", ".send", "websocket", "eventsource", "ajax", "activexobject", r"re:\bio\s*\(",
     "hubconnection", "sys.", "pagemethods", "__dopostback", ".setrequest", ".abort", ".getresponse", ".getallresponse", "headers", "request", "json", "updatepanel", "scriptmanager", "clientscript", "clients.",
     "<system", "<scriptresource", "<telerik", "aspxcallback", "usequery", "usemutation", "response.write", "channelfactory", "ijsruntime", "backgroundfetch", "iframe", "formdata", "image", ".src",
 )
-#: Where a text may be cut so that no match lies in more than two pieces; a match of the part with IFRAME alone may.
-AJAX_CUT = "(?<=[;{}])|(?=<)"
+#: Pieces of a text, cut so that no match lies in more than two of them; a match of the part with IFRAME alone may.
+AJAX_PIECE = r"(?s).{400,}?(?:(?<=[;{}])|(?=<))|.+"
 IFRAME = "<iframe"
 
 # Code made at run time.

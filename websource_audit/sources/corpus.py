@@ -35,9 +35,15 @@ SNIPPETS: tuple[tuple[str, str, str], ...] = (
 K = len(SNIPPETS)
 
 
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """``rows``, moved to as many parts as there are cores if they come in fewer: what follows costs far more than the move."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files (page_id, path, rel_path, directory, filename, extension, depth, size_bytes, content) from the pages table."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = dealt_out(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     made = F.array(*(F.struct(F.lit(a).alias("folder"), F.lit(n).alias("name"), F.lit(c).alias("code")) for a, n, c in SNIPPETS))
     snip = F.element_at(made, (F.pmod(F.col("page_id"), F.lit(K)) + 1).cast("int"))
     host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
