@@ -217,8 +217,12 @@ def test_source_tree_and_reports(spark, tmp_path):
     raw = spark.createDataFrame([(b"a\xffb\r\n",)], "c binary")
     assert raw.select(S.decode_ignoring(F.col("c"))).first()[0] == "ab\n"
     S.write_report({"t": spark.range(3)}, str(tmp_path / "r"))
+    first = S.read_report(spark, str(tmp_path / "r"), "t")
     S.write_report({"t": spark.range(2)}, str(tmp_path / "r"))
-    assert S.read_report(spark, str(tmp_path / "r"), "t").count() == 2
+    assert S.read_report(spark, str(tmp_path / "r"), "t").count() == 2 and first.count() == 3
+    with pytest.raises(Exception):  # noqa: B017
+        S.write_report({"t": spark.range(1), "u": spark.range(4).select(F.raise_error(F.lit("no")).alias("x"))}, str(tmp_path / "r"))
+    assert S.read_report(spark, str(tmp_path / "r"), "t").count() == 2 and S.report_versions(spark, str(tmp_path / "r")).count() == 2
     S.write_extracted_code(spark.createDataFrame([("inline_js", "n", "c")], "folder string, file_name string, full_code string"), str(tmp_path / "x"))
     assert spark.read.parquet(str(tmp_path / "x")).first().folder == "inline_js"
     latest = S.latest_report(spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "path string, modified long"))
@@ -314,3 +318,24 @@ def test_tree_source_shares_folders_out_and_opens_no_large_file(spark, tmp_path,
     assert tree.load_tree(spark, str(tmp_path), content=False).filter("content is null").count() == 13
     (tmp_path / "none").mkdir()
     assert tree.load_tree(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_decoding_equals_pythons(spark):
+    rnd = random.Random(4)
+
+    def plain(raw):
+        for name in ("utf-8", *(("utf-16",) if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else ()), "windows-1252", "latin-1"):
+            try:
+                return raw.decode(name).replace("\r\n", "\n").replace("\r", "\n"), name
+            except UnicodeDecodeError:
+                continue
+
+    rows = [bytes(rnd.choice(b"ab\r\n\x80\x93\x9f\xe9\x81" if k % 2 else b"ab\x80\x93\x9f\xe9") for _ in range(rnd.randint(0, 9))) for k in range(200)]
+    rows += [bytes(range(256)), bytes(x for x in range(128, 256) if x not in b"\x81\x8d\x8f\x90\x9d")]
+    for text in ("", "a\u20acb\r\nc", "\U0001f600x" * 3):
+        rows += [b"\xff\xfe" + text.encode("utf-16-le"), b"\xfe\xff" + text.encode("utf-16-be")]
+    rows += [b"\xff\xfea", b"\xff\xfe\x00\xd8", b"\xff\xfe\x00\xdc\x00\xd8", b"\xfe\xff\xd8\x00\x00a", b"\xff\xfe" + "long".encode("utf-16-le") * 50000]
+    table = spark.createDataFrame([(k, bytearray(r)) for k, r in enumerate(rows)] + [(-1, None)], "k int, bytes binary")
+    got = {r.k: (r.content, r.encoding) for r in S.decode_content(table).collect()}
+    assert got.pop(-1) == (None, None)
+    assert got == {k: plain(r) for k, r in enumerate(rows)}

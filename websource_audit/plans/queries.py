@@ -550,8 +550,26 @@ def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(spark, f"{sf_dir}/pages.parquet").select("file_path", "type", "content")
 
 
-@query("select max_by(url, page_id) as path from pages")
+_ASCII = r"regexp_replace(substr(coalesce(html, ''), 1, 400), '[^\x20-\x7E\r\n]', '', 'g')"
+
+
+@query(rf"""with a as (select page_id, html, {_ASCII} as a, page_id % 4 as k from pages),
+d as (select page_id, case k when 0 then html when 1 then '“é' || a || '”' when 2 then chr(129) || a when 3 then a end as content, case when k = 0 and html is null then null else ['utf-8', 'windows-1252', 'latin-1', 'utf-16'][k + 1] end as encoding from a)
+select page_id, regexp_replace(content, '\r\n?', chr(10), 'g') as content, encoding from d""")
+def decoded_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as bytes of four kinds by turns, decoded again."""
+    from ..sources.files import decode_content
+
+    ascii_ = F.regexp_replace(F.substring(F.coalesce("html", F.lit("")), 1, 400), r"[^\x20-\x7E\r\n]", "")
+    byte = lambda x: F.unhex(F.lit(x))
+    kind, own = F.col("page_id") % 4, F.encode(ascii_, "US-ASCII")
+    raw = F.when(kind == 0, F.encode("html", "UTF-8")).when(kind == 1, F.concat(byte("93E9"), own, byte("94"))).when(kind == 2, F.concat(byte("81"), own)).otherwise(F.concat(byte("FFFE"), F.encode(ascii_, "UTF-16LE")))
+    return decode_content(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", raw.alias("bytes")))
+
+
+@query("select max_by('report-' || user_id || '-' || event_id, (ts, 'report-' || user_id || '-' || event_id)) as path from events")
 def latest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.files import latest_report as latest
 
-    return latest(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.col("page_id").alias("modified")))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return latest(rows.select(F.concat(F.lit("report-"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_id").cast("string")).alias("path"), F.col("ts").alias("modified")))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import paths
 from .tree import UNREAD, load_tree
 
-#: Tried in turn on bytes that are not UTF-8; the last takes any byte.
-FALLBACKS = ("windows-1252", "latin-1")
 EXTRACTED_FOLDERS = ("inline_js", "internal_js", "inline_css", "internal_css")
 
 
@@ -39,31 +37,36 @@ def read_source_tree(spark: SparkSession, root: str, unread: tuple[str, ...] = U
     return with_path_columns(files.select("path", "rel_path", F.col("length").alias("size_bytes"), "bytes"))
 
 
-@F.pandas_udf(StructType([StructField("content", StringType()), StructField("encoding", StringType())]))
-def _fallback(data: pd.Series) -> pd.DataFrame:
-    rows = []
-    for raw in data:
-        marked = raw is not None and bytes(raw[:2]) in (b"\xff\xfe", b"\xfe\xff")
-        for name in ("utf-16", *FALLBACKS) if marked else FALLBACKS:
-            try:
-                rows.append((None if raw is None else bytes(raw).decode(name), None if raw is None else name))
-                break
-            except UnicodeDecodeError:
-                continue
-    return pd.DataFrame(rows, columns=["content", "encoding"])
+#: Characters of the bytes 80 to 9F in windows-1252, in order; five of these bytes have none.
+WINDOWS_1252 = "\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178"
+NO_WINDOWS = "\x81\x8d\x8f\x90\x9d"
+_HIGH = "".join(c for c in map(chr, range(0x80, 0xA0)) if c not in NO_WINDOWS)
+# hexadecimal texts of UTF-16 without its mark, low byte first and high byte first: surrogates in pairs only
+_LITTLE = r"^FFFE(?:..(?:[0-9ABCEF].|D[0-7])|..D[89AB]..D[C-F])*+$"
+_BIG = r"^FEFF(?:(?:[0-9ABCEF].|D[0-7])..|D[89AB]..D[C-F]..)*+$"
 
 
 def decode_content(df: DataFrame, bytes_col: str = "bytes") -> DataFrame:
-    """Add content and encoding: UTF-8 where the bytes are that, else UTF-16 by its byte order mark, else the fallbacks.
+    """Add content and encoding: UTF-8 where the bytes are that, else UTF-16 by its byte order mark, else windows-1252, else latin-1.
 
-    Line ends become line feeds; null bytes give null. The bytes are read once, and the helper gets only those that are not UTF-8.
+    Line ends become line feeds; null bytes give null. A byte that windows-1252 lacks makes a text latin-1, which takes any byte;
+    so does every text with a mark that is no UTF-16 behind it. All of it is a projection of built-in functions.
     """
     raw = F.col(bytes_col)
-    good = F.coalesce(F.is_valid_utf8(raw.cast("string")), F.lit(False))
-    other = df.withColumns({"_good": good, "_other": _fallback(F.when(~good, raw))})
-    content = F.when(F.col("_good"), raw.cast("string")).otherwise(F.col("_other.content"))
-    encoding = F.when(F.col("_good"), F.lit("utf-8")).otherwise(F.col("_other.encoding"))
-    return other.withColumns({"content": F.regexp_replace(content, "\r\n?", "\n"), "encoding": encoding}).drop("_good", "_other", bytes_col)
+    marked = F.hex(F.substring(raw, 1, 2)).isin("FFFE", "FEFF")
+    wide = F.when(marked, F.hex(raw).rlike(_LITTLE) | F.hex(raw).rlike(_BIG)).otherwise(F.lit(False))
+    single = F.decode(raw, "ISO-8859-1")
+    encoding = (
+        F.when(raw.isNull(), F.lit(None).cast("string"))
+        .when(F.is_valid_utf8(raw.cast("string")), "utf-8")
+        .when(wide, "utf-16")
+        .when(single.rlike(f"[{NO_WINDOWS}]"), "latin-1")
+        .otherwise("windows-1252")
+    )
+    out = df.withColumn("encoding", encoding)
+    e = F.col("encoding")
+    content = F.when(e == "utf-8", raw.cast("string")).when(e == "utf-16", F.decode(raw, "UTF-16")).when(e == "latin-1", single).when(e == "windows-1252", F.translate(single, _HIGH, WINDOWS_1252))
+    return out.withColumn("content", F.regexp_replace(content, "\r\n?", "\n")).select(*(c for c in df.columns if c not in (bytes_col, "content", "encoding")), "content", "encoding")
 
 
 def decode_ignoring(raw: Column) -> Column:
@@ -76,14 +79,27 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("url"), F.lit("html").alias("type"), F.coalesce("html", F.lit("")).alias("content"), F.col("url").alias("file_path"))
 
 
+def report_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modified) of the versions of a report that were written to their end."""
+    return spark.read.schema("path string, modified timestamp").parquet(f"{path}/versions")
+
+
 def read_report(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}")
+    """One table of a report's latest version."""
+    return spark.read.parquet(f"{latest_report(report_versions(spark, path)).first().path}/{name}")
 
 
-def write_report(tables: dict[str, DataFrame], path: str) -> None:
-    """One table for each tab; an older report is replaced."""
+def write_report(tables: dict[str, DataFrame], path: str) -> str:
+    """One table for each tab, in a folder of its own; the folder counts once all tables are there, and is returned.
+
+    A row is added to the table of versions at the end, so readers see the old report whole until then, and after a failure.
+    """
+    folder = f"{path}/report-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.parquet(f"{folder}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.range(1).coalesce(1).select(F.lit(folder).alias("path"), F.current_timestamp().alias("modified")).write.mode("append").parquet(f"{path}/versions")
+    return folder
 
 
 def write_extracted_code(bundle: DataFrame, path: str) -> None:
@@ -92,5 +108,5 @@ def write_extracted_code(bundle: DataFrame, path: str) -> None:
 
 
 def latest_report(reports: DataFrame) -> DataFrame:
-    """Of (path, modified) rows, the path with the latest time."""
+    """Of (path, modified) rows, the path with the latest time; of equal times the last path."""
     return reports.agg(F.max_by("path", F.struct("modified", "path")).alias("path"))
