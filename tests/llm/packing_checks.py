@@ -1,5 +1,6 @@
 """What packed pieces have to be, for the tests of packing and of the pipeline."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -8,8 +9,13 @@ from tokenizers import Tokenizer
 from websource_audit.llm.common import default_tokenizer
 
 
+@functools.cache
+def tokenizer():
+    return Tokenizer.from_file(default_tokenizer())
+
+
 def ids_of(text):
-    return Tokenizer.from_file(default_tokenizer()).encode(text or "", add_special_tokens=False).ids
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def check_packing(rows, docs, capacity):
