@@ -213,6 +213,11 @@ def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.bundle(_blocks(spark, sf_dir))
 
 
+@query(HTML_SQL + "select case when source_type = 'LOCAL' then 'internal_' else 'inline_' end || lower(category) as folder, bundled_file as file_name, max_by(full_code, (file_path, finding_no)) as full_code from f where category in ('JS', 'CSS') and full_code <> '' group by 1, 2")
+def html_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.bundle(_html(spark, sf_dir))
+
+
 @query(BLOCKS_SQL + f"""select 'http://localhost/' || rel_path as "Target_URL", file_path as "Source_File", case when bool_or(ajax_detected) then 'Page Entry Point, Contains AJAX' else 'Page Entry Point' end as "Rationale", 'Check CSP' as "Interaction_Hints"
 from f where {O.in_list("lower(regexp_extract(rel_path, '([.][^.]*)$', 1))", P.PAGE_EXTENSIONS)} group by file_path, rel_path""")
 def crawler_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -453,17 +458,20 @@ def correlation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- refactoring ---------------------------------------------------------------------------------------------------
 
-_NAME = "translate(rel_path, '/', '_') || '_' || code_type || '_line' || start_line || '-' || end_line || case when category = 'JS' then '.js' else '.css' end"
+_NAME = "translate(rel_path, '/', '_') || '_' || regexp_replace(code_type, '[^A-Za-z0-9]', '', 'g') || '_line' || start_line || '-' || end_line || case when category = 'JS' then '.js' else '.css' end"
 _TOKENS = "list_concat(list_concat(list_concat(list_concat(list_concat(list_concat({0}), {1}), {2}), {3}), {4}), {5})"
 
 
-def _assess_sql() -> str:
+_KIND = "case when code_type in ('scriptblock', 'styleblock') or source_type = 'LOCAL' then 'internal' else 'inline' end"
+
+
+def _assess_sql(base: str) -> str:
     toks = "flatten([" + ", ".join(f"regexp_extract_all(content, {O.q(p)})" for p in P.RAZOR_VALUES) + "])"
-    return BLOCKS_SQL + rf""", x as (select {_NAME} as filename, 'internal' as category, full_code as content, rel_path, start_line, end_line, code_type, category = 'CSS' as css from f where full_code <> ''),
+    return base + rf""", x as (select {_NAME} as filename, {_KIND} as category, full_code as content, rel_path, start_line, end_line, code_type, category = 'CSS' as css from f where category in ('JS', 'CSS') and full_code <> ''),
 x1 as (select *, case when regexp_matches(content, {O.any_of(P.RAZOR_CONTROL)}) then 'C' when regexp_matches(content, {O.q('(?:' + '|'.join(P.RAZOR_VALUES) + ')')}) then 'B' else 'A' end as raw, {toks} as toks, not css and regexp_matches(content, {O.any_of(P.SIMPLE_AJAX)}) as aj from x),
 x2 as (select *, css and raw = 'B' and len(list_filter(toks, lambda t: contains(t, '@') and contains(t, '('))) > 0 as hard, case when raw = 'B' then len(toks) else 0 end as n from x1),
 x3 as (select *, case when hard then 'C' else raw end as state from x2),
-assessed as (select filename, translate(translate(rel_path, '/', '_'), '_', '/') as original_file, start_line || '-' || end_line as lines, code_type, category, state, case state when 'A' then 'High' when 'B' then 'Medium' else 'Low' end as complexity, case state when 'A' then 'Ready' when 'B' then 'Bridgeable' else 'Blocked' end as status,
+assessed as (select filename, translate(translate(rel_path, '/', '_'), '_', '/') as original_file, start_line || '-' || end_line as lines, regexp_replace(code_type, '[^A-Za-z0-9]', '', 'g') as code_type, category, state, case state when 'A' then 'High' when 'B' then 'Medium' else 'Low' end as complexity, case state when 'A' then 'Ready' when 'B' then 'Bridgeable' else 'Blocked' end as status,
  case state when 'A' then case when css then 'Externalized - Clean CSS' else 'Externalized - Clean Code' end when 'B' then 'Auto-Refactor via Bridge' else 'Manual Intervention Required' end as action,
  case when hard then 'CSS contains complex Razor logic' when css and state = 'B' then 'CSS contains simple Razor URL references' when css and state = 'C' then 'CSS contains Razor control flow' when state = 'A' then 'No server-side logic detected'
   when state = 'B' and aj then 'AJAX call with ' || n || ' Razor tokens - Bridge Pattern applicable' when state = 'B' then 'Contains ' || n || ' Razor value tokens - Bridge Pattern applicable' else 'Contains Razor control flow - cannot auto-refactor' end as reason,
@@ -471,16 +479,30 @@ assessed as (select filename, translate(translate(rel_path, '/', '_'), '_', '/')
 """
 
 
-@query(_assess_sql() + "select * from assessed")
+@query(_assess_sql(BLOCKS_SQL) + "select * from assessed")
 def assessment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.assessment_rows(R.extracted_blocks(_blocks(spark, sf_dir)))
 
 
-@query(_assess_sql() + "select count(*) as total, count(*) filter (state = 'A') as clean, count(*) filter (state = 'B') as bridge, 0::bigint as inline, round((count(*) filter (state = 'A') + count(*) filter (state = 'B')) / count(*) * 100, 2) as refactorability from assessed")
+@query(_assess_sql(HTML_SQL) + "select * from assessed")
+def html_assessment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.assessment_rows(R.extracted_blocks(_html(spark, sf_dir)))
+
+
+_INDEX_SQL = """select *, round((clean + bridge + 0.8 * inline) / total * 100, 2)::double as refactorability from
+(select count(*) as total, count(*) filter (state = 'A') as clean, count(*) filter (state = 'B') as bridge, count(*) filter (category = 'inline' and state in ('A', 'B')) as inline from assessed)"""
+
+
+@query(_assess_sql(BLOCKS_SQL) + _INDEX_SQL)
 def refactorability_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.refactorability_index(R.assessment_rows(R.extracted_blocks(_blocks(spark, sf_dir))))
 
 
+@query(_assess_sql(HTML_SQL) + _INDEX_SQL)
+def html_refactorability_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.refactorability_index(R.assessment_rows(R.extracted_blocks(_html(spark, sf_dir))))
+
+
 @query(BLOCKS_SQL + """, b as (select distinct translate(rel_path, '/', '_') as whole from f where full_code <> ''), bp as (select distinct unnest([whole, 'project_' || whole, whole[6:]]) as block_path from b),
 n as (select rel_path, translate(rel_path, '/', '_') as name from files), e as (select block_path, min(rel_path) as rel_path from bp join n on block_path = name group by 1),
 s as (select block_path, count(*) as c, min(rel_path) as rel_path from bp join n on ends_with(name, block_path) or ends_with(block_path, name) where block_path not in (select block_path from e) group by 1)
