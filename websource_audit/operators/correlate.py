@@ -51,31 +51,43 @@ def _first_pages(index: DataFrame) -> DataFrame:
     return first.select(F.xxhash64("norm").alias("h"), "norm", files.alias("files"), "location_count", pages.alias("location_pages"))
 
 
+def _all_pages(index: DataFrame) -> DataFrame:
+    """The columns of _first_pages, with the files of all pages in order."""
+    one = F.array_join(F.transform("locations", lambda x: x["file"]), ", ")
+    held = F.array_sort(F.collect_list(F.struct("page", one.alias("files"))))
+    rows = index.groupBy("norm").agg(held.alias("held"), F.max("location_count").alias("location_count"))
+    files = F.array_join(F.transform("held", lambda x: x["files"]), ", ")
+    return rows.select(F.xxhash64("norm").alias("h"), "norm", files.alias("files"), "location_count", F.size("held").cast("long").alias("location_pages"))
+
+
 def _keyed(dynamic: DataFrame) -> DataFrame:
     return dynamic.withColumn("norm", paths.normalize_snippet(F.col("snippet"))).withColumn("h", F.xxhash64("norm"))
 
 
-def correlate(index: DataFrame, dynamic: DataFrame) -> DataFrame:
+def correlate(index: DataFrame, dynamic: DataFrame, whole: bool = False) -> DataFrame:
     """VERIFIED and NEW_WEB_ONLY per dynamic row (url, snippet, ajax_pattern, endpoint_url), MISSING_IN_CRAWL per key never seen.
 
-    A row carries the files of the first page of its snippet and how many pages and locations there are; the others are in
-    the index. The static side has one row per key, so a boilerplate snippet on most pages only finds its row; the join
-    is on the hash and the text, and Spark may split such a key.
+    ``whole``: a row carries the files of all locations of its snippet, so it grows with them. Otherwise it has those of the
+    first page and how many pages and locations there are; the others are in the index. The static side has one row per
+    key, so a boilerplate snippet on most pages only finds its row; the join is on the hash and the text, and Spark may
+    split such a key.
     """
-    rows = _keyed(dynamic).join(_first_pages(index), ["h", "norm"], "left")
+    static = _all_pages(index) if whole else _first_pages(index)
+    rows = _keyed(dynamic).join(static, ["h", "norm"], "left")
     hit = F.col("files").isNotNull()
     none = F.lit(0).cast("long")
     found = rows.select(
         F.when(hit, "VERIFIED").otherwise("NEW_WEB_ONLY").alias("status"), F.col("url").alias("dynamic_url"), F.col("ajax_pattern").alias("ajax_type"), "endpoint_url", "snippet",
         F.when(hit, F.col("files")).otherwise("N/A").alias("locations"), F.coalesce("location_count", none).alias("location_count"), F.coalesce("location_pages", none).alias("location_pages"),
     )
-    return found.unionByName(missing_in_crawl(index, dynamic))
+    return found.unionByName(missing_in_crawl(index, dynamic, whole))
 
 
-def missing_in_crawl(index: DataFrame, dynamic: DataFrame) -> DataFrame:
+def missing_in_crawl(index: DataFrame, dynamic: DataFrame, whole: bool = False) -> DataFrame:
     """Static keys that no dynamic row has, in the columns of correlate."""
     seen = _keyed(dynamic).select("h", "norm").distinct()
-    rows = _first_pages(index).join(seen, ["h", "norm"], "left_anti")
+    static = _all_pages(index) if whole else _first_pages(index)
+    rows = static.join(seen, ["h", "norm"], "left_anti")
     return rows.select(F.lit("MISSING_IN_CRAWL").alias("status"), F.lit("N/A").alias("dynamic_url"), F.lit("Unknown").alias("ajax_type"), F.lit("N/A").alias("endpoint_url"), F.concat(F.substring("norm", 1, 100), F.lit("...")).alias("snippet"), F.col("files").alias("locations"), "location_count", "location_pages")
 
 

@@ -394,25 +394,34 @@ def _dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NORM = r"trim(regexp_replace(snippet, '\s+', ' ', 'g'))"
-_CORR_SQL = BLOCKS_SQL + rf""", {O.tags_sql('(select page_id as file_path, url as rel_path, content from files)')}, sf as (select f.*, {_NORM} as norm from f join files on path = file_path where snippet <> '' and {O.in_list('extension', P.INCLUDE_EXTENSIONS)} and not list_has_any(string_split(directory, '/'), [{', '.join(map(O.q, P.STATIC_EXCLUDED_FOLDERS))}])),
+
+
+def _corr_sql(ix: str) -> str:
+    """The correlation (co) with the rows ``ix`` of snippets, made from the pages of their locations (ip)."""
+    return BLOCKS_SQL + rf""", {O.tags_sql('(select page_id as file_path, url as rel_path, content from files)')}, sf as (select f.*, {_NORM} as norm from f join files on path = file_path where snippet <> '' and {O.in_list('extension', P.INCLUDE_EXTENSIONS)} and not list_has_any(string_split(directory, '/'), [{', '.join(map(O.q, P.STATIC_EXCLUDED_FOLDERS))}])),
 ik as (select norm, file_path, finding_no, row_number() over (partition by norm order by file_path, finding_no) as k, count(*) over (partition by norm) as location_count from sf),
 ip as (select norm, (k - 1) // {C.PAGE_LOCATIONS} + 1 as page, string_agg(file_path, ', ' order by k) as locations, location_count, (location_count + {C.PAGE_LOCATIONS - 1}) // {C.PAGE_LOCATIONS} as location_pages from ik group by norm, page, location_count),
-ix as (select * from ip where page = 1),
+ix as ({ix}),
 dy as (select files.url, snippet, ajax_pattern, endpoint_url, {_NORM} as norm from f join files on path = file_path where ajax_detected),
 co as (select case when ix.norm is null then 'NEW_WEB_ONLY' else 'VERIFIED' end as status, url as dynamic_url, ajax_pattern as ajax_type, endpoint_url, snippet, coalesce(locations, 'N/A') as locations, coalesce(location_count, 0) as location_count, coalesce(location_pages, 0) as location_pages from dy left join ix using (norm)
  union all select 'MISSING_IN_CRAWL', 'N/A', 'Unknown', 'N/A', norm[1:100] || '...', locations, location_count, location_pages from ix where norm not in (select norm from dy))
 """
 
 
+_CORR_SQL = _corr_sql("select * from ip where page = 1")
+#: The same with all locations of a snippet in its row.
+_WHOLE_SQL = _corr_sql("select norm, string_agg(locations, ', ' order by page) as locations, location_count, location_pages from ip group by norm, location_count, location_pages")
+
+
 @query(_CORR_SQL + "select norm, page, locations, location_count from ip")
 def static_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = F.array_join(F.transform("locations", lambda x: x["file"]), ", ")
     return _index(spark, sf_dir).select("norm", "page", files.alias("locations"), "location_count")
 
 
-@query(_CORR_SQL + "select * from co")
+@query(_WHOLE_SQL + "select * from co")
 def correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.correlate(T.written(_index(spark, sf_dir), "index"), T.written(_dynamic(spark, sf_dir), "dynamic"))
+    return C.correlate(T.written(_index(spark, sf_dir), "index"), T.written(_dynamic(spark, sf_dir), "dynamic"), whole=True)
 
 
 @query(_CORR_SQL + "select md5(norm) as h, file_path as file, finding_no as row from sf")
