@@ -12,15 +12,15 @@ FILES = C.PAGE_LOCATIONS * 2 + 5
 
 @pytest.fixture(scope="module")
 def pages(spark, tmp_path_factory):
-    """A table of pages: FILES with one script that has a call, FILES with one style that no crawled row has, and a few others."""
-    ids = [K * k + turn for turn in (6, 2) for k in range(FILES)] + list(range(K))
+    """A table of pages: FILES with a script that has a call, FILES with one that has none and so no crawled row, and a few others."""
+    ids = [K * k + turn for turn in (6, 3) for k in range(FILES)] + list(range(K))
     rows = [(i, f"https://h{i % 3}.example/s{i % 5}/p{i}", "<p>x</p>") for i in dict.fromkeys(ids)]
     folder = str(tmp_path_factory.mktemp("whole"))
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     return folder
 
 
-@pytest.mark.parametrize(("name", "files"), [("correlate", "locations")])
+@pytest.mark.parametrize(("name", "files"), [("correlate", "locations"), ("missing_in_crawl", "locations")])
 def test_all_locations_of_a_common_snippet(spark, pages, name, files):
     rows = Q.QUERIES[name](spark, pages)
     got = rows.collect()

@@ -436,9 +436,9 @@ def correlate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.correlate_keys(T.written(_keys(spark, sf_dir), "keys"), T.written(_dynamic(spark, sf_dir), "dynamic"))
 
 
-@query(_CORR_SQL + "select * from co where status = 'MISSING_IN_CRAWL'")
+@query(_WHOLE_SQL + "select * from co where status = 'MISSING_IN_CRAWL'")
 def missing_in_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.missing_in_crawl(_index(spark, sf_dir), _dynamic(spark, sf_dir))
+    return C.missing_in_crawl(T.written(_index(spark, sf_dir), "index"), _dynamic(spark, sf_dir), whole=True)
 
 
 @query(_CORR_SQL + "select url, snippet, ajax_pattern, endpoint_url from dy where norm not in (select norm from ix)")
