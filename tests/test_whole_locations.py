@@ -20,7 +20,7 @@ def pages(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize(("name", "files"), [("correlate", "locations"), ("missing_in_crawl", "locations")])
+@pytest.mark.parametrize(("name", "files"), [("correlate", "locations"), ("missing_in_crawl", "locations"), ("correlation_matrix", "static_files")])
 def test_all_locations_of_a_common_snippet(spark, pages, name, files):
     rows = Q.QUERIES[name](spark, pages)
     got = rows.collect()

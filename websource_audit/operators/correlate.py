@@ -115,7 +115,7 @@ def csp_allowlist(correlated: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(correlated: DataFrame) -> DataFrame:
-    """All rows with their domain and the files of the first page of locations, snippets cut to 500 characters."""
+    """All rows with their domain and the files of their locations, snippets cut to 500 characters."""
     domain = F.when(F.col("status") == "MISSING_IN_CRAWL", "N/A").otherwise(paths.csp_domain(F.col("endpoint_url")))
     return correlated.select("status", "ajax_type", F.col("endpoint_url").alias("endpoint"), domain.alias("csp_domain"), F.col("dynamic_url").alias("web_url"), F.col("locations").alias("static_files"), "location_count", "location_pages", F.substring("snippet", 1, 500).alias("code_snippet"))
 
@@ -128,9 +128,9 @@ def correlation_summary(correlated: DataFrame, external: DataFrame) -> DataFrame
     return out.unionByName(external.agg(F.count(F.lit(1)).alias("n")).select(F.lit("External Resources Found").alias("label"), "n"))
 
 
-def correlated_table(index: DataFrame, dynamic: DataFrame) -> DataFrame:
+def correlated_table(index: DataFrame, dynamic: DataFrame, whole: bool = False) -> DataFrame:
     """correlate, written once for the several tables made from it."""
-    return written(correlate(index, dynamic), "correlated")
+    return written(correlate(index, dynamic, whole), "correlated")
 
 
 def correlated_keys_table(keys: DataFrame, dynamic: DataFrame) -> DataFrame:
