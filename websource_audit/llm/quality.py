@@ -116,7 +116,8 @@ def evidence(text: Column, model: Model) -> Column:
     def score(t: pd.Series) -> pd.Series:
         return pd.Series(model.log_odds(np.array([text_features(x) for x in t], float).reshape(-1, len(FEATURES))))
 
-    return score(text)
+    # else Spark scores each text twice in one task, the first time for a test that the result is not null
+    return score.asNondeterministic()(text)
 
 
 def _logit(p: Column) -> Column:
