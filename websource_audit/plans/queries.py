@@ -372,7 +372,7 @@ def resource_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {corpus_sql()}, {O.html_sql('(select url as path, url as rel_path, content from files)')} select file_path, finding_no, snippet, ajax_pattern, endpoint_url, ajax_count from f where ajax_detected")
 def dynamic_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.dynamic_findings(_pages(spark, sf_dir)).select("file_path", "finding_no", "snippet", "ajax_pattern", "endpoint_url", "ajax_count")
+    return D.dynamic_findings(corpus(spark, sf_dir).select("page_id", "url", "content")).select("file_path", "finding_no", "snippet", "ajax_pattern", "endpoint_url", "ajax_count")
 
 
 def _static_files(spark: SparkSession, sf_dir: str) -> DataFrame:
