@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -12,6 +12,9 @@ from .reports import add_row_ids
 
 #: Locations of a snippet in one row of the index.
 PAGE_LOCATIONS = 100
+#: About so many dynamic rows share one copy of their snippet's list, so that those of a common snippet go to several tasks.
+ROWS_OF_A_COPY = 500
+LONG_LISTS = {"parquet.dictionary.page.size": str(16 << 20), "parquet.page.size.row.check.max": "100", "parquet.block.size.row.check.max": "100"}
 
 
 def _static_rows(findings: DataFrame) -> DataFrame:
@@ -68,12 +71,16 @@ def correlate(index: DataFrame, dynamic: DataFrame, whole: bool = False) -> Data
     """VERIFIED and NEW_WEB_ONLY per dynamic row (url, snippet, ajax_pattern, endpoint_url), MISSING_IN_CRAWL per key never seen.
 
     ``whole``: a row carries the files of all locations of its snippet, so it grows with them. Otherwise it has those of the
-    first page and how many pages and locations there are; the others are in the index. The static side has one row per
-    key, so a boilerplate snippet on most pages only finds its row; the join is on the hash and the text, and Spark may
-    split such a key.
+    first page and how many pages and locations there are; the others are in the index. The lists meet the rows last, in
+    tasks that have the rows of a copy one after another: nothing is shuffled, sorted or written once rows have them.
     """
     static = _all_pages(index) if whole else _first_pages(index)
-    rows = _keyed(dynamic).join(static, ["h", "norm"], "left")
+    keyed = _keyed(dynamic)
+    copies = keyed.groupBy("h", "norm").agg(F.ceil(F.count(F.lit(1)) / ROWS_OF_A_COPY).cast("int").alias("copies"))
+    held = static.join(copies, ["h", "norm"]).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+    dealt = keyed.withColumn("no", F.monotonically_increasing_id()).join(copies, ["h", "norm"], "left").withColumn("copy", (F.col("no") % F.coalesce("copies", F.lit(1)) + 1).cast("int")).drop("no", "copies")
+    parts, key = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["h", "norm", "copy"]
+    rows = dealt.repartition(parts, *key).join(held.repartition(parts, *key), key, "left")  # by number: Spark would join small parts to one task, whose rows then are large
     hit = F.col("files").isNotNull()
     none = F.lit(0).cast("long")
     found = rows.select(
@@ -128,9 +135,14 @@ def correlation_summary(correlated: DataFrame, external: DataFrame) -> DataFrame
     return out.unionByName(external.agg(F.count(F.lit(1)).alias("n")).select(F.lit("External Resources Found").alias("label"), "n"))
 
 
-def correlated_table(index: DataFrame, dynamic: DataFrame, whole: bool = False) -> DataFrame:
-    """correlate, written once for the several tables made from it."""
-    return written(correlate(index, dynamic, whole), "correlated")
+def hold_long_lists(spark: SparkSession) -> None:
+    """Let Parquet files written from here on keep a list of up to 16 MB once for all of its rows, and their writer look at its memory every 100 rows.
+
+    By default lists beyond 1 MB are written once a row, and up to 10,000 rows are held before the writer looks. Settings that the session has stay.
+    """
+    for name, value in LONG_LISTS.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
 
 
 def correlated_keys_table(keys: DataFrame, dynamic: DataFrame) -> DataFrame:

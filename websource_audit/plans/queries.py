@@ -456,7 +456,8 @@ def csp_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WHOLE_SQL + f"""select status, ajax_type, endpoint_url as endpoint, case when status = 'MISSING_IN_CRAWL' then 'N/A' else {_DOMAIN} end as csp_domain, dynamic_url as web_url, locations as static_files, location_count, location_pages, snippet[1:500] as code_snippet from co""")
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.correlation_matrix(C.correlated_table(T.written(_index(spark, sf_dir), "index"), T.written(_dynamic(spark, sf_dir), "dynamic"), whole=True))
+    C.hold_long_lists(spark)
+    return C.correlation_matrix(C.correlate(T.written(_index(spark, sf_dir), "index"), T.written(_dynamic(spark, sf_dir), "dynamic"), whole=True))
 
 
 @query(_CORR_SQL + f"""select unnest(['Verified (Found in both)', 'New / Web Only (Dynamic)', 'Missing in Crawl (Unvisited/Dead)', 'Total AJAX Patterns Tracked']) as label, unnest([count(*) filter (status = 'VERIFIED'), count(*) filter (status = 'NEW_WEB_ONLY'), count(*) filter (status = 'MISSING_IN_CRAWL'), count(*)]) as n from co
