@@ -14,7 +14,7 @@ from .reports import add_row_ids
 PAGE_LOCATIONS = 100
 #: About so many dynamic rows share one copy of their snippet's list, so that those of a common snippet go to several tasks.
 ROWS_OF_A_COPY = 500
-LONG_LISTS = {"parquet.dictionary.page.size": str(16 << 20), "parquet.page.size.row.check.max": "100", "parquet.block.size.row.check.max": "100"}
+LONG_LISTS = {"parquet.dictionary.page.size": str(16 << 20), "parquet.page.size.row.check.max": "100", "parquet.column.statistics.enabled#locations": "false", "parquet.column.statistics.enabled#static_files": "false"}
 
 
 def _static_rows(findings: DataFrame) -> DataFrame:
@@ -138,7 +138,8 @@ def correlation_summary(correlated: DataFrame, external: DataFrame) -> DataFrame
 def hold_long_lists(spark: SparkSession) -> None:
     """Let Parquet files written from here on keep a list of up to 16 MB once for all of its rows, and their writer look at its memory every 100 rows.
 
-    By default lists beyond 1 MB are written once a row, and up to 10,000 rows are held before the writer looks. Settings that the session has stay.
+    By default lists beyond 1 MB are written once a row, and up to 10,000 rows are held before the writer looks. The columns of lists
+    get no smallest and largest value, for which each list would be compared twice. Settings that the session has stay.
     """
     for name, value in LONG_LISTS.items():
         if spark.conf.get(name, None) is None:
